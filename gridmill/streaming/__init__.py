@@ -1,0 +1 @@
+"""No streaming operator is built: the job this library re-expresses is a batch job only."""
