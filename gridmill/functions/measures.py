@@ -11,13 +11,20 @@ NAN_POLICIES = ("skip", "propagate")
 def grid_mean(values: Column) -> Column:
     """Unweighted mean of a grid, without missing points (null or NaN); null if none is left.
 
-    NaN sorts above every number, so one comparison drops both kinds of missing point. The
-    array is folded in place: no exploded rows and no exchange.
+    The array is folded in place: no exploded rows and no exchange. A missing point turns the
+    plain sum into null or NaN; only then is the grid filtered and summed again.
     """
+
+    def plain_mean(grid: Column) -> Column:
+        total = F.aggregate(grid, F.lit(0.0), lambda acc, x: acc + x)
+        return total / F.nullif(F.size(grid), F.lit(0))
+
     grid = values.cast("array<double>")
-    present = F.filter(grid, lambda x: x < F.lit(float("nan")))
-    total = F.aggregate(present, F.lit(0.0), lambda acc, x: acc + x)
-    return total / F.nullif(F.size(present), F.lit(0))
+    # NaN sorts above every number, so one comparison drops both kinds of missing point. The
+    # array of one lets the filtered grid be used twice and computed once.
+    present = F.array(F.filter(grid, lambda x: x < F.lit(float("nan"))))
+    filtered_mean = F.get(F.transform(present, plain_mean), F.lit(0))
+    return F.coalesce(F.nanvl(plain_mean(grid), filtered_mean), filtered_mean)
 
 
 def nan_as_null(value: Column) -> Column:

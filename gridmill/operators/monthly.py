@@ -31,9 +31,12 @@ def monthly_wide(monthly: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def monthly_table(wide: DataFrame) -> DataFrame:
-    """``year, month, Month, <variables>``: the label that the written tables show."""
+    """``year, Month, <variables>``: month labels instead of numbers, as the written tables show.
+
+    Column names do not tell cases apart, so the label takes the place of the number.
+    """
     variables = [named(c) for c in wide.columns if c not in ("year", "month")]
-    return wide.select("year", "month", month_label(F.col("month")).alias("Month"), *variables)
+    return wide.select("year", month_label(F.col("month")).alias("Month"), *variables)
 
 
 def dense_months(

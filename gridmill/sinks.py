@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridmill.functions.calendar import month_number
 from gridmill.operators.monthly import monthly_table
 from gridmill.sources.scratch import scratch_path
 
@@ -12,7 +13,7 @@ from gridmill.sources.scratch import scratch_path
 def _by_year(wide: DataFrame) -> DataFrame:
     """Twelve rows per year at most, so one task per year makes one file per year."""
     table = monthly_table(wide)
-    return table.repartition("year").sortWithinPartitions("year", "month").drop("month")
+    return table.repartition("year").sortWithinPartitions("year", month_number(F.col("Month")))
 
 
 def write_monthly(wide: DataFrame, path: str) -> None:

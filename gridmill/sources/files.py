@@ -28,14 +28,19 @@ def scan_files(spark: SparkSession, path: str, glob: str = "*.grib") -> DataFram
 
 
 def _plain_grid(values: Any) -> np.ndarray:
-    grid = np.ma.asarray(values, dtype="float64")
-    return np.ma.filled(grid, np.nan).ravel()
+    if isinstance(values, np.ma.MaskedArray):
+        values = values.astype("float64").filled(np.nan)
+    return np.asarray(values, dtype="float64").ravel()
 
 
 def _mean_of(values: Any) -> float | None:
-    grid = _plain_grid(values)
-    present = grid[~np.isnan(grid)]
-    return float(present.mean()) if present.size else None
+    """Mean of the points that are there (neither masked nor NaN)."""
+    present = _plain_grid(values)
+    total = present.sum()
+    if np.isnan(total):
+        present = present[~np.isnan(present)]
+        total = present.sum()
+    return float(total / present.size) if present.size else None
 
 
 def _openable(uri: str) -> str:

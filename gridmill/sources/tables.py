@@ -64,11 +64,10 @@ def scan_monthly_cells(
     """
     texts = (
         spark.read.option("pathGlobFilter", glob)
-        .option("wholetext", True)
-        .text(path)
+        .text(path, wholetext=True)
         .select(
             F.col("_metadata.file_name").alias("file"),
-            F.split(F.rtrim("value"), "\r?\n").alias("lines"),
+            F.filter(F.split("value", "\r?\n"), lambda line: line != "").alias("lines"),
         )
     )
     if exclude_prefix is not None:
@@ -105,7 +104,7 @@ def scan_monthly_cells(
 def scan_monthly_partitions(spark: SparkSession, path: str, variables: Sequence[str]) -> DataFrame:
     """Read back what ``write_monthly`` wrote: ``Month, <variables>, year`` with ``year`` from
     the folder names, so a filter on it prunes folders."""
-    schema = _doubles(T.StructField(MONTH_COLUMN, T.StringType()), variables).add("year", "int")
+    schema = _doubles(T.StructField(MONTH_COLUMN, T.StringType()), variables).add("year", T.IntegerType())
     return (
         spark.read.schema(schema)
         .option("header", True)

@@ -1,0 +1,99 @@
+import math
+
+import pytest
+
+from gridmill import operators as op
+from gridmill.sources import union_years
+from helpers import rows
+
+NAN = math.nan
+
+
+def wide(spark, data, variables=("a", "b")):
+    columns = ", ".join(f"`{v}` double" for v in variables)
+    return spark.createDataFrame(data, f"Month string, {columns}, year int")
+
+
+DATA = [("Jan", 1.0, 5.0, 2000), ("Feb", 3.0, 1.0, 2000), ("Jan", 4.0, 4.0, 1999)]
+
+
+def test_prefix_names_lie_side_by_side(spark):
+    yearly = op.yearly_stats(wide(spark, DATA))
+    assert yearly.columns == ["year", "min_a", "max_a", "avg_a", "min_b", "max_b", "avg_b"]
+    assert rows(yearly) == [(1999, 4.0, 4.0, 4.0, 4.0, 4.0, 4.0), (2000, 1.0, 3.0, 2.0, 1.0, 5.0, 3.0)]
+
+
+def test_suffix_names(spark):
+    yearly = op.yearly_stats(wide(spark, DATA), ["b"], naming="suffix")
+    assert yearly.columns == ["Year", "b_min", "b_max", "b_avg"]
+    with pytest.raises(ValueError, match="naming"):
+        op.yearly_stats(wide(spark, DATA), naming="infix")
+
+
+def test_months_weigh_the_same(spark):
+    """February counts as much as January, however many messages each had."""
+    yearly = op.yearly_stats(wide(spark, [("Jan", 1.0, 0.0, 2000), ("Feb", 2.0, 0.0, 2000)]), ["a"])
+    assert yearly.first().avg_a == 1.5
+
+
+def test_min_avg_max_are_ordered(spark):
+    data = [(m, float((i * 7919) % 97), float(i), 1990 + i % 5) for i in range(60) for m in ["Jan"]]
+    for row in op.yearly_stats(wide(spark, data)).collect():
+        assert row.min_a <= row.avg_a <= row.max_a and row.min_b <= row.avg_b <= row.max_b
+
+
+def test_nan_policies(spark):
+    data = [("Jan", NAN, NAN, 2000), ("Feb", 2.0, NAN, 2000), ("Mar", 4.0, NAN, 2000)]
+    skip = op.yearly_stats(wide(spark, data), nan_policy="skip").first()
+    assert tuple(skip) == (2000, 2.0, 4.0, 3.0, None, None, None)
+    kept = op.yearly_stats(wide(spark, data), nan_policy="propagate").first()
+    assert kept.min_a == 2.0 and math.isnan(kept.max_a) and math.isnan(kept.avg_a)
+    assert all(math.isnan(v) for v in (kept.min_b, kept.max_b, kept.avg_b))
+
+
+def test_variables_are_told_by_name_after_a_union(spark):
+    """After tables of unequal columns are stacked, year is no longer the last column."""
+    first = wide(spark, [("Jan", 1.0, 2000)], ["a"])
+    second = wide(spark, [("Jan", 2.0, 3.0, 2001)], ["b", "a"])
+    both = union_years([first, second])
+    assert both.columns == ["Month", "a", "year", "b"]
+    assert op.variable_columns(both) == ["a", "b"]
+    yearly = op.yearly_stats(both)
+    assert rows(yearly) == [(2000, 1.0, 1.0, 1.0, None, None, None), (2001, 3.0, 3.0, 3.0, 2.0, 2.0, 2.0)]
+
+
+def test_no_variable_leaves_the_years(spark):
+    assert rows(op.yearly_stats(wide(spark, DATA), [])) == [(1999,), (2000,)]
+
+
+def test_long_statistics_equal_wide_ones(spark):
+    table = wide(spark, DATA, ["a.x", "b y"])
+    long = table.unpivot(["year", "Month"], ["`a.x`", "`b y`"], "name", "value")
+    yearly = op.yearly_wide(op.yearly_long(long), ["a.x", "b y"])
+    expected = op.yearly_stats(table)
+    assert yearly.columns == expected.columns and rows(yearly) == rows(expected)
+
+
+def test_interleave_reorders(spark):
+    yearly = spark.createDataFrame([(1, 2.0, 3.0, 4.0)], "year int, avg_a double, max_a double, min_a double")
+    assert tuple(op.interleave_stats(yearly, ["a"]).first()) == (1, 4.0, 3.0, 2.0)
+
+
+def test_years_sort_as_numbers(spark):
+    data = [("Jan", 1.0, 1.0, y) for y in (2000, 999, 10000)]
+    yearly = op.sort_years(op.yearly_stats(wide(spark, data)))
+    assert [r.year for r in yearly.collect()] == [999, 2000, 10000]
+    suffix = op.sort_years(op.yearly_stats(wide(spark, data), naming="suffix"))
+    assert [r.Year for r in suffix.collect()] == [999, 2000, 10000]
+    assert [r.year for r in op.distinct_years(wide(spark, data)).collect()] == [999, 2000, 10000]
+
+
+def test_valid_years(spark):
+    table = wide(spark, [("Jan", 1.0, 1.0, None), ("Jan", 2.0, 2.0, 2000)])
+    assert [r.year for r in op.valid_years(table).collect()] == [2000]
+
+
+def test_spine_shows_years_without_data(spark):
+    yearly = op.yearly_stats(wide(spark, DATA), ["a"])
+    got = op.year_spine_join(yearly, op.year_spine(spark, range(1998, 2001)))
+    assert rows(got) == [(1998, None, None, None), (1999, 4.0, 4.0, 4.0), (2000, 1.0, 3.0, 2.0)]

@@ -300,13 +300,13 @@ def month_labels(spark, sf_dir):
     return labelled.withColumn("number", month_number(F.col("label")))
 
 
-@register("select vec_id, round(list_avg(cast(embedding as double[])), 4) as grid_mean from embeddings")
+@register("select vec_id, round(list_avg(cast(embedding as double[])), 4) + 0.0 as grid_mean from embeddings")
 def grid_means(spark, sf_dir):
     grids = views.table(spark, sf_dir, "embeddings")
     return grids.select("vec_id", F.round(grid_mean(F.col("embedding")), 4).alias("grid_mean"))
 
 
-@register("select label, round(avg(list_avg(cast(embedding as double[]))), 4) as value "
+@register("select label, round(avg(list_avg(cast(embedding as double[]))), 4) + 0.0 as value "
           "from embeddings group by label")
 def grid_mean_by_variable(spark, sf_dir):
     grids = views.table(spark, sf_dir, "embeddings")
@@ -504,8 +504,8 @@ def write_monthly_csv(spark, sf_dir):
     folder = src.scratch_path(spark, "monthly")
     sinks.write_monthly(views.lines_monthly(spark, sf_dir), folder)
     table = src.scan_monthly_partitions(spark, folder, MEASURES)
-    table = table.withColumn("month", month_number(F.col("Month")))
-    return rounded(table, *MEASURES).select("year", "month", *MEASURES)
+    table = table.withColumn("number", month_number(F.col("Month")))
+    return rounded(table, *MEASURES).select("year", F.col("number").alias("month"), *MEASURES)
 
 
 @register(LINE_MONTHS)
@@ -516,8 +516,8 @@ def overwrite_twice(spark, sf_dir):
     sinks.write_monthly(wide, folder)
     sinks.write_monthly(wide.where(F.col("year") >= 1998), folder)
     table = src.scan_monthly_partitions(spark, folder, MEASURES)
-    table = table.withColumn("month", month_number(F.col("Month")))
-    return rounded(table, *MEASURES).select("year", "month", *MEASURES)
+    table = table.withColumn("number", month_number(F.col("Month")))
+    return rounded(table, *MEASURES).select("year", F.col("number").alias("month"), *MEASURES)
 
 
 @register(LINE_SERIES)

@@ -124,11 +124,9 @@ def line_decoder():
     """A decoder of those files: (description, grid) per line."""
 
     def decode(content):
-        import numpy as np
-
         for line in content.decode("utf-8").splitlines():
             description, numbers = line.split("|")
-            yield description, np.array(numbers.split(","), dtype="float64")
+            yield description, [float(number) for number in numbers.split(",")]
 
     return decode
 
