@@ -23,7 +23,7 @@ _GRIDS = "file string, msg_no bigint, description string, values array<double>,
 
 def scan_files(spark: SparkSession, path: str, glob: str = "*.grib") -> DataFrame:
     """One row per file: path, modificationTime, length, content. The content is read only if
-    it is selected."""
+    it is selected. Spark leaves files of zero bytes out of every scan."""
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
 
 
@@ -63,7 +63,8 @@ def decode_files(
 
     Each grid is reduced to its mean next to the decoder, so eight bytes per message leave the
     task; ``keep_values=True`` keeps the whole grids instead. Messages are numbered from 0 in
-    file order. A file that fails gives one more row with ``error`` set; see ``split_decoded``.
+    file order. A file that fails or holds no message gives one more row with ``error`` set; see
+    ``split_decoded``.
     """
     if by not in ("content", "path"):
         raise ValueError(f"by must be 'content' or 'path', not {by!r}")
@@ -76,9 +77,12 @@ def decode_files(
     reduce_grid = _plain_grid if keep_values else _mean_of
 
     def messages_of(file: str, source: Any) -> Iterator[tuple]:
+        msg_no = -1
         try:
             for msg_no, (description, values) in enumerate(decoder(source)):
                 yield file, msg_no, str(description), reduce_grid(values), None
+            if msg_no < 0:
+                raise ValueError("no messages")
         except Exception as failure:
             yield file, None, None, None, f"{type(failure).__name__}: {failure}"
 
