@@ -23,6 +23,7 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("--nan-policy", choices=("skip", "propagate"), default="skip")
     parser.add_argument("--naming", choices=("prefix", "suffix"), default="prefix")
     parser.add_argument("--legacy-first-step", action="store_true")
+    parser.add_argument("--same-year", choices=("last", "merge"), default="last")
     options = parser.parse_args(arguments)
     shared = dict(chosen=options.chosen, nan_policy=options.nan_policy, naming=options.naming)
 
@@ -45,6 +46,7 @@ def main(arguments: list[str] | None = None) -> None:
             glob=options.glob,
             decode_by=options.decode_by,
             legacy_first_step=options.legacy_first_step,
+            same_year=options.same_year,
             **shared,
         )
     for variable in outcome.lacking:

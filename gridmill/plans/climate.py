@@ -41,8 +41,12 @@ def monthly_from_messages(
     variables: Sequence[str] | None = None,
     stride: int | None = None,
     legacy_first_step: bool = False,
+    same_year: str = "last",
 ) -> DataFrame:
-    """Message means to ``year, month, name, value``; the last file of a year counts.
+    """Message means to ``year, month, name, value``.
+
+    ``same_year`` says what several files of one year are: with ``"last"`` the last by name
+    replaces the others, with ``"merge"`` they are parts of the year (time mode only).
 
     Time mode groups on each message's own time and name. Position mode uses the message number
     only: with ``variables`` they take turns in list order, ``stride`` of them (the length of
@@ -50,6 +54,12 @@ def monthly_from_messages(
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, not {mode!r}")
+    if same_year not in ("last", "merge") or (same_year == "merge" and mode == "position"):
+        raise ValueError(f"same_year={same_year!r} does not go with mode={mode!r}")
+    if same_year == "merge":
+        monthly = mon.monthly_mean(msg.assign_time(messages))
+        return monthly if variables is None else ser.select_variables(monthly, variables)
+
     facts = mon.keep_last_files(msg.file_facts(messages))
     if mode == "time":
         kept = materialize(facts.select("file"), "kept_files")
@@ -107,6 +117,7 @@ def run(
     nan_policy: str = "skip",
     naming: str = "prefix",
     legacy_first_step: bool = False,
+    same_year: str = "last",
 ) -> Outcome:
     """Files under ``source`` to tables under ``target`` (``monthly``, ``summary``, ``series``,
     ``bad_files``).
@@ -116,12 +127,19 @@ def run(
     after the monthly tables.
     """
     decoded = src.decode_files(src.scan_files(spark, source, glob), decoder, decode_by)
-    good, bad = src.split_decoded(decoded)
-    messages = src.describe(good)
+    # The descriptions are taken apart in the decoding stage, and only their fields are kept.
+    described = src.describe(decoded).drop("description")
+    if mode == "time":
+        described = src.flag_unreadable(described, ["name", "valid_time"])
+    else:
+        described = src.flag_unreadable(described, ["year"], first_message_only=True)
+    messages, bad = src.split_decoded(described)
     bad.write.mode("overwrite").json(f"{target}/bad_files")
 
     names = list(variables) if variables is not None else first_file_variables(messages)
-    monthly = monthly_from_messages(messages, mode, variables, None, legacy_first_step)
+    monthly = monthly_from_messages(
+        messages, mode, variables, None, legacy_first_step, same_year
+    )
     monthly = materialize(ser.select_variables(monthly, names), "monthly")
     dense = mon.dense_months(monthly, names)
     wide = mon.monthly_wide(dense, names)

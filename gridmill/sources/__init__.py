@@ -1,4 +1,10 @@
-from gridmill.sources.files import decode_files, describe, scan_files, split_decoded
+from gridmill.sources.files import (
+    decode_files,
+    describe,
+    flag_unreadable,
+    scan_files,
+    split_decoded,
+)
 from gridmill.sources.scratch import materialize, release_scratch, scratch_path, scratch_root
 from gridmill.sources.tables import (
     read_summary,
@@ -11,6 +17,7 @@ from gridmill.sources.tables import (
 __all__ = [
     "decode_files",
     "describe",
+    "flag_unreadable",
     "materialize",
     "read_summary",
     "release_scratch",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import reduce
+from operator import or_
 from typing import Any
 from urllib.parse import unquote, urlsplit
 
@@ -116,12 +118,23 @@ def split_decoded(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
     output is written once and both results read it back.
     """
     decoded = materialize(decoded, "decoded")
-    bad = decoded.where(F.col("error").isNotNull()).select("file", "error")
+    bad = decoded.where(F.col("error").isNotNull()).groupBy("file").agg(F.min("error").alias("error"))
     bad = materialize(bad, "bad_files")
     good = decoded.where(F.col("error").isNull()).drop("error")
     return good.join(bad.select("file"), "file", "left_anti"), bad
 
 
+def flag_unreadable(
+    messages: DataFrame, required: Sequence[str], first_message_only: bool = False
+) -> DataFrame:
+    """A message whose description lacks a required field becomes an error of its file."""
+    lacking = reduce(or_, [F.col(field).isNull() for field in required])
+    if first_message_only:
+        lacking = lacking & (F.col("msg_no") == 0)
+    reason = F.concat(F.lit(f"message without {' or '.join(required)}: number "), F.col("msg_no"))
+    return messages.withColumn("error", F.coalesce("error", F.when(lacking, reason)))
+
+
 def describe(messages: DataFrame) -> DataFrame:
     """Add ``name``, ``year`` and ``valid_time`` from the description."""
     text = F.col("description")

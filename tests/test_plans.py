@@ -168,3 +168,15 @@ def test_command_line(tmp_path):
     summary = [f for f in os.listdir(tmp_path / "out" / "summary") if f.endswith(".csv")]
     with open(tmp_path / "out" / "summary" / summary[0]) as file:
         assert file.readline() == "year,min_a,max_a,avg_a\n"
+
+
+def test_files_of_one_year_may_be_parts_of_it(spark):
+    data = complete_year(1999, ["a", "b"], 2)
+    parts = [(f"1999-{m[4].month % 4}.grib", *m[1:]) for m in data]
+    merged = monthly_from_messages(messages(spark, parts), same_year="merge")
+    got = {tuple(r)[:3]: r.value for r in merged.collect()}
+    assert got == {k: pytest.approx(v) for k, v in expected_monthly(data).items()}
+    last = monthly_from_messages(messages(spark, parts), same_year="last")
+    assert {r.month for r in last.collect()} == {3, 7, 11}
+    with pytest.raises(ValueError, match="same_year"):
+        monthly_from_messages(messages(spark, parts), "position", same_year="merge")

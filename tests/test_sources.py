@@ -216,3 +216,16 @@ def test_materialize_runs_once(spark):
     assert stored.schema == df.schema or stored.columns == df.columns
     assert rows(stored) == rows(stored)
     assert "FileScan parquet" in stored._jdf.queryExecution().executedPlan().toString()
+
+
+def test_unreadable_descriptions_are_errors_of_their_file(spark, tmp_path):
+    put(tmp_path, "1.grib", json.dumps({"d": "0:a:200001010000", "v": [1]}))
+    put(tmp_path, "2.grib", "\n".join(
+        json.dumps({"d": d, "v": [1]}) for d in ("0:a:200001010000", "1:a:no time", "2:no time")
+    ))
+    decoded = src.describe(src.decode_files(src.scan_files(spark, str(tmp_path)), json_decoder()))
+    good, bad = src.split_decoded(src.flag_unreadable(decoded, ["name", "valid_time"]))
+    assert [r.file for r in base(good).collect()] == ["1.grib"]
+    assert rows(base(bad)) == [("2.grib", "message without name or valid_time: number 1")]
+    first = src.flag_unreadable(decoded, ["year"], first_message_only=True)
+    assert src.split_decoded(first)[1].count() == 0

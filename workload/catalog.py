@@ -599,6 +599,29 @@ def full_job(spark, sf_dir):
     source = views.write_message_files(spark, sf_dir)
     target = src.scratch_path(spark, "results")
     outcome = run(
-        spark, source, target, views.line_decoder(), variables=["A", "N", "R"], glob="*.txt"
+        spark, source, target, views.line_decoder(),
+        variables=["A", "N", "R"], glob="*.txt", same_year="merge",
     )
     return rounded(outcome.series, "value").where(F.col("value").isNotNull())
+
+
+@register(f"""with lines as (
+    select *, (row_number() over (partition by l_shipdate order by {", ".join(views.LINE_ORDER)}) - 1)
+              // {views.GRID_POINTS} as block from lineitem),
+cells as (
+    {" union all ".join(f"select l_shipdate, block, '{m}' as name, "
+                        f"avg({views.WHOLE_SQL[m]}) as grid_mean from lines group by 1, 2"
+                        for m in MEASURES)})
+select name, cast(year(l_shipdate) as int) as year, cast(month(l_shipdate) as int) as month,
+       round(avg(grid_mean), 4) as value, count(*) as n from cells group by 1, 2, 3""")
+def decode_day_grids(spark, sf_dir):
+    """Grids of many points: each counts once in its month, however many points it has."""
+    files = src.scan_files(spark, views.write_grid_files(spark, sf_dir), "*.txt")
+    decoded = src.decode_files(files, views.line_decoder())
+    messages = op.assign_time(src.describe(decoded))
+    return rounded(
+        messages.groupBy("name", "year", "month").agg(
+            F.avg("grid_mean").alias("value"), F.count("grid_mean").alias("n")
+        ),
+        "value",
+    )

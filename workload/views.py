@@ -75,43 +75,44 @@ def lines_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monthly_mean_wide(table(spark, sf_dir, "lineitem"), "l_shipdate", MEASURES)
 
 
-# --- lineitem as message files: one message per line, a grid of its four measures ---------
+# --- lineitem as message files ------------------------------------------------------------
 
-GRIDS_SQL = """
+# Measures as whole numbers.
+WHOLE_SQL = {m: f"round({m} * 100)" for m in MEASURES} | {"l_quantity": "l_quantity"}
+_TEXT = " || ',' || ".join(f"cast(cast({WHOLE_SQL[m]} as bigint) as varchar)" for m in MEASURES)
+
+GRIDS_SQL = f"""
     select cast(year(l_shipdate) as int) as year, cast(month(l_shipdate) as int) as month,
            l_returnflag as name,
-           (l_quantity + round(l_extendedprice * 100) + round(l_discount * 100)
-            + round(l_tax * 100)) / 4 as grid_mean,
+           ({" + ".join(WHOLE_SQL.values())}) / 4 as grid_mean,
            cast(l_orderkey as varchar) || ':' || l_returnflag || ':level 0:from '
-               || strftime(l_shipdate, '%Y%m%d%H%M') || '|'
-               || cast(cast(l_quantity as bigint) as varchar) || ','
-               || cast(cast(round(l_extendedprice * 100) as bigint) as varchar) || ','
-               || cast(cast(round(l_discount * 100) as bigint) as varchar) || ','
-               || cast(cast(round(l_tax * 100) as bigint) as varchar) as line
+               || strftime(l_shipdate, '%Y%m%d%H%M') || '|' || {_TEXT} as line
     from lineitem"""
 
+# Lines that tie on all of these are equal in all that is measured.
+LINE_ORDER = ["l_orderkey", "l_linenumber", *MEASURES]
+GRID_POINTS = 200
+
 # Rows of a message file, so that a large year becomes many files and none grows with the data.
-FILE_ROWS = 200_000
+FILE_ROWS = 50_000
 
 
-def write_message_files(spark: SparkSession, sf_dir: str) -> str:
-    """Text files ``year=YYYY/*.txt``, one line per message, in time order; returns the folder."""
-    time = F.col("l_shipdate")
-    hundred = [F.round(F.col(m) * 100) for m in MEASURES[1:]]
-    values = [c.cast("bigint").cast("string") for c in [F.col("l_quantity"), *hundred]]
-    description = F.concat_ws(
-        ":", F.col("l_orderkey").cast("string"), "l_returnflag", F.lit("level 0"),
-        F.concat(F.lit("from "), F.date_format(time, STAMP)),
-    )
+def _description(key, name):
+    stamp = F.concat(F.lit("from "), F.date_format("l_shipdate", STAMP))
+    return F.concat_ws(":", key, name, F.lit("level 0"), stamp)
+
+
+def _write_lines(spark: SparkSession, messages: DataFrame) -> str:
+    """``year, time, value`` rows to text files ``year=YYYY/*.txt``, in time order.
+
+    Ranges of time go to one task each, so the number of files follows the data and not tasks
+    times years.
+    """
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     folder = scratch_path(spark, "message_files")
     (
-        table(spark, sf_dir, "lineitem")
-        .select(
-            F.year(time).alias("year"),
-            time.alias("time"),
-            F.concat(description, F.lit("|"), F.concat_ws(",", *values)).alias("value"),
-        )
-        .sortWithinPartitions("year", "time", "value")
+        messages.repartitionByRange(ranges, "time", "value")
+        .sortWithinPartitions("time", "value")
         .select("value", "year")
         .write.option("maxRecordsPerFile", FILE_ROWS)
         .partitionBy("year")
@@ -120,13 +121,54 @@ def write_message_files(spark: SparkSession, sf_dir: str) -> str:
     return folder
 
 
+def write_message_files(spark: SparkSession, sf_dir: str) -> str:
+    """One message per line item, with its measures as a grid of four; returns the folder."""
+    values = [F.expr(WHOLE_SQL[m]).cast("bigint").cast("string") for m in MEASURES]
+    description = _description(F.col("l_orderkey").cast("string"), F.col("l_returnflag"))
+    messages = table(spark, sf_dir, "lineitem").select(
+        F.year("l_shipdate").alias("year"),
+        F.col("l_shipdate").alias("time"),
+        F.concat(description, F.lit("|"), F.concat_ws(",", *values)).alias("value"),
+    )
+    return _write_lines(spark, messages)
+
+
+def write_grid_files(spark: SparkSession, sf_dir: str, copies: int = 1) -> str:
+    """One message per day, measure and block of line items, with a point per line item. Blocks
+    keep the size of a grid fixed. ``copies`` repeats each message, for throughput runs."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_shipdate"),
+        F.date_format("l_shipdate", STAMP).alias("file"),
+        *LINE_ORDER,
+    )
+    block = F.expr(f"msg_no div {GRID_POINTS}").alias("block")
+    grids = number_messages(lines, LINE_ORDER).groupBy("l_shipdate", block).agg(
+        *[
+            F.concat_ws(",", F.collect_list(F.expr(WHOLE_SQL[m]).cast("bigint").cast("string"))).alias(m)
+            for m in MEASURES
+        ]
+    )
+    named = grids.unpivot(["l_shipdate", "block"], MEASURES, "name", "grid")
+    description = _description(F.col("block").cast("string"), F.col("name"))
+    messages = named.select(
+        F.year("l_shipdate").alias("year"),
+        F.col("l_shipdate").alias("time"),
+        F.concat(description, F.lit("|"), "grid").alias("value"),
+    )
+    if copies > 1:
+        messages = messages.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+    return _write_lines(spark, messages)
+
+
 def line_decoder():
     """A decoder of those files: (description, grid) per line."""
 
     def decode(content):
+        import numpy as np
+
         for line in content.decode("utf-8").splitlines():
             description, numbers = line.split("|")
-            yield description, [float(number) for number in numbers.split(",")]
+            yield description, np.fromstring(numbers, sep=",")
 
     return decode
 
