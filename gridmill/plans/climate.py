@@ -25,7 +25,11 @@ MAX_WIDE_VARIABLES = 5000
 
 @dataclass(frozen=True)
 class Outcome:
-    """Results of a job; ``yearly`` and ``series`` are None if no variable was chosen."""
+    """Results of a job: ``monthly`` is long (``year, month, name, value``), ``yearly`` wide.
+    ``yearly`` and ``series`` are None if no variable was chosen.
+
+    ``monthly`` and ``bad_files`` read scratch tables, so release those after their last use.
+    """
 
     variables: list[str]
     monthly: DataFrame
@@ -90,11 +94,18 @@ def monthly_from_messages(
     return monthly.select("year", "month", "name", "value")
 
 
-def first_file_variables(messages: DataFrame) -> list[str]:
-    """Names of the first file by name, in order of first use: the columns of the wide tables."""
+def first_file_variables(messages: DataFrame, mode: str = "time") -> list[str]:
+    """Variables of the first file by name, in file order: the columns of the wide tables.
+
+    In position mode these are the discovered ones, which end at the first repeat.
+    """
     first = messages.agg(F.min("file").alias("file"))
-    uses = messages.join(first, "file", "left_semi").groupBy("name")
-    ordered = uses.agg(F.min("msg_no").alias("first_use")).orderBy("first_use", "name")
+    own = messages.join(first, "file", "left_semi")
+    if mode == "position":
+        ordered = msg.discover_variables(own).orderBy("var_ix").select("name")
+    else:
+        uses = own.groupBy("name").agg(F.min("msg_no").alias("first_use"))
+        ordered = uses.orderBy("first_use", "name").select("name")
     names = [row["name"] for row in ordered.limit(MAX_WIDE_VARIABLES + 1).collect()]
     if len(names) > MAX_WIDE_VARIABLES:
         raise ValueError(
@@ -136,15 +147,14 @@ def run(
     messages, bad = src.split_decoded(described)
     bad.write.mode("overwrite").json(f"{target}/bad_files")
 
-    names = list(variables) if variables is not None else first_file_variables(messages)
+    names = list(variables) if variables is not None else first_file_variables(messages, mode)
     monthly = monthly_from_messages(
         messages, mode, variables, None, legacy_first_step, same_year
     )
     monthly = materialize(ser.select_variables(monthly, names), "monthly")
     dense = mon.dense_months(monthly, names)
-    wide = mon.monthly_wide(dense, names)
-    sinks.write_monthly(wide, f"{target}/monthly")
-    return _summarize(wide, names, target, chosen, nan_policy, naming, bad)
+    sinks.write_monthly(mon.monthly_wide(dense, names), f"{target}/monthly")
+    return _summarize(dense, names, target, chosen, nan_policy, naming, bad)
 
 
 def summarize_folder(
@@ -160,12 +170,11 @@ def summarize_folder(
     """The second half only: a folder of ``YYYY.csv`` files to summary and series."""
     cells = tab.scan_monthly_cells(spark, source, exclude_prefix=exclude_prefix)
     kept = ser.select_variables(yr.valid_years(cells), variables)
-    wide = mon.monthly_wide(materialize(kept, "monthly"), variables)
-    return _summarize(wide, list(variables), target, chosen, nan_policy, naming, None)
+    return _summarize(kept, list(variables), target, chosen, nan_policy, naming, None)
 
 
 def _summarize(
-    wide: DataFrame,
+    monthly: DataFrame,
     names: list[str],
     target: str,
     chosen: Sequence[str] | None,
@@ -174,12 +183,12 @@ def _summarize(
     bad: DataFrame | None,
 ) -> Outcome:
     if chosen is not None and not chosen:
-        return Outcome(names, wide, None, None, bad)
-    yearly = yr.yearly_stats(wide, names, nan_policy, naming)
+        return Outcome(names, monthly, None, None, bad)
+    yearly = yr.yearly_wide(yr.yearly_long(monthly, nan_policy), names, naming)
     sinks.write_summary(yearly, f"{target}/summary")
-    summary = tab.read_summary(wide.sparkSession, f"{target}/summary", names, naming)
+    summary = tab.read_summary(monthly.sparkSession, f"{target}/summary", names, naming)
     picked = names if chosen is None else list(chosen)
     present, lacking = ser.select_summary(summary, picked, naming)
     series = ser.trend_series(present, [n for n in picked if n not in lacking], naming)
     sinks.write_series(series, f"{target}/series")
-    return Outcome(names, wide, summary, series, bad, tuple(lacking))
+    return Outcome(names, monthly, summary, series, bad, tuple(lacking))

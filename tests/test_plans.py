@@ -53,9 +53,7 @@ def test_run(spark, folder, mode, variables):
     assert [r.file.rsplit("/", 1)[-1] for r in outcome.bad_files.collect()] == ["bad.grib"]
 
     monthly = expected_monthly(data)
-    got = {
-        (r.year, r.month, name): r[name] for r in outcome.monthly.collect() for name in NAMES
-    }
+    got = {(r.year, r.month, r.name): r.value for r in outcome.monthly.collect()}
     assert got.keys() == monthly.keys()
     assert all(got[k] == pytest.approx(monthly[k]) for k in monthly)
 
@@ -88,7 +86,7 @@ def test_no_file_decodes(spark, tmp_path):
     (tmp_path / "x.grib").write_text("junk")
     target = str(tmp_path / "out")
     outcome = run(spark, str(tmp_path), target, decoder(), variables=["a"])
-    assert outcome.monthly.count() == 0 and outcome.bad_files.count() == 1
+    assert outcome.monthly.count() == outcome.yearly.count() == 0 and outcome.bad_files.count() == 1
 
 
 def test_legacy_first_step_changes_january_only(spark):
@@ -122,6 +120,13 @@ def test_each_file_is_read_with_its_own_variables(spark):
     assert first_file_variables(messages(spark, data)) == ["a", "b"]
 
 
+def test_variables_of_the_first_file(spark):
+    """Time mode takes all names; position mode stops at the first repeat."""
+    data = complete_year(2000, ["z"], 1) + complete_year(1999, ["c", "a", "a", "b"], 1)
+    assert first_file_variables(messages(spark, data)) == ["c", "a", "b"]
+    assert first_file_variables(messages(spark, data), "position") == ["c", "a"]
+
+
 def test_mode_is_checked(spark):
     with pytest.raises(ValueError, match="mode"):
         monthly_from_messages(messages(spark, complete_year(1999, ["a"], 1)), "guess")
@@ -143,6 +148,16 @@ def test_summarize_folder(spark, tmp_path):
     assert outcome.yearly.where("min_zz is not null").count() == 0
 
 
+def test_summary_counts_every_line_of_a_year(spark, tmp_path):
+    """Labels that are no English month, and two files of one year."""
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "1999.csv").write_text("Month,a\nsty,1.0\nlut,9.0\n")
+    (source / "1999.more.csv").write_text("Month,a\nsty,2.0\n")
+    outcome = summarize_folder(spark, str(source), str(tmp_path / "out"), ["a"])
+    assert rows(outcome.yearly) == [(1999, 1.0, 9.0, 4.0)]
+
+
 def test_command_line(tmp_path):
     """The job as its own process, as spark-submit would run it."""
     source = tmp_path / "in"

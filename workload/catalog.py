@@ -617,7 +617,7 @@ select name, cast(year(l_shipdate) as int) as year, cast(month(l_shipdate) as in
 def decode_day_grids(spark, sf_dir):
     """Grids of many points: each counts once in its month, however many points it has."""
     files = src.scan_files(spark, views.write_grid_files(spark, sf_dir), "*.txt")
-    decoded = src.decode_files(files, views.line_decoder())
+    decoded = src.decode_files(files, views.packed_decoder())
     messages = op.assign_time(src.describe(decoded))
     return rounded(
         messages.groupBy("name", "year", "month").agg(

@@ -134,19 +134,21 @@ def write_message_files(spark: SparkSession, sf_dir: str) -> str:
 
 
 def write_grid_files(spark: SparkSession, sf_dir: str, copies: int = 1) -> str:
-    """One message per day, measure and block of line items, with a point per line item. Blocks
-    keep the size of a grid fixed. ``copies`` repeats each message, for throughput runs."""
+    """One message per day, measure and block of line items, with a point per line item, packed
+    as 32-bit whole numbers. Blocks bound the size of a grid. ``copies`` repeats each message,
+    for throughput runs."""
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_shipdate"),
         F.date_format("l_shipdate", STAMP).alias("file"),
         *LINE_ORDER,
     )
+
+    def packed(measure):
+        return F.lpad(F.hex(F.expr(WHOLE_SQL[measure]).cast("bigint")), 8, "0")
+
     block = F.expr(f"msg_no div {GRID_POINTS}").alias("block")
     grids = number_messages(lines, LINE_ORDER).groupBy("l_shipdate", block).agg(
-        *[
-            F.concat_ws(",", F.collect_list(F.expr(WHOLE_SQL[m]).cast("bigint").cast("string"))).alias(m)
-            for m in MEASURES
-        ]
+        *[F.concat_ws("", F.collect_list(packed(m))).alias(m) for m in MEASURES]
     )
     named = grids.unpivot(["l_shipdate", "block"], MEASURES, "name", "grid")
     description = _description(F.col("block").cast("string"), F.col("name"))
@@ -161,14 +163,25 @@ def write_grid_files(spark: SparkSession, sf_dir: str, copies: int = 1) -> str:
 
 
 def line_decoder():
-    """A decoder of those files: (description, grid) per line."""
+    """A decoder of message files: (description, grid) per line."""
+
+    def decode(content):
+        for line in content.decode("utf-8").splitlines():
+            description, numbers = line.split("|")
+            yield description, [float(number) for number in numbers.split(",")]
+
+    return decode
+
+
+def packed_decoder():
+    """A decoder of grid files."""
 
     def decode(content):
         import numpy as np
 
         for line in content.decode("utf-8").splitlines():
-            description, numbers = line.split("|")
-            yield description, np.fromstring(numbers, sep=",")
+            description, grid = line.split("|")
+            yield description, np.frombuffer(bytes.fromhex(grid), dtype=">u4")
 
     return decode
 
