@@ -7,6 +7,7 @@ from importlib import import_module
 
 from gridmill.plans.climate import MODES, run, summarize_folder
 from gridmill.session import session
+from gridmill.sources.files import DECODE_BY
 from gridmill.sources.scratch import release_scratch
 
 
@@ -15,7 +16,7 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("source", help="folder of message files, or of YYYY.csv files")
     parser.add_argument("target", help="folder for the results")
     parser.add_argument("--decoder", help="module:function; without it the source holds CSV files")
-    parser.add_argument("--decode-by", choices=("content", "path"), default="content")
+    parser.add_argument("--decode-by", choices=DECODE_BY, default="content")
     parser.add_argument("--glob", default="*.grib")
     parser.add_argument("--mode", choices=MODES, default="time")
     parser.add_argument("--variable", action="append", dest="variables", help="repeatable")

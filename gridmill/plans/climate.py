@@ -129,15 +129,18 @@ def run(
     naming: str = "prefix",
     legacy_first_step: bool = False,
     same_year: str = "last",
+    range_bytes: int = src.RANGE_BYTES,
 ) -> Outcome:
     """Files under ``source`` to tables under ``target`` (``monthly``, ``summary``, ``series``,
     ``bad_files``).
 
     ``variables``: the list of variables; by default that of the first file, for all years.
     ``chosen``: variables of the summary and the series (default all); an empty list stops
-    after the monthly tables.
+    after the monthly tables. ``decode_by`` and ``range_bytes``: see ``decode_files``; the other
+    settings: see ``monthly_from_messages`` and ``yearly_stats``.
     """
-    decoded = src.decode_files(src.scan_files(spark, source, glob), decoder, decode_by)
+    files = src.scan_files(spark, source, glob)
+    decoded = src.decode_files(files, decoder, decode_by, range_bytes=range_bytes)
     # The descriptions are taken apart in the decoding stage, and only their fields are kept.
     described = src.describe(decoded).drop("description")
     if mode == "time":
@@ -145,6 +148,8 @@ def run(
     else:
         described = src.flag_unreadable(described, ["year"], first_message_only=True)
     messages, bad = src.split_decoded(described)
+    if decode_by == "range" and mode == "position":
+        messages = msg.number_messages(messages.withColumnRenamed("msg_no", "offset"), ["offset"])
     bad.write.mode("overwrite").json(f"{target}/bad_files")
 
     names = list(variables) if variables is not None else first_file_variables(messages, mode)

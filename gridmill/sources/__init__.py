@@ -4,6 +4,7 @@ from gridmill.sources.files import (
     flag_unreadable,
     scan_files,
     split_decoded,
+    split_files,
 )
 from gridmill.sources.scratch import materialize, release_scratch, scratch_path, scratch_root
 from gridmill.sources.tables import (
@@ -28,5 +29,6 @@ __all__ = [
     "scratch_path",
     "scratch_root",
     "split_decoded",
+    "split_files",
     "union_years",
 ]

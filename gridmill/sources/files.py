@@ -17,7 +17,11 @@ from gridmill.functions.descriptions import stamp_year, valid_time, variable_nam
 from gridmill.sources.scratch import materialize
 
 # A decoder turns one file into its messages, in file order: (description, grid values).
-Decoder = Callable[[Any], Iterable[tuple[str, Any]]]
+Decoder = Callable[..., Iterable[tuple]]
+DECODE_BY = ("content", "path", "range")
+
+RANGE_BYTES = 256 * 1024 * 1024
+MAX_TASKS = 100_000
 
 _MEANS = "file string, msg_no bigint, description string, grid_mean double, error string"
 _GRIDS = "file string, msg_no bigint, description string, values array<double>, error string"
@@ -50,26 +54,45 @@ def _openable(uri: str) -> str:
     return unquote(parts.path) if parts.scheme == "file" else uri
 
 
+def split_files(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """``path, start, end``: each file cut into byte ranges, one task each, so that one huge file
+    is decoded by as many tasks as the same bytes in many files."""
+    pieces = F.ceil(F.col("length") / F.lit(range_bytes))
+    tasks = files.agg(F.sum(pieces)).first()[0] or 1
+    starts = F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(range_bytes).cast("bigint"))
+    ranges = files.select("path", "length", F.explode(starts).alias("start"))
+    end = F.least(F.col("start") + range_bytes, F.col("length"))
+    # A given number of partitions: adaptive execution would merge rows this small into one task.
+    return ranges.select("path", "start", end.alias("end")).repartition(
+        min(int(tasks), MAX_TASKS), "path", "start"
+    )
+
+
 def decode_files(
     files: DataFrame,
     decoder: Decoder,
     by: str = "content",
     keep_values: bool = False,
     batch_rows: int = 2048,
+    range_bytes: int = RANGE_BYTES,
 ) -> DataFrame:
-    """Expand each file to its messages.
+    """Expand each file to its messages, numbered from 0 in file order.
 
-    ``by="content"`` hands the decoder the bytes of the file (Spark reads them; at most 2 GB a
-    file). ``by="path"`` hands it the path only: the bytes never pass through the JVM, the
-    decoder streams the file itself, and a file of any size needs the memory of one message.
+    ``by`` says what the decoder gets:
+
+    - ``"content"``: the bytes of the file, at most 2 GB; Spark reads them.
+    - ``"path"``: the path. The bytes never pass through the JVM, the decoder streams the file,
+      and a file of any size needs the memory of one message.
+    - ``"range"``: path, start and end of a byte range. The decoder gives ``(offset, description,
+      values)`` of the messages that begin in it; ``msg_no`` is that offset, which
+      ``number_messages`` can turn into a count. For files too long for one task.
 
     Each grid is reduced to its mean next to the decoder, so eight bytes per message leave the
-    task; ``keep_values=True`` keeps the whole grids instead. Messages are numbered from 0 in
-    file order. A file that fails or holds no message gives one more row with ``error`` set; see
-    ``split_decoded``.
+    task; ``keep_values=True`` keeps the whole grids instead. A file that fails or holds no
+    message gives one more row with ``error`` set; see ``split_decoded``.
     """
-    if by not in ("content", "path"):
-        raise ValueError(f"by must be 'content' or 'path', not {by!r}")
+    if by not in DECODE_BY:
+        raise ValueError(f"by must be one of {DECODE_BY}, not {by!r}")
     fields = [("file", pa.string()), ("msg_no", pa.int64()), ("description", pa.string())]
     if keep_values:
         fields.append(("values", pa.list_(pa.float64())))
@@ -78,13 +101,20 @@ def decode_files(
     layout = pa.schema([*fields, ("error", pa.string())])
     reduce_grid = _plain_grid if keep_values else _mean_of
 
-    def messages_of(file: str, source: Any) -> Iterator[tuple]:
+    def decoded(arguments: list) -> Iterator[tuple]:
+        if by == "range":
+            yield from decoder(*arguments)
+            return
         msg_no = -1
+        for msg_no, (description, values) in enumerate(decoder(*arguments)):
+            yield msg_no, description, values
+        if msg_no < 0:
+            raise ValueError("no messages")
+
+    def messages_of(file: str, arguments: list) -> Iterator[tuple]:
         try:
-            for msg_no, (description, values) in enumerate(decoder(source)):
+            for msg_no, description, values in decoded(arguments):
                 yield file, msg_no, str(description), reduce_grid(values), None
-            if msg_no < 0:
-                raise ValueError("no messages")
         except Exception as failure:
             yield file, None, None, None, f"{type(failure).__name__}: {failure}"
 
@@ -95,11 +125,11 @@ def decode_files(
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for batch in batches:
-            paths = batch.column(0)
-            sources = batch.column(batch.num_columns - 1)
-            for path, source in zip(paths, sources):
-                opened = _openable(source.as_py()) if by == "path" else source.as_py()
-                for row in messages_of(path.as_py(), opened):
+            for cells in zip(*batch.columns):
+                file, *arguments = [cell.as_py() for cell in cells]
+                if by != "content":
+                    arguments = [_openable(file), *arguments]
+                for row in messages_of(file, arguments):
                     rows.append(row)
                     if len(rows) >= batch_rows:
                         yield to_batch(rows)
@@ -107,8 +137,11 @@ def decode_files(
         if rows:
             yield to_batch(rows)
 
-    columns = ["path", "content"] if by == "content" else ["path"]
-    return files.select(*columns).mapInArrow(decode, _GRIDS if keep_values else _MEANS)
+    if by == "range":
+        sources = split_files(files, range_bytes)
+    else:
+        sources = files.select("path", "content") if by == "content" else files.select("path")
+    return sources.mapInArrow(decode, _GRIDS if keep_values else _MEANS)
 
 
 def split_decoded(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:

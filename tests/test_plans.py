@@ -67,6 +67,31 @@ def test_run(spark, folder, mode, variables):
     assert sorted(os.listdir(target)) == ["bad_files", "monthly", "series", "summary"]
 
 
+def range_decoder():
+    def decode(path, start, end):
+        with open(path, "rb") as lines:
+            if start:
+                lines.seek(start - 1)
+                lines.readline()
+            while (offset := lines.tell()) < end and (line := lines.readline().decode()):
+                yield offset, line.split("|")[0], [float(x) for x in line.split("|")[1].split(",")]
+
+    return decode
+
+
+@pytest.mark.parametrize("mode", ["time", "position"])
+def test_run_by_ranges(spark, folder, mode):
+    """The same results when each file is decoded in pieces."""
+    source, target, data = folder
+    outcome = run(
+        spark, source, target, range_decoder(), mode=mode, decode_by="range", range_bytes=20_000
+    )
+    monthly = expected_monthly(data)
+    got = {(r.year, r.month, r.name): r.value for r in outcome.monthly.collect()}
+    assert got == {k: pytest.approx(v) for k, v in monthly.items()}
+    assert outcome.bad_files.count() == 1
+
+
 def test_nothing_chosen_stops_after_the_monthly_tables(spark, folder):
     source, target, _ = folder
     outcome = run(spark, source, target, decoder(), chosen=[])

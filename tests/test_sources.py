@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gridmill import sources as src
 from gridmill.functions import grid_mean
+from gridmill.operators import number_messages
 from gridmill.sources import scratch
 from helpers import rows
 
@@ -75,6 +76,43 @@ def test_decode_numbers_messages_and_reports_bad_files(spark, toy_files, by, dec
     assert set(report) == {"2.grib", "3.grib"} and "JSONDecodeError" in report["2.grib"]
 
 
+def range_decoder():
+    """Lines that begin in [start, end), with their offsets."""
+
+    def decode(path, start, end):
+        with open(path, "rb") as lines:
+            if start:
+                lines.seek(start - 1)
+                lines.readline()
+            while (offset := lines.tell()) < end and (line := lines.readline()):
+                message = json.loads(line)
+                yield offset, message["d"], message["v"]
+
+    return decode
+
+
+@pytest.mark.parametrize("range_bytes", [7, 60, 10**6])
+def test_ranges_of_a_file_give_each_message_once(spark, toy_files, range_bytes):
+    files = src.scan_files(spark, toy_files)
+    decoded = src.decode_files(files, range_decoder(), by="range", range_bytes=range_bytes)
+    good, bad = src.split_decoded(decoded)
+    assert {r.file for r in base(bad).collect()} == {"2.grib", "3.grib"}
+    numbered = number_messages(good.withColumnRenamed("msg_no", "offset"), ["offset"])
+    got = rows(base(numbered).select("file", "msg_no", "grid_mean"))
+    assert got == [("1.grib", i, i + 1.0) for i in range(5)]
+
+
+def test_one_file_is_decoded_by_many_tasks(spark, tmp_path):
+    line = json.dumps({"d": "0:a:200001010000", "v": [1]}) + "\n"
+    put(tmp_path, "1.grib", line * 400)
+    files = src.scan_files(spark, str(tmp_path))
+    ranges = src.split_files(files, len(line) * 10)
+    assert ranges.count() == 40
+    used = ranges.withColumn("p", F.spark_partition_id()).select("p").distinct().count()
+    assert used > 20
+    assert src.decode_files(files, range_decoder(), "range", range_bytes=len(line) * 10).count() == 400
+
+
 def test_a_file_without_messages_is_reported(spark, tmp_path):
     put(tmp_path, "1.grib", "x")
     good, bad = src.split_decoded(src.decode_files(src.scan_files(spark, str(tmp_path)), lambda _: []))
