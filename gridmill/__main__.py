@@ -11,6 +11,11 @@ from gridmill.sources.files import DECODE_BY
 from gridmill.sources.scratch import release_scratch
 
 
+def _years(text: str) -> range:
+    first, _, last = text.partition("-")
+    return range(int(first), int(last or first) + 1)
+
+
 def main(arguments: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="gridmill")
     parser.add_argument("source", help="folder of message files, or of YYYY.csv files")
@@ -23,10 +28,17 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("--chosen", action="append", help="repeatable; variables of the summary")
     parser.add_argument("--nan-policy", choices=("skip", "propagate"), default="skip")
     parser.add_argument("--naming", choices=("prefix", "suffix"), default="prefix")
+    parser.add_argument("--years", type=_years, help="first-last, the years of the summary")
     parser.add_argument("--legacy-first-step", action="store_true")
+    parser.add_argument("--stride", type=int, help="variables per time step in position mode")
     parser.add_argument("--same-year", choices=("last", "merge"), default="last")
     options = parser.parse_args(arguments)
-    shared = dict(chosen=options.chosen, nan_policy=options.nan_policy, naming=options.naming)
+    shared = dict(
+        chosen=options.chosen,
+        nan_policy=options.nan_policy,
+        naming=options.naming,
+        years=options.years,
+    )
 
     spark = session()
     if options.decoder is None:
@@ -47,6 +59,7 @@ def main(arguments: list[str] | None = None) -> None:
             glob=options.glob,
             decode_by=options.decode_by,
             legacy_first_step=options.legacy_first_step,
+            stride=options.stride,
             same_year=options.same_year,
             **shared,
         )

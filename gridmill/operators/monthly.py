@@ -26,6 +26,8 @@ def monthly_mean_wide(table: DataFrame, time: str, variables: Sequence[str]) ->
 def monthly_wide(monthly: DataFrame, names: Sequence[str]) -> DataFrame:
     """Variables become columns, in the order of ``names``. The list is given, so no job runs to
     find it."""
+    if not names:
+        return monthly.select("year", "month").distinct()
     wide = monthly.groupBy("year", "month").pivot("name", list(names)).agg(F.first("value"))
     return wide.select("year", "month", *[named(name) for name in names])
 
@@ -51,7 +53,7 @@ def dense_months(
     if names is None:
         spine = monthly.select("year", "name").distinct()
     else:
-        labels = F.array(*[F.lit(name) for name in names])
+        labels = F.array(*[F.lit(name) for name in names]).cast("array<string>")
         spine = monthly.select("year").distinct().withColumn("name", F.explode(labels))
     spine = spine.withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))
     dense = spine.join(

@@ -59,6 +59,8 @@ def yearly_long(monthly: DataFrame, nan_policy: str = "skip") -> DataFrame:
 
 def yearly_wide(yearly: DataFrame, names: Sequence[str], naming: str = "prefix") -> DataFrame:
     """Long yearly statistics as the wide summary table."""
+    if not names:
+        return yearly.select(F.col("year").alias(year_column(naming))).distinct()
     pivoted = yearly.groupBy("year").pivot("name", list(names)).agg(
         *[F.first(stat).alias(stat) for stat in STATS]
     )
@@ -87,6 +89,7 @@ def year_spine(spark: SparkSession, years: Iterable[int]) -> DataFrame:
     return spark.createDataFrame([(int(year),) for year in years], "year int")
 
 
-def year_spine_join(yearly: DataFrame, spine: DataFrame) -> DataFrame:
+def year_spine_join(yearly: DataFrame, spine: DataFrame, naming: str = "prefix") -> DataFrame:
     """All years of the spine; one without data shows nulls."""
-    return spine.join(yearly, "year", "left")
+    year = year_column(naming)
+    return spine.select(F.col("year").alias(year)).join(yearly, year, "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -128,7 +128,9 @@ def run(
     nan_policy: str = "skip",
     naming: str = "prefix",
     legacy_first_step: bool = False,
+    stride: int | None = None,
     same_year: str = "last",
+    years: Iterable[int] | None = None,
     range_bytes: int = src.RANGE_BYTES,
 ) -> Outcome:
     """Files under ``source`` to tables under ``target`` (``monthly``, ``summary``, ``series``,
@@ -136,7 +138,8 @@ def run(
 
     ``variables``: the list of variables; by default that of the first file, for all years.
     ``chosen``: variables of the summary and the series (default all); an empty list stops
-    after the monthly tables. ``decode_by`` and ``range_bytes``: see ``decode_files``; the other
+    after the monthly tables. ``years``: the years of the summary, with nulls where there are no
+    data (default: those with data). ``decode_by`` and ``range_bytes``: see ``decode_files``; the other
     settings: see ``monthly_from_messages`` and ``yearly_stats``.
     """
     files = src.scan_files(spark, source, glob)
@@ -154,12 +157,12 @@ def run(
 
     names = list(variables) if variables is not None else first_file_variables(messages, mode)
     monthly = monthly_from_messages(
-        messages, mode, variables, None, legacy_first_step, same_year
+        messages, mode, variables, stride, legacy_first_step, same_year
     )
     monthly = materialize(ser.select_variables(monthly, names), "monthly")
     dense = mon.dense_months(monthly, names)
     sinks.write_monthly(mon.monthly_wide(dense, names), f"{target}/monthly")
-    return _summarize(dense, names, target, chosen, nan_policy, naming, bad)
+    return _summarize(dense, names, target, chosen, nan_policy, naming, years, bad)
 
 
 def summarize_folder(
@@ -171,11 +174,12 @@ def summarize_folder(
     nan_policy: str = "skip",
     naming: str = "prefix",
     exclude_prefix: str = "summary_data",
+    years: Iterable[int] | None = None,
 ) -> Outcome:
     """The second half only: a folder of ``YYYY.csv`` files to summary and series."""
     cells = tab.scan_monthly_cells(spark, source, exclude_prefix=exclude_prefix)
     kept = ser.select_variables(yr.valid_years(cells), variables)
-    return _summarize(kept, list(variables), target, chosen, nan_policy, naming, None)
+    return _summarize(kept, list(variables), target, chosen, nan_policy, naming, years, None)
 
 
 def _summarize(
@@ -185,11 +189,14 @@ def _summarize(
     chosen: Sequence[str] | None,
     nan_policy: str,
     naming: str,
+    years: Iterable[int] | None,
     bad: DataFrame | None,
 ) -> Outcome:
     if chosen is not None and not chosen:
         return Outcome(names, monthly, None, None, bad)
     yearly = yr.yearly_wide(yr.yearly_long(monthly, nan_policy), names, naming)
+    if years is not None:
+        yearly = yr.year_spine_join(yearly, yr.year_spine(monthly.sparkSession, years), naming)
     sinks.write_summary(yearly, f"{target}/summary")
     summary = tab.read_summary(monthly.sparkSession, f"{target}/summary", names, naming)
     picked = names if chosen is None else list(chosen)

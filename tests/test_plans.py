@@ -114,6 +114,14 @@ def test_no_file_decodes(spark, tmp_path):
     assert outcome.monthly.count() == outcome.yearly.count() == 0 and outcome.bad_files.count() == 1
 
 
+@pytest.mark.parametrize("mode", ["time", "position"])
+def test_no_file_decodes_and_no_variable_is_known(spark, tmp_path, mode):
+    (tmp_path / "x.grib").write_text("junk")
+    target = str(tmp_path / "out")
+    outcome = run(spark, str(tmp_path), target, decoder(), mode=mode)
+    assert outcome.variables == [] and outcome.series.count() == outcome.monthly.count() == 0
+
+
 def test_legacy_first_step_changes_january_only(spark):
     data = complete_year(1999, ["a", "b"], 1, value=lambda i: 1000.0 if i == 0 else float(i % 7))
     table = messages(spark, data)
@@ -173,6 +181,16 @@ def test_summarize_folder(spark, tmp_path):
     assert outcome.yearly.where("min_zz is not null").count() == 0
 
 
+@pytest.mark.parametrize("naming", ["prefix", "suffix"])
+def test_summary_of_given_years(spark, tmp_path, naming):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1999.csv").write_text("Month,a\nJan,1.0\n")
+    outcome = summarize_folder(
+        spark, str(tmp_path / "in"), str(tmp_path / "out"), ["a"], naming=naming, years=range(1998, 2000)
+    )
+    assert rows(outcome.yearly) == [(1998, None, None, None), (1999, 1.0, 1.0, 1.0)]
+
+
 def test_summary_counts_every_line_of_a_year(spark, tmp_path):
     """Labels that are no English month, and two files of one year."""
     source = tmp_path / "in"
@@ -198,7 +216,8 @@ def test_command_line(tmp_path):
            "PYSPARK_SUBMIT_ARGS": "--master local[2] --conf spark.ui.enabled=false "
                                   f"--conf spark.checkpoint.dir={tmp_path}/scratch pyspark-shell"}
     command = [sys.executable, "-m", "gridmill", str(source), str(tmp_path / "out"),
-               "--decoder", "toy_decoder:decode", "--mode", "position", "--chosen", "a", "--chosen", "z"]
+               "--decoder", "toy_decoder:decode", "--mode", "position", "--stride", "1",
+               "--years", "1998-1999", "--chosen", "a", "--chosen", "z"]
     done = subprocess.run(command, env=env, capture_output=True, text=True, timeout=300, cwd=tmp_path)
     assert done.returncode == 0, done.stderr[-2000:]
     assert "no data for variable: z" in done.stdout
@@ -207,7 +226,9 @@ def test_command_line(tmp_path):
     )
     summary = [f for f in os.listdir(tmp_path / "out" / "summary") if f.endswith(".csv")]
     with open(tmp_path / "out" / "summary" / summary[0]) as file:
-        assert file.readline() == "year,min_a,max_a,avg_a\n"
+        lines = file.read().splitlines()
+    assert lines[0] == "year,min_a,max_a,avg_a" and lines[1] == "1998,,,"
+    assert lines[2].startswith("1999,")
 
 
 def test_files_of_one_year_may_be_parts_of_it(spark):

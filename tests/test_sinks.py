@@ -49,6 +49,11 @@ def test_year_files_as_text(spark, tmp_path):
         assert file.readline() == "Month,v. one,two\n" and file.readline().startswith("Jan,51.0")
 
 
+def test_year_files_of_nothing(spark, tmp_path):
+    sinks.write_year_files(wide(spark, [1999]).where("year = 0"), str(tmp_path / "out"))
+    assert [f for f in os.listdir(tmp_path / "out") if f.endswith(".csv")] == []
+
+
 def test_summary_is_one_sorted_file(spark, tmp_path):
     path = str(tmp_path / "s")
     yearly = op.yearly_stats(wide(spark, [2001, 1999, 2000]), naming="suffix")

@@ -8,22 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridmill import functions as fn
 from gridmill import operators as op
 from gridmill import sinks
 from gridmill import sources as src
-from gridmill.functions import (
-    MONTH_LABELS,
-    base_name,
-    days_in_month,
-    days_per_year,
-    grid_mean,
-    month_label,
-    month_number,
-    stamp_year,
-    valid_time,
-    variable_name,
-    year_from_file_name,
-)
 from gridmill.plans import monthly_from_messages, run, summarize_folder
 from workload import views
 from workload.views import GRIDS_SQL, LINES_SQL, MEASURES, ORDERS_SQL, PRIORITIES
@@ -70,7 +58,7 @@ LINE_YEARS = f"{LW} select year, {_line_stats('prefix')} from lw group by year"
 LINE_MONTHS = LW + " select year, month, " + ", ".join(
     f"round({m}, 4) as {m}" for m in MEASURES
 ) + " from lw"
-LABELS_SQL = "list_value(" + ", ".join(f"'{label}'" for label in MONTH_LABELS) + ")"
+LABELS_SQL = "list_value(" + ", ".join(f"'{label}'" for label in fn.MONTH_LABELS) + ")"
 LINE_SERIES = (
     f"{LW}, y as (select year, {_line_stats('prefix')} from lw group by year) "
     + " union all ".join(
@@ -147,7 +135,7 @@ def yearly_long(spark, sf_dir):
 @register(f"{OM} select o_orderkey, split_part(description, ':', 2) as name from om")
 def parse_name(spark, sf_dir):
     messages = views.orders_as_messages(spark, sf_dir)
-    return messages.select("o_orderkey", variable_name(F.col("description")).alias("name"))
+    return messages.select("o_orderkey", fn.variable_name(F.col("description")).alias("name"))
 
 
 @register(f"{OM} select o_orderkey, cast(substr(right(description, 12), 1, 4) as int) as year, "
@@ -155,7 +143,7 @@ def parse_name(spark, sf_dir):
 def parse_year(spark, sf_dir):
     text = F.col("description")
     return views.orders_as_messages(spark, sf_dir).select(
-        "o_orderkey", stamp_year(text).alias("year"), valid_time(text).alias("valid_time")
+        "o_orderkey", fn.stamp_year(text).alias("year"), fn.valid_time(text).alias("valid_time")
     )
 
 
@@ -188,7 +176,7 @@ def month_lengths(spark, sf_dir):
     year, month = F.col("year"), F.col("month")
     months = views.orders_as_messages(spark, sf_dir).select("year", "month").distinct()
     return months.withColumns(
-        {"days": days_in_month(year, month), "year_days": days_per_year(year)}
+        {"days": fn.days_in_month(year, month), "year_days": fn.days_per_year(year)}
     )
 
 
@@ -294,23 +282,23 @@ def dense_months(spark, sf_dir):
 
 @register(f"{OM_MONTHLY} select distinct year, month, {LABELS_SQL}[month] as label, "
           "month as number from m")
-def month_labels(spark, sf_dir):
+def month_label(spark, sf_dir):
     months = views.orders_as_messages(spark, sf_dir).select("year", "month").distinct()
-    labelled = months.withColumn("label", month_label(F.col("month")))
-    return labelled.withColumn("number", month_number(F.col("label")))
+    labelled = months.withColumn("label", fn.month_label(F.col("month")))
+    return labelled.withColumn("number", fn.month_number(F.col("label")))
 
 
 @register("select vec_id, round(list_avg(cast(embedding as double[])), 4) + 0.0 as grid_mean from embeddings")
-def grid_means(spark, sf_dir):
+def grid_mean(spark, sf_dir):
     grids = views.table(spark, sf_dir, "embeddings")
-    return grids.select("vec_id", F.round(grid_mean(F.col("embedding")), 4).alias("grid_mean"))
+    return grids.select("vec_id", F.round(fn.grid_mean(F.col("embedding")), 4).alias("grid_mean"))
 
 
 @register("select label, round(avg(list_avg(cast(embedding as double[]))), 4) + 0.0 as value "
           "from embeddings group by label")
 def grid_mean_by_variable(spark, sf_dir):
     grids = views.table(spark, sf_dir, "embeddings")
-    means = grids.select("label", grid_mean(F.col("embedding")).alias("grid_mean"))
+    means = grids.select("label", fn.grid_mean(F.col("embedding")).alias("grid_mean"))
     return rounded(op.monthly_mean(means, ["label"]), "value")
 
 
@@ -390,7 +378,7 @@ def distinct_years(spark, sf_dir):
 def filter_valid_year(spark, sf_dir):
     """Last path segments of real addresses, most of which hold no number."""
     pages = views.table(spark, sf_dir, "pages")
-    named = pages.select(year_from_file_name(F.col("url")).alias("year"))
+    named = pages.select(fn.year_from_file_name(F.col("url")).alias("year"))
     return op.valid_years(named).groupBy("year").agg(F.count("*").alias("n"))
 
 
@@ -460,7 +448,7 @@ def scan_exclude_summary(spark, sf_dir):
           "from lw group by year")
 def year_from_filename(spark, sf_dir):
     table = src.scan_monthly_csv(spark, _write_lines(spark, sf_dir), MEASURES)
-    file = base_name(F.col("_metadata.file_path"))
+    file = fn.base_name(F.col("_metadata.file_path"))
     return table.groupBy("year", file.alias("file")).agg(F.count("*").alias("months"))
 
 
@@ -504,7 +492,7 @@ def write_monthly_csv(spark, sf_dir):
     folder = src.scratch_path(spark, "monthly")
     sinks.write_monthly(views.lines_monthly(spark, sf_dir), folder)
     table = src.scan_monthly_partitions(spark, folder, MEASURES)
-    table = table.withColumn("number", month_number(F.col("Month")))
+    table = table.withColumn("number", fn.month_number(F.col("Month")))
     return rounded(table, *MEASURES).select("year", F.col("number").alias("month"), *MEASURES)
 
 
@@ -516,7 +504,7 @@ def overwrite_twice(spark, sf_dir):
     sinks.write_monthly(wide, folder)
     sinks.write_monthly(wide.where(F.col("year") >= 1998), folder)
     table = src.scan_monthly_partitions(spark, folder, MEASURES)
-    table = table.withColumn("number", month_number(F.col("Month")))
+    table = table.withColumn("number", fn.month_number(F.col("Month")))
     return rounded(table, *MEASURES).select("year", F.col("number").alias("month"), *MEASURES)
 
 
@@ -564,7 +552,7 @@ def decode_grids(spark, sf_dir):
     """The grids leave the decoder whole and are reduced by Spark."""
     files = src.scan_files(spark, views.write_message_files(spark, sf_dir), "*.txt")
     decoded = src.decode_files(files, views.line_decoder(), keep_values=True)
-    means = decoded.withColumn("grid_mean", grid_mean(F.col("values")))
+    means = decoded.withColumn("grid_mean", fn.grid_mean(F.col("values")))
     messages = op.assign_time(src.describe(means))
     return messages.groupBy("name", "year", "month").agg(
         F.avg("grid_mean").alias("value"), F.count("grid_mean").alias("n")
