@@ -42,19 +42,24 @@ def monthly_table(wide: DataFrame) -> DataFrame:
 
 
 def dense_months(
-    monthly: DataFrame, names: Sequence[str] | None = None, empty: float | None = None
+    monthly: DataFrame,
+    names: Sequence[str] | None = None,
+    empty: float | None = None,
+    years: DataFrame | None = None,
 ) -> DataFrame:
     """All twelve months of each year and variable; a month without messages gets ``empty``
     (null, or NaN on request).
 
-    The variables are ``names`` for every year, or those that each year has. The spine grows
-    with years and variables only.
+    The variables are ``names`` for every year, or those that each year has; with ``names`` the
+    years may be given too (distinct ``year`` rows), to show those without any month. The spine
+    grows with years and variables only. ``monthly`` is read twice: pass it materialized.
     """
     if names is None:
         spine = monthly.select("year", "name").distinct()
     else:
         labels = F.array(*[F.lit(name) for name in names]).cast("array<string>")
-        spine = monthly.select("year").distinct().withColumn("name", F.explode(labels))
+        years = monthly.select("year").distinct() if years is None else years.select("year")
+        spine = years.withColumn("name", F.explode(labels))
     spine = spine.withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))
     dense = spine.join(
         monthly.select("year", "month", "name", "value", F.lit(True).alias("_found")),

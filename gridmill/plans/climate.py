@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
@@ -139,7 +140,8 @@ def run(
     ``variables``: the list of variables; by default that of the first file, for all years.
     ``chosen``: variables of the summary and the series (default all); an empty list stops
     after the monthly tables. ``years``: the years of the summary, with nulls where there are no
-    data (default: those with data). ``decode_by`` and ``range_bytes``: see ``decode_files``; the other
+    data (default: those with data). ``nan_policy="propagate"`` also makes a month without
+    messages NaN instead of null. ``decode_by`` and ``range_bytes``: see ``decode_files``; the other
     settings: see ``monthly_from_messages`` and ``yearly_stats``.
     """
     files = src.scan_files(spark, source, glob)
@@ -160,7 +162,10 @@ def run(
         messages, mode, variables, stride, legacy_first_step, same_year
     )
     monthly = materialize(ser.select_variables(monthly, names), "monthly")
-    dense = mon.dense_months(monthly, names)
+    # A file with fewer messages than days has no month by position, but its year is shown.
+    shown = msg.file_year(messages).select("year").distinct() if mode == "position" else None
+    empty = math.nan if nan_policy == "propagate" else None
+    dense = mon.dense_months(monthly, names, empty, shown)
     sinks.write_monthly(mon.monthly_wide(dense, names), f"{target}/monthly")
     return _summarize(dense, names, target, chosen, nan_policy, naming, years, bad)
 

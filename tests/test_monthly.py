@@ -75,6 +75,13 @@ def test_dense_months_for_names_present_with_nan(spark):
     assert got[2000, 3, "a"] is None and math.isnan(got[2000, 2, "a"])
 
 
+def test_dense_months_of_given_years(spark):
+    years = spark.createDataFrame([(2000,), (2001,)], "year int")
+    dense = op.dense_months(long_table(spark, [(2000, 1, "a", 1.0)]), ["a"], years=years)
+    assert [r.value for r in dense.where("year = 2001").collect()] == [None] * 12
+    assert dense.count() == 24
+
+
 def test_keep_last_per_year(spark):
     data = [(2000, "a.grib", 1), (2000, "b.grib", 2), (2000, "b.grib", 3), (2001, "a.grib", 4)]
     table = spark.createDataFrame(data, "year int, file string, v int")

@@ -1,3 +1,4 @@
+import math
 import os
 import subprocess
 import sys
@@ -122,6 +123,29 @@ def test_no_file_decodes_and_no_variable_is_known(spark, tmp_path, mode):
     assert outcome.variables == [] and outcome.series.count() == outcome.monthly.count() == 0
 
 
+@pytest.mark.parametrize("mode", ["time", "position"])
+@pytest.mark.parametrize("policy", ["skip", "propagate"])
+def test_months_and_years_without_data(spark, tmp_path, mode, policy):
+    """1999 ends in April; by position that is less than a message a day, so no month has data."""
+    source, target = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    write_file(source / "1999.grib", complete_year(1999, ["a"], 1, float)[:100])
+    outcome = run(spark, str(source), target, decoder(), mode=mode, nan_policy=policy)
+    months = {r.month: r.value for r in outcome.monthly.collect()}
+    assert len(months) == 12
+    blank = math.nan if policy == "propagate" else None
+    full = {1: 15.0, 2: 44.5, 3: 74.0, 4: 94.5} if mode == "time" else {}
+    assert {m: str(v) for m, v in months.items()} == {
+        m: str(full.get(m, blank)) for m in range(1, 13)
+    }
+    yearly = outcome.yearly.first()
+    if mode == "time":
+        expected = (1999, 15.0, 94.5, 57.0) if policy == "skip" else (1999, 15.0, blank, blank)
+    else:
+        expected = (1999, blank, blank, blank)
+    assert str(tuple(yearly)) == str(expected)
+
+
 def test_legacy_first_step_changes_january_only(spark):
     data = complete_year(1999, ["a", "b"], 1, value=lambda i: 1000.0 if i == 0 else float(i % 7))
     table = messages(spark, data)
