@@ -65,13 +65,14 @@ def monthly_from_messages(
         monthly = mon.monthly_mean(msg.assign_time(messages))
         return monthly if variables is None else ser.select_variables(monthly, variables)
 
-    facts = mon.keep_last_files(msg.file_facts(messages))
     if mode == "time":
-        kept = materialize(facts.select("file"), "kept_files")
+        kept = mon.keep_last_files(msg.file_year(messages)).select("file")
+        kept = materialize(kept, "kept_files")
         timed = msg.assign_time(messages.join(kept, "file", "left_semi"))
         monthly = mon.monthly_mean(timed)
         return monthly if variables is None else ser.select_variables(monthly, variables)
 
+    facts = mon.keep_last_files(msg.file_facts(messages))
     if variables is not None:
         facts = materialize(facts, "file_facts")
         width = len(variables) if stride is None else stride
