@@ -11,48 +11,19 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridmill.functions.calendar import days_before_month_of_day, days_per_year, month_of_day
-from gridmill.sources.scratch import materialize
+from gridmill.operators.numbering import number_rows
 
 
 def number_messages(messages: DataFrame, order_by: Sequence[str]) -> DataFrame:
     """Add ``msg_no``, the 0-based rank within ``file`` by ``order_by`` (a unique key of it).
 
-    For tables that hold messages without a number; decoded files bring theirs. A window over
-    ``file`` would sort a whole file in one task. Here a range partitioning on the full key
-    splits even the largest file, each slice numbers its own sorted rows, and the small table of
-    slice sizes turns slice numbers into file numbers. The numbered slices are written once, as
-    both sides must see the same slice borders.
+    For tables that hold messages without a number; decoded files bring theirs.
     """
-    key = ["file", *order_by]
-    slot = F.col("_slot")
-    # A generated id is 2**33 * partition + row in the partition, here in sort order.
-    sliced = materialize(
-        messages.repartitionByRange(*key)
-        .sortWithinPartitions(*key)
-        .withColumn("_slot", F.monotonically_increasing_id())
-        .withColumn("_slice", F.shiftright(slot, 33)),
-        "numbered",
-    )
-    earlier = Window.partitionBy("file").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = (
-        sliced.groupBy("file", "_slice")
-        .agg(F.count("*").alias("rows"), F.min("_slot").alias("first"))
-        .select(
-            "file",
-            "_slice",
-            (F.coalesce(F.sum("rows").over(earlier), F.lit(0)) - F.col("first")).alias("_shift"),
-        )
-    )
-    shifts = materialize(shifts, "slice_shifts")
-    return (
-        sliced.join(shifts, ["file", "_slice"])
-        .withColumn("msg_no", slot + F.col("_shift"))
-        .drop("_slice", "_slot", "_shift")
-    )
+    return number_rows(messages, "file", order_by, "msg_no")
 
 
 def file_counts(messages: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridmill import operators as op
-from gridmill.operators import messages as module
+from gridmill.operators import numbering
 from gridmill.sources import materialize
 from helpers import MESSAGES, complete_year, means, messages, position_means, rows
 
@@ -67,7 +67,7 @@ def test_number_messages_equals_rank(spark, seed, many_slices):
 def test_number_messages_sorts_no_file_in_one_task(spark, many_slices, monkeypatch):
     """The only file is cut into slices of about the same size."""
     written = []
-    monkeypatch.setattr(module, "materialize", lambda df, _: written.append(materialize(df)) or written[-1])
+    monkeypatch.setattr(numbering, "materialize", lambda df, _: written.append(materialize(df)) or written[-1])
     data = complete_year(2001, ["a", "b"], 2)
     table = messages(spark, data).drop("msg_no")
     numbered = op.number_messages(table, ["valid_time", "name"])
