@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridmill.llm.compression import compression_rules
 from gridmill.llm.digest_index import exact_duplicates
+from gridmill.llm.language import identify_languages
 from gridmill.llm.mixing import mix_sources
 from gridmill.llm.near_join import near_duplicates
 from gridmill.llm.packing import pack_documents
@@ -24,6 +26,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(_table(spark, sf_dir, "documents"))
+
+
+def op3_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression_rules(_table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -50,6 +60,8 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_language": op2_language,
+    "op3_compression": op3_compression,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_mixing": op6_mixing,
     "op7_packing": op7_packing,
