@@ -12,6 +12,7 @@ from gridmill.llm.language import identify_languages
 from gridmill.llm.mixing import mix_sources
 from gridmill.llm.near_join import near_duplicates
 from gridmill.llm.packing import pack_documents
+from gridmill.llm.secret_scan import scan_secrets
 from gridmill.llm.sharding import shard_documents
 from gridmill.llm.toxicity import score_toxicity
 
@@ -58,6 +59,10 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_language": op2_language,
@@ -67,6 +72,7 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op8_near_join": op8_near_join,
     "op9_sharding": op9_sharding,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLES = {
