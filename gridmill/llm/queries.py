@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gridmill.llm.compression import compression_rules
 from gridmill.llm.digest_index import exact_duplicates
+from gridmill.llm.disclosure import find_personal
 from gridmill.llm.language import identify_languages
 from gridmill.llm.mixing import mix_sources
 from gridmill.llm.near_join import near_duplicates
@@ -39,6 +40,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal(_table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -68,6 +73,7 @@ QUERIES = {
     "op2_language": op2_language,
     "op3_compression": op3_compression,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_personal_data": op5_personal_data,
     "op6_mixing": op6_mixing,
     "op7_packing": op7_packing,
     "op8_near_join": op8_near_join,
