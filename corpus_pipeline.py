@@ -7,16 +7,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridmill.llm.digest_index import drop_exact_duplicates
 from gridmill.llm.mixing import take_mix
+from gridmill.llm.near_join import drop_near_duplicates
 from gridmill.llm.packing import pack_documents
 from gridmill.llm.queries import TOKENIZER
+from gridmill.llm.toxicity import drop_toxic
 from gridmill.sources.scratch import scratch_path
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are predicted toxic go; learned from ``labels`` of documents in ``docs``
+    that are not held out."""
+    return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each text stays, the one with the largest ``doc_id``."""
     return drop_exact_duplicates(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, the one with the smallest
+    ``doc_id``: sets of five-word n-grams with a similarity of 0.8 or more."""
+    return drop_near_duplicates(docs)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it."""
     return take_mix(docs)
@@ -28,7 +42,9 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", toxicity),
     ("exact dedup", exact_dedup),
+    ("n-gram Jaccard join", near_dedup),
     ("mixing sources to target weights", mixing),
     ("best-fit packing", packing),
 ]

@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridmill.llm.names import free_name
 from gridmill.sources.scratch import materialize, scratch_path
 
 
@@ -142,12 +143,13 @@ def drop_exact_duplicates(docs: DataFrame, index: DigestIndex | None = None) ->
     """
     columns = docs.columns
     index = index or fresh_index(docs.sparkSession)
-    stored = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
+    row = free_name(columns, "_row")
+    stored = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = stored.select(
-        F.col("_row").alias("row_id"),
+        F.col(row).alias("row_id"),
         "doc_id",
         F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"),
     )
-    kept = index.add(materialize(rows, "digests")).where("kept").select(F.col("row_id").alias("_row"))
-    return stored.join(kept, "_row", "left_semi").select(*columns)
+    kept = index.add(materialize(rows, "digests")).where("kept").select(F.col("row_id").alias(row))
+    return stored.join(kept, row, "left_semi").select(*columns)

@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridmill.llm.names import free_name
 from gridmill.operators.numbering import number_rows
 from gridmill.sources.scratch import materialize
 
@@ -281,17 +282,18 @@ def take_mix(
 ) -> DataFrame:
     """The mix itself: the columns of ``docs``, each row as often as ``mix_sources`` takes it."""
     columns = docs.columns
-    stored = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
+    row, copies, copy = (free_name(columns, name) for name in ("_row", "_copies", "_copy"))
+    stored = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
     rows = materialize(
-        stored.select("doc_id", "source", size.alias("size"), F.col("_row").alias("row"))
+        stored.select("doc_id", "source", size.alias("size"), F.col(row).alias("row"))
         .withColumn("order", F.xxhash64(F.lit(seed), "doc_id", "size")),
         "sizes",
     )
     taken = mix_rows(rows, weights, share, most, seed).where("copies > 0")
-    taken = taken.select(F.col("row").alias("_row"), F.col("copies").alias("_copies"))
+    taken = taken.select(F.col("row").alias(row), F.col("copies").alias(copies))
     return (
-        stored.join(taken, "_row")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+        stored.join(taken, row)
+        .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
         .select(*columns)
     )

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridmill.llm.names import free_name
 from gridmill.sources.scratch import materialize
 
 #: Labelled documents that the model is fitted on, at most: those with the smallest hashes.
@@ -375,5 +376,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, model: ToxicityModel | No
 def drop_toxic(docs: DataFrame, labels: DataFrame, model: ToxicityModel | None = None) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with all their columns."""
     model = model or fit_toxicity(docs, labels)
-    scored = docs.withColumn("_toxicity", toxicity(model, docs.sparkSession)("text"))
-    return scored.where(F.col("_toxicity.score") < 0.5).select(*docs.columns)
+    found = free_name(docs.columns, "_toxicity")
+    scored = docs.withColumn(found, toxicity(model, docs.sparkSession)("text"))
+    return scored.where(F.col(found)["score"] < 0.5).select(*docs.columns)
