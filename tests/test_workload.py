@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from workload.catalog import ORACLES, QUERIES
 
 DATA = os.environ.get("GRIDMILL_TEST_DATA", "/root/testdata/sf0.01")
 
@@ -38,17 +39,18 @@ def table(columns, rows):
 
 
 def test_every_query_has_its_sql():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(ORACLES) == set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, engine, name):
-    df = entry.queries()[name](spark, DATA)
-    result = engine.execute(entry.oracle_sql()[name])
+    df = QUERIES[name](spark, DATA)
+    result = engine.execute(ORACLES[name])
     expected = table([c[0] for c in result.description], result.fetchall())
     assert table(df.columns, df.collect()) == expected
     assert expected[1]
