@@ -1,11 +1,13 @@
 """Jaccard similarity join on word n-grams by MinHash banding.
 
 Equal texts are one class. Each class gets a MinHash signature of its set of n-grams; classes
-that agree on all rows of a band meet in a bucket of that band. A bucket is cut into blocks and
-each pair of blocks is compared in one place, so a task never holds more than two blocks at once.
-A pair is taken up in the first band on which it agrees, if its signatures don't rule the
-threshold out, and verified on the full n-gram sets. Groups are the connected components of the
-links, found by passing on the smallest label with pointer jumping.
+that agree on all rows of a band meet in a bucket of that band. Meetings whose signatures don't
+rule the threshold out make clusters. Within a cluster every pair is verified on the full n-gram
+sets. Buckets and clusters are cut into blocks and each two blocks meet in a cell of their own, so
+a task never holds more than two blocks at once, and what leaves a cell is one row for a member
+(its number of links, and the first member it hangs together with) and not one for a pair. So a
+group of many near copies costs rows in proportion to its size and its number of blocks. Groups
+are connected components, found by passing on the smallest label with pointer jumping.
 """
 
 from __future__ import annotations
@@ -20,12 +22,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridmill.llm.names import free_name
 from gridmill.sources.scratch import materialize
 
 #: Classes of a bucket that are compared with each other at a time.
 BLOCK = 256
-#: Pairs whose signatures are compared in one array operation.
-_PAIRS = 1 << 15
+#: N-grams that are looked at together when pairs of a cell are verified.
+_COLUMNS = 4096
 #: Signatures rule a pair out when their agreement is so many standard deviations too low.
 DEVIATIONS = 4.0
 
@@ -130,149 +133,225 @@ def text_classes(docs: DataFrame, n: int, hashes: int) -> DataFrame:
     )
 
 
-def candidate_pairs(
+def _cut(members: DataFrame, group: str, size: str, block: int) -> DataFrame:
+    """Each row of ``members`` once for each cell ``(group, low, high)`` that it belongs to: a
+    member of block i goes to the cells of i and any other block j."""
+    blocks = F.ceil(F.col(size) / block)
+    return (
+        members.withColumn("block", F.pmod(F.xxhash64("class", F.lit(1)), blocks))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+        .withColumn("low", F.least("block", "_other"))
+        .withColumn("high", F.greatest("block", "_other"))
+        .drop("_other", size)
+        .repartition(group, "low", "high")
+        .sortWithinPartitions(group, "low", "high", "class")
+    )
+
+
+def _cells(batches: Iterator[pa.RecordBatch], group: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole cells, with the row at which each cell starts. The input is sorted."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = (table if rest is None else pa.concat_tables([rest, table])).combine_chunks()
+        starts = _starts(table, group)
+        # The last cell may go on in the next batch.
+        rest = table.slice(starts[-1])
+        if len(starts) > 1:
+            yield table.slice(0, starts[-1]), starts[:-1]
+    if rest is not None:
+        yield rest.combine_chunks(), np.zeros(1, np.int64)
+
+
+def _starts(table: pa.Table, group: str) -> np.ndarray:
+    new = np.zeros(table.num_rows, bool)
+    new[0] = True
+    for column in (group, "low", "high"):
+        values = table.column(column).to_numpy()
+        new[1:] |= values[1:] != values[:-1]
+    return np.flatnonzero(new)
+
+
+def _unite(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels (each the smallest row of its set) after joining the sets of ``i`` and ``j``."""
+    while True:
+        a, b = labels[i], labels[j]
+        apart = a != b
+        if not apart.any():
+            return labels
+        np.minimum.at(labels, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while True:
+            further = labels[labels]
+            if (further == labels).all():
+                break
+            labels = further
+
+
+def candidate_edges(
     classes: DataFrame, bands: Bands, threshold: float, block: int = BLOCK
 ) -> DataFrame:
-    """``a, b``: each pair of classes that meet in a bucket and may reach the threshold, once."""
+    """``a, b`` with a < b: edges that connect all classes that meet in a bucket and may reach
+    the threshold, at most one for a class and cell."""
     count, rows = bands
-    width = 2 * rows
+    width, hashes = 2 * rows, count * rows
     signed = classes.where("grams > 0").select("class", "grams", "signature")
     banded = signed.select(
         "class",
-        F.posexplode(
+        F.explode(
             F.transform(
                 F.sequence(F.lit(0), F.lit(count - 1)),
                 lambda k: F.xxhash64(k, F.substring("signature", k * width + 1, F.lit(width))),
             )
-        ).alias("band", "bucket"),
+        ).alias("bucket"),
     )
     shared = materialize(
         banded.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "buckets"
     )
-    # A member of block i goes to the cells (i, j) and (j, i) of all blocks j.
-    blocks = F.ceil(F.col("members") / block)
-    members = (
-        banded.join(shared, "bucket")
-        .withColumn("block", F.pmod(F.xxhash64("class", F.lit(1)), blocks))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
-        .select(
-            "class",
-            "band",
-            "bucket",
-            F.least("block", "other").alias("low"),
-            F.greatest("block", "other").alias("high"),
-            "block",
-        )
-    )
-    hashes = count * rows
     spread = math.sqrt(threshold * (1 - threshold) / hashes)
     least = hashes * (threshold - DEVIATIONS * spread)
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = table if rest is None else pa.concat_tables([rest, table])
-            cells = [table.column(c).to_numpy() for c in ("bucket", "low", "high")]
-            if not table.num_rows:
-                continue
-            new = np.zeros(table.num_rows, bool)
-            for column in cells:
-                new[1:] |= column[1:] != column[:-1]
-            last = int(np.flatnonzero(new)[-1]) if new.any() else 0
-            # The last cell may go on in the next batch.
-            rest = table.slice(last)
-            yield from pairs_of(table.slice(0, last))
-        if rest is not None:
-            yield from pairs_of(rest)
-
-    def pairs_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        if table.num_rows < 2:
-            return
-        table = table.combine_chunks()
-        bucket, low, high, member, band, own, grams = (
-            table.column(c).to_numpy()
-            for c in ("bucket", "low", "high", "class", "band", "block", "grams")
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in _cells(batches, "bucket"):
+            bounds = np.append(starts, table.num_rows)
+            at = 0
+            while at < len(starts):
+                # Whole cells of some thousand rows at a time.
+                to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + 4096, "right")) - 1)
+                part = table.slice(bounds[at], bounds[to] - bounds[at])
+                yield meeting(part, bounds[at:to] - bounds[at])
+                at = to
+
+    def meeting(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        low, high, member, own, grams = (
+            table.column(c).to_numpy() for c in ("low", "high", "class", "block", "grams")
         )
         packed = b"".join(table.column("signature").to_pylist())
-        signs = np.frombuffer(packed, "<u2").reshape(len(bucket), hashes)
-        new = np.ones(len(bucket), bool)
-        new[1:] = (bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-        starts = np.flatnonzero(new)
-        ends = np.append(starts[1:], len(bucket))[np.cumsum(new) - 1]
-        active, step = np.arange(len(bucket)), 0
+        signs = np.frombuffer(packed, "<u2").reshape(len(member), hashes)
+        sizes = np.diff(np.append(starts, len(member)))
+        ends = np.repeat(starts + sizes, sizes)
+        labels, active, step = np.arange(len(member)), np.arange(len(member)), 0
         while True:
             step += 1
             active = active[active + step < ends[active]]
             if not len(active):
-                return
-            for at in range(0, len(active), _PAIRS):
-                i = active[at : at + _PAIRS]
-                j = i + step
-                fits = ((low[i] == high[i]) | (own[i] != own[j])) & (
-                    np.minimum(grams[i], grams[j]) >= threshold * np.maximum(grams[i], grams[j]) - 1e-9
-                )
-                i, j = i[fits], j[fits]
-                same = signs[i] == signs[j]
-                agree = same.reshape(-1, count, rows).all(axis=2)
-                keep = (np.argmax(agree, axis=1) == band[i]) & (same.sum(axis=1) >= least)
-                i, j = i[keep], j[keep]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.minimum(member[i], member[j])),
-                        pa.array(np.maximum(member[i], member[j])),
-                    ],
-                    ["a", "b"],
-                )
+                break
+            i, j = active, active + step
+            # Those that hang together already need no comparison.
+            fits = (
+                (labels[i] != labels[j])
+                & ((low[i] == high[i]) | (own[i] != own[j]))
+                & (np.minimum(grams[i], grams[j]) >= threshold * np.maximum(grams[i], grams[j]) - 1e-9)
+            )
+            i, j = i[fits], j[fits]
+            keep = (signs[i] == signs[j]).sum(axis=1) >= least
+            if keep.any():
+                labels = _unite(labels, i[keep], j[keep])
+        further = np.flatnonzero(labels != np.arange(len(member)))
+        a, b = member[labels[further]], member[further]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"]
+        )
 
-    cell = ["bucket", "low", "high"]
+    members = banded.join(shared, "bucket").join(signed, "class")
     return (
-        members.join(signed, "class")
-        .repartition(*cell)
-        .sortWithinPartitions(*cell)
-        .mapInArrow(compare, "a bigint, b bigint")
+        _cut(members, "bucket", "members", block)
+        .mapInArrow(meet, "a bigint, b bigint")
+        .distinct()
     )
 
 
-def links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, threshold: float) -> DataFrame:
-    """The stored candidate pairs whose full n-gram sets reach the threshold: ``a, b, jaccard``."""
+def _linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which pairs reach the threshold, exactly: a square matrix, false on the diagonal."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    distinct, number = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    # An n-gram of one member only is in no intersection.
+    often = np.bincount(number) > 1
+    place = np.cumsum(often) - 1
+    row, column = row[often[number]], place[number[often[number]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    shared = np.zeros((len(sets), len(sets)), np.float32)
+    for start in range(0, int(often.sum()), _COLUMNS):
+        part = slice(*np.searchsorted(column, [start, start + _COLUMNS]))
+        used = np.zeros((len(sets), _COLUMNS), np.float32)
+        used[row[part], column[part] - start] = 1
+        shared += used @ used.T
+    both = sizes[:, None] + sizes[None, :] - shared
+    linked = shared >= threshold * both - 1e-6
+    np.fill_diagonal(linked, False)
+    return linked
+
+
+def verified(
+    docs: DataFrame, classes: DataFrame, clusters: DataFrame, n: int, threshold: float,
+    block: int = BLOCK,
+) -> DataFrame:
+    """Stored ``class, links, root``: for each cell in which a class has links their number, and
+    the first class in the cell that it hangs together with.
+
+    ``clusters`` is ``node, label``. Texts are fetched by a merge join, at every size, as it needs
+    no table in memory.
+    """
 
     def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [ngram_set(text.as_py(), n).view(np.int64) for text in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("class"), pa.array(sets, pa.list_(pa.int64()))], ["class", "set"]
+                [
+                    batch.column("class"), batch.column("label"), batch.column("size"),
+                    pa.array(sets, pa.list_(pa.int64())),
+                ],
+                ["class", "label", "size", "set"],
             )
 
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in _cells(batches, "label"):
+            low, high, member, own = (
+                table.column(c).to_numpy() for c in ("low", "high", "class", "block")
+            )
+            lists = table.column("set").combine_chunks()
+            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+            for start, end in zip(starts, np.append(starts[1:], table.num_rows), strict=True):
+                # Rows that repeat both id and text bring their text more than once.
+                rows = start + np.unique(member[start:end], return_index=True)[1]
+                if len(rows) < 2:
+                    continue
+                linked = _linked([lists[int(r)].values.to_numpy() for r in rows], threshold)
+                if low[start] != high[start]:
+                    linked &= own[rows][:, None] != own[rows][None, :]
+                i, j = np.nonzero(linked)
+                labels = _unite(np.arange(len(rows)), i, j)
+                links = linked.sum(axis=1)
+                has = links > 0
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(member[rows][has]), pa.array(links[has].astype(np.int64)),
+                        pa.array(member[rows][labels[has]]),
+                    ],
+                    ["class", "links", "root"],
+                )
+
+    sizes = clusters.groupBy("label").agg(F.count("*").alias("size"))
     wanted = materialize(
-        pairs.select(F.explode(F.array("a", "b")).alias("class"))
-        .distinct()
-        .join(classes, "class")
-        .select("class", F.col("digest").alias("_digest"), "first_doc"),
+        clusters.join(sizes, "label")
+        .join(classes, F.col("node") == F.col("class"))
+        .select("class", "label", "size", F.col("digest").alias("_digest"), "first_doc"),
         "wanted",
     )
     # Digest and id together spread the copies of one text over the tasks.
-    texts = (
-        docs.select("doc_id", "text", _digest(F.col("text")).alias("_own"))
-        .join(
-            wanted,
-            (F.col("_own") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("first_doc")),
-        )
-        .select("class", "text")
+    texts = docs.select("doc_id", "text", _digest(F.col("text")).alias("_own")).join(
+        wanted.hint("merge"),
+        (F.col("_own") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("first_doc")),
     )
-    sets = materialize(
-        texts.mapInArrow(grams_of, "class bigint, set array<bigint>").dropDuplicates(["class"]),
-        "sets",
+    sets = texts.select("class", "label", "size", "text").mapInArrow(
+        grams_of, "class bigint, label bigint, size bigint, set array<bigint>"
     )
-    both = pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("left")), "a").join(
-        sets.select(F.col("class").alias("b"), F.col("set").alias("right")), "b"
-    )
-    shared = F.size(F.array_intersect("left", "right"))
-    jaccard = F.col("shared") / (F.size("left") + F.size("right") - F.col("shared"))
-    return (
-        both.withColumn("shared", shared)
-        .select("a", "b", jaccard.alias("jaccard"))
-        .where(F.col("jaccard") >= threshold - 1e-12)
+    return materialize(
+        _cut(sets, "label", "size", block).mapInArrow(verify, "class bigint, links bigint, root bigint"),
+        "links",
     )
 
 
@@ -321,12 +400,12 @@ def near_groups(
     """
     bands = choose_bands(threshold, recall, hashes)
     classes = text_classes(docs, n, bands.bands * bands.rows)
-    pairs = materialize(candidate_pairs(classes, bands, threshold, block), "pairs")
-    linked = materialize(links(docs, classes, pairs, n, threshold), "links")
-    degree = linked.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(
-        F.count("*").alias("links")
+    clusters = components(materialize(candidate_edges(classes, bands, threshold, block), "edges"))
+    linked = verified(docs, classes, clusters, n, threshold, block)
+    degree = linked.groupBy("class").agg(F.sum("links").alias("links"))
+    labels = components(
+        linked.where("class != root").select(F.col("root").alias("a"), F.col("class").alias("b"))
     )
-    labels = components(linked)
     # Null ids come last.
     order = F.struct(F.col("first_doc").isNull(), "first_doc", "digest")
     named = (
@@ -376,18 +455,19 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, **
     duplicates of anything; of equal ones one stays.
     """
     columns = docs.columns
+    own, digest, first = (free_name(columns, name) for name in ("_own", "_digest", "_first"))
     kept = (
         near_groups(docs, threshold, n, **more)
         .where("digest = group_digest")
-        .select(F.col("digest").alias("_digest"), F.col("first_doc").alias("_doc"))
+        .select(F.col("digest").alias(digest), F.col("first_doc").alias(first))
     )
-    own = docs.withColumn("_own", _digest(F.col("text")))
     return (
-        own.join(
+        docs.withColumn(own, _digest(F.col("text")))
+        .join(
             kept,
-            (F.col("_own") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_doc")),
+            (F.col(own) == F.col(digest)) & F.col("doc_id").eqNullSafe(F.col(first)),
             "left_semi",
         )
-        .dropDuplicates(["_own", "doc_id"])
+        .dropDuplicates([own, "doc_id"])
         .select(*columns)
     )
