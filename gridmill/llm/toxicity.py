@@ -28,7 +28,7 @@ from gridmill.sources.scratch import materialize
 #: Labelled documents that the model is fitted on, at most: those with the smallest hashes.
 TRAIN_ROWS = 200_000
 #: Words and prefixes that the model has, at most: those that say most.
-MODEL_KEYS = 200_000
+MODEL_KEYS = 100_000
 #: Weight of the prior, in documents.
 PRIOR = 6.0
 #: Taken from each word's log-odds.
@@ -239,9 +239,10 @@ def word_scores(counts: DataFrame, most: int) -> tuple[dict[str, float], float]:
         .where("news > 0.25")
         .orderBy(F.desc("news"), "key")
         .limit(most)
-        .collect()
+        .toArrow()
     )
-    return {row["key"]: row["score"] for row in chosen}, -DRIFT
+    scores = chosen.column("score").to_pylist()
+    return dict(zip(chosen.column("key").to_pylist(), scores, strict=True)), -DRIFT
 
 
 def fit_toxicity(
@@ -274,10 +275,14 @@ def fit_toxicity(
     sample = (
         rows.where("fold = 1").select("text", "toxic")
         .mapInArrow(scan, "toxic int, words bigint, scores array<double>")
-        .collect()
+        .toArrow()
     )
     shared.unpersist()
-    return _calibrate(scores, base, [(r["toxic"], r["words"], r["scores"]) for r in sample])
+    found = [x.values.to_numpy() for x in sample.column("scores")]
+    return _calibrate(
+        scores, base,
+        list(zip(sample.column("toxic").to_pylist(), sample.column("words").to_pylist(), found, strict=True)),
+    )
 
 
 def _calibrate(scores, base, sample) -> ToxicityModel:
@@ -293,7 +298,7 @@ def _calibrate(scores, base, sample) -> ToxicityModel:
     k = max(len(over), 1) * math.exp(rate * edge) / max(1, sum(words for words, _ in clean))
     model = ToxicityModel(scores, base, k, rate, (0.0, 0.0))
     x = np.array([
-        sum(max(0.0, e) for e in model.evidence(words, [Segment(0, 0, s) for s in found]))
+        np.maximum(0.0, rate * found - math.log(max(k * words, 1e-9))).sum()
         for _, words, found in sample
     ])
     y = np.array([toxic for toxic, _, _ in sample], float)
