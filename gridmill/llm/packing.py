@@ -7,8 +7,11 @@ round has fewer tasks and takes those bins as its items, and so on up to one tas
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,43 +25,95 @@ from gridmill.sources.scratch import materialize
 TASK_ITEMS = 20_000
 #: A bin is emitted when at most this share of it is empty.
 NEARLY_FULL = 0.005
-#: Words whose ids a worker keeps at hand; a full store is emptied. It only saves time.
+#: Words, and stems of words, whose ids a worker keeps at hand. It only saves time.
 CACHED_WORDS = 300_000
+CACHED_STEMS = 500_000
+#: Bytes of text whose new words are encoded together.
+ENCODED_AT_ONCE = 4_000_000
 #: Words of more bytes are not kept.
 LONG_WORD = 64
 
+# Pieces of text keep their ids as little-endian numbers of 32 bits.
+_UINT32 = next(code for code in "IL" if array(code).itemsize == 4)
+
 _PIECE = "struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint,offset:bigint>"
 _BINS = f"sequence_id bigint, used bigint, closed boolean, members array<{_PIECE}>"
 
 
+def _parts(word: str) -> tuple[str, ...]:
+    """A word as pieces that the tokenizer takes apart anyway, so that more words share them:
+    letters, here only Latin ones, whose lower case is plain, and points or commas after them."""
+    stem = word.rstrip(".,")
+    if stem.isalpha() and (stem.isascii() or max(stem) <= "ÿ"):
+        tail = word[len(stem) :]
+        return (stem.lower(), tail) if tail else (stem.lower(),)
+    return (word,)
+
+
 def word_ids(tokenizer_path: str):
     """A function from a list of texts to their ids, as bytes (little-endian, 32 bits each).
 
-    The tokenizer drops white space and never joins what white space separates, so the ids of a
-    text are those of its words one after the other. Words return often; their ids are kept.
+    For tokenizers that lower the case, drop white space and never join what white space
+    separates: the ids of a text are those of its words one after the other. Words return often;
+    their ids are kept.
     """
-    from tokenizers import Tokenizer
+    # Spark runs a worker on each core; threads of the tokenizer would only fight for them.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
+    model = tokenizer.model
+    to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
     known: dict[bytes, bytes] = {}
+    stems: dict[str, bytes] = {}
+    older: dict[str, bytes] = {}
+
+    def learn(words: list[list[bytes]]) -> list[bytes]:
+        new = set().union(*words).difference(known)
+        if len(known) + len(new) > CACHED_WORDS:
+            known.clear()
+            new = set().union(*words)
+        parts = [_parts(word.decode("utf-8")) for word in new]
+        wanted = set(chain.from_iterable(parts)).difference(stems)
+        if len(stems) + len(wanted) > CACHED_STEMS:
+            # Those in use come back from the older half.
+            older.clear()
+            older.update(stems)
+            stems.clear()
+            wanted = set(chain.from_iterable(parts))
+        if older:
+            back = wanted.intersection(older)
+            stems.update(zip(back, map(older.__getitem__, back), strict=True))
+            wanted -= back
+        # Plain stems need no normalizer and no pattern: the model takes them as they are.
+        plain = [stem for stem in wanted if stem.isalpha() and stem == stem.lower() and max(stem) <= "ÿ"]
+        for stem in plain:
+            symbols = stem if stem.isascii() else to_bytes.pre_tokenize_str(stem)[0][0]
+            stems[stem] = array(_UINT32, [token.id for token in model.tokenize(symbols)]).tobytes()
+        rest = list(wanted.difference(plain))
+        found = tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+        for stem, encoding in zip(rest, found, strict=True):
+            stems[stem] = array(_UINT32, encoding.ids).tobytes()
+        for word, pair in zip(new, parts, strict=True):
+            known[word] = stems[pair[0]] if len(pair) == 1 else stems[pair[0]] + stems[pair[1]]
+        for stem in wanted:
+            if len(stem) > LONG_WORD:
+                del stems[stem]
+        return [word for word in new if len(word) > LONG_WORD]
 
     def encode(texts: list[str | None]) -> Iterator[bytes]:
-        for text in texts:
-            words = (text or "").encode("utf-8").split()
-            new = list({word for word in words if word not in known})
-            if new:
-                if len(known) + len(new) > CACHED_WORDS:
-                    known.clear()
-                    new = list(set(words))
-                found = tokenizer.encode_batch_fast(
-                    [word.decode("utf-8") for word in new], add_special_tokens=False
-                )
-                for word, encoding in zip(new, found, strict=True):
-                    known[word] = np.array(encoding.ids, "<u4").tobytes()
-            yield b"".join([known[word] for word in words])
-            for word in new:
-                if len(word) > LONG_WORD:
-                    del known[word]
+        at = 0
+        while at < len(texts):
+            words, size = [], 0
+            while at < len(texts) and size < ENCODED_AT_ONCE:
+                data = (texts[at] or "").encode("utf-8")
+                words.append(data.split())
+                at, size = at + 1, size + len(data)
+            long = learn(words)
+            for of_text in words:
+                yield b"".join(map(known.__getitem__, of_text))
+            for word in long:
+                del known[word]
 
     return encode
 
