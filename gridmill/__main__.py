@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 import argparse
+import datetime as dt
 from importlib import import_module
 
-from gridmill.plans.climate import MODES, run, summarize_folder
+from gridmill.plans.climate import (
+    COLUMNS,
+    LAYOUTS,
+    MODES,
+    MONTHLY_FILES,
+    run,
+    summarize_folder,
+)
 from gridmill.session import session
-from gridmill.sources.files import DECODE_BY
-from gridmill.sources.scratch import release_scratch
+from gridmill.sources.files import DECODE_BY, RANGE_BYTES
 
 
 def _years(text: str) -> range:
@@ -31,21 +38,27 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("--years", type=_years, help="first-last, the years of the summary")
     parser.add_argument("--legacy-first-step", action="store_true")
     parser.add_argument("--stride", type=int, help="variables per time step in position mode")
-    parser.add_argument("--same-year", choices=("last", "merge"), default="last")
+    parser.add_argument("--same-year", choices=("last", "merge"), help="default: merge by time")
+    parser.add_argument("--columns", choices=COLUMNS, default="all")
+    parser.add_argument("--layout", choices=LAYOUTS, default="wide")
+    parser.add_argument("--monthly-files", choices=MONTHLY_FILES, default="folders")
+    parser.add_argument("--at", type=dt.datetime.fromisoformat, help="day and hour of a table of values")
+    parser.add_argument("--range-bytes", type=int, default=RANGE_BYTES)
+    parser.add_argument("--exclude-prefix", default="summary_data", help="CSV files to leave out")
     options = parser.parse_args(arguments)
     shared = dict(
         chosen=options.chosen,
         nan_policy=options.nan_policy,
         naming=options.naming,
         years=options.years,
+        layout=options.layout,
     )
 
     spark = session()
     if options.decoder is None:
-        if not options.variables:
-            parser.error("a folder of CSV files needs --variable")
         outcome = summarize_folder(
-            spark, options.source, options.target, options.variables, **shared
+            spark, options.source, options.target, options.variables,
+            exclude_prefix=options.exclude_prefix, **shared
         )
     else:
         module, _, function = options.decoder.partition(":")
@@ -61,11 +74,15 @@ def main(arguments: list[str] | None = None) -> None:
             legacy_first_step=options.legacy_first_step,
             stride=options.stride,
             same_year=options.same_year,
+            columns=options.columns,
+            monthly_files=options.monthly_files,
+            at=options.at,
+            range_bytes=options.range_bytes,
             **shared,
         )
     for variable in outcome.lacking:
         print(f"no data for variable: {variable}")
-    release_scratch(spark)
+    outcome.release()
 
 
 if __name__ == "__main__":

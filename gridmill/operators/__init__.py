@@ -18,6 +18,7 @@ from gridmill.operators.monthly import (
     first_file_schema,
     keep_last_files,
     keep_last_per_year,
+    replaced_files,
     monthly_mean,
     monthly_mean_wide,
     monthly_table,
@@ -58,6 +59,7 @@ __all__ = [
     "interleave_stats",
     "keep_last_files",
     "keep_last_per_year",
+    "replaced_files",
     "label_by_position",
     "legacy_first_step",
     "messages_per_day",

@@ -83,6 +83,17 @@ def keep_last_files(facts: DataFrame) -> DataFrame:
     return last.select("year", "_last.*")
 
 
+def replaced_files(facts: DataFrame) -> DataFrame:
+    """``file, year, messages, replaced_by``: the files that ``keep_last_files`` leaves out of
+    facts ``file, year, num``."""
+    last = facts.groupBy("year").agg(F.max("file").alias("replaced_by"))
+    return (
+        facts.join(last, "year")
+        .where("file <> replaced_by")
+        .select("file", "year", F.col("num").alias("messages"), "replaced_by")
+    )
+
+
 def first_file_names(table: DataFrame) -> DataFrame:
     """``var_ix, name`` of the first file by name."""
     first = table.agg(F.min("file").alias("file"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import math
+import uuid
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
@@ -10,26 +12,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridmill import sinks
+from gridmill.functions.naming import STATS
 from gridmill.operators import messages as msg
 from gridmill.operators import monthly as mon
 from gridmill.operators import series as ser
 from gridmill.operators import yearly as yr
 from gridmill.sources import files as src
 from gridmill.sources import tables as tab
-from gridmill.sources.scratch import materialize
+from gridmill.sources.scratch import delete_folder, materialize, scratch_in
 
 MODES = ("time", "position")
-
-# A wide table has a column per variable; beyond this many, stay with the long operators.
-MAX_WIDE_VARIABLES = 5000
+LAYOUTS = ("wide", "long")
+COLUMNS = ("all", "first_file")
+MONTHLY_FILES = ("folders", "year_files")
 
 
 @dataclass(frozen=True)
 class Outcome:
-    """Results of a job: ``monthly`` is long (``year, month, name, value``), ``yearly`` wide.
-    ``yearly`` and ``series`` are None if no variable was chosen.
+    """Results of a job. ``monthly`` is long (``year, month, name, value``); ``yearly`` is wide, or
+    ``name, year, min, max, avg`` in the long layout, where ``variables`` is empty as no list of
+    names is ever made. ``yearly`` and ``series`` are None if no variable was chosen.
 
-    ``monthly`` and ``bad_files`` read scratch tables, so release those after their last use.
+    ``bad_files``: files, cells or names that were not used, with the reason. ``replaced``: files
+    that gave way to the last of their year. ``left_out``: names that the first file lacks. The
+    tables read scratch under the target; ``release`` deletes it after their last use.
     """
 
     variables: list[str]
@@ -38,6 +44,13 @@ class Outcome:
     series: DataFrame | None
     bad_files: DataFrame | None = None
     lacking: tuple[str, ...] = ()
+    replaced: DataFrame | None = None
+    left_out: DataFrame | None = None
+    scratch: str | None = None
+
+    def release(self) -> None:
+        if self.scratch is not None:
+            delete_folder(self.monthly.sparkSession, self.scratch)
 
 
 def monthly_from_messages(
@@ -46,19 +59,24 @@ def monthly_from_messages(
     variables: Sequence[str] | None = None,
     stride: int | None = None,
     legacy_first_step: bool = False,
-    same_year: str = "last",
+    same_year: str | None = None,
+    facts: DataFrame | None = None,
+    discovered: DataFrame | None = None,
 ) -> DataFrame:
     """Message means to ``year, month, name, value``.
 
-    ``same_year`` says what several files of one year are: with ``"last"`` the last by name
-    replaces the others, with ``"merge"`` they are parts of the year (time mode only).
+    ``same_year`` says what several files of one year are: with ``"merge"`` they are parts of the
+    year (the default by time, where each message has its own), with ``"last"`` the last by name
+    replaces the others (the only way by position); see ``replaced_files``.
 
     Time mode groups on each message's own time and name. Position mode uses the message number
     only: with ``variables`` they take turns in list order, ``stride`` of them (the length of
-    the list by default); without, each file's own variables are discovered.
+    the list by default); without, each file's own variables are discovered. ``facts`` and
+    ``discovered`` may give what ``file_facts`` and ``discover_variables`` have found already.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, not {mode!r}")
+    same_year = same_year or ("merge" if mode == "time" else "last")
     if same_year not in ("last", "merge") or (same_year == "merge" and mode == "position"):
         raise ValueError(f"same_year={same_year!r} does not go with mode={mode!r}")
     if same_year == "merge":
@@ -66,19 +84,20 @@ def monthly_from_messages(
         return monthly if variables is None else ser.select_variables(monthly, variables)
 
     if mode == "time":
-        kept = mon.keep_last_files(msg.file_year(messages)).select("file")
-        kept = materialize(kept, "kept_files")
+        files = msg.file_year(messages) if facts is None else facts.select("file", "year")
+        kept = materialize(mon.keep_last_files(files).select("file"), "kept_files")
         timed = msg.assign_time(messages.join(kept, "file", "left_semi"))
         monthly = mon.monthly_mean(timed)
         return monthly if variables is None else ser.select_variables(monthly, variables)
 
-    facts = mon.keep_last_files(msg.file_facts(messages))
+    facts = mon.keep_last_files(msg.file_facts(messages) if facts is None else facts)
     if variables is not None:
         facts = materialize(facts, "file_facts")
         width = len(variables) if stride is None else stride
         positioned = msg.assign_position(messages, facts, width)
     else:
-        discovered = materialize(msg.discover_variables(messages), "variables")
+        if discovered is None:
+            discovered = materialize(msg.discover_variables(messages), "variables")
         per_file = msg.strides(discovered)
         if stride is not None:
             per_file = per_file.withColumn("stride", F.lit(stride))
@@ -96,25 +115,35 @@ def monthly_from_messages(
     return monthly.select("year", "month", "name", "value")
 
 
-def first_file_variables(messages: DataFrame, mode: str = "time") -> list[str]:
-    """Variables of the first file by name, in file order: the columns of the wide tables.
+def first_uses(messages: DataFrame) -> DataFrame:
+    """``name, file, place``: the first file by name, and the place in it, that uses a variable."""
+    first = F.min(F.struct("file", F.col("msg_no").alias("place"))).alias("first")
+    return messages.where(F.col("name").isNotNull()).groupBy("name").agg(first).select("name", "first.*")
 
-    In position mode these are the discovered ones, which end at the first repeat.
-    """
+
+def first_positions(discovered: DataFrame) -> DataFrame:
+    """The same for discovered variables, which end at a file's first repeat."""
+    first = F.min(F.struct("file", F.col("var_ix").cast("bigint").alias("place"))).alias("first")
+    return discovered.where(F.col("name").isNotNull()).groupBy("name").agg(first).select("name", "first.*")
+
+
+def _in_order(uses: DataFrame) -> list[str]:
+    """The names as columns of a wide table; their list is its header."""
+    return [row["name"] for row in uses.orderBy("file", "place", "name").collect()]
+
+
+def _of_first_file(uses: DataFrame) -> DataFrame:
+    """A name of the first file is first used there."""
+    return uses.join(uses.agg(F.min("file").alias("file")), "file", "left_semi").select(uses.columns)
+
+
+def first_file_variables(messages: DataFrame, mode: str = "time") -> list[str]:
+    """Variables of the first file by name, in file order. In position mode these are the
+    discovered ones, which end at the first repeat."""
     first = messages.agg(F.min("file").alias("file"))
     own = messages.join(first, "file", "left_semi")
-    if mode == "position":
-        ordered = msg.discover_variables(own).orderBy("var_ix").select("name")
-    else:
-        uses = own.groupBy("name").agg(F.min("msg_no").alias("first_use"))
-        ordered = uses.orderBy("first_use", "name").select("name")
-    names = [row["name"] for row in ordered.limit(MAX_WIDE_VARIABLES + 1).collect()]
-    if len(names) > MAX_WIDE_VARIABLES:
-        raise ValueError(
-            f"the first file has more than {MAX_WIDE_VARIABLES} variables: "
-            "give a list, or use the long operators"
-        )
-    return [name for name in names if name is not None]
+    uses = first_positions(msg.discover_variables(own)) if mode == "position" else first_uses(own)
+    return _in_order(uses)
 
 
 def run(
@@ -131,61 +160,128 @@ def run(
     naming: str = "prefix",
     legacy_first_step: bool = False,
     stride: int | None = None,
-    same_year: str = "last",
+    same_year: str | None = None,
     years: Iterable[int] | None = None,
     range_bytes: int = src.RANGE_BYTES,
+    columns: str = "all",
+    layout: str = "wide",
+    monthly_files: str = "folders",
+    at: dt.datetime | None = None,
 ) -> Outcome:
-    """Files under ``source`` to tables under ``target`` (``monthly``, ``summary``, ``series``,
-    ``bad_files``).
-
-    ``variables``: the list of variables; by default that of the first file, for all years.
-    ``chosen``: variables of the summary and the series (default all); an empty list stops
-    after the monthly tables. ``years``: the years of the summary, with nulls where there are no
-    data (default: those with data). ``nan_policy="propagate"`` also makes a month without
-    messages NaN instead of null. ``decode_by`` and ``range_bytes``: see ``decode_files``; the other
-    settings: see ``monthly_from_messages`` and ``yearly_stats``.
+    """Files under ``source`` to tables under ``target``: ``monthly``, ``summary``, ``series``,
+    ``bad_files``, and where they apply ``replaced_files``, ``left_out`` and ``values``.
+
+    ``variables``: the list of variables; by default those of all files (``columns="all"``), in
+    the order of their first use, or only those of the first file (``"first_file"``), which lists
+    the others in ``left_out``. ``chosen``: variables of the summary and the series (default all);
+    an empty list stops after the monthly tables. ``years``: the years of the summary, with nulls
+    where there are no data (default: those with data). ``nan_policy="propagate"`` also makes a
+    month without messages NaN instead of null.
+
+    ``layout="long"`` writes ``name, value`` rows instead of a column per variable, for any number
+    of variables. ``monthly_files="year_files"`` writes plain ``YYYY.csv`` files, which
+    ``summarize_folder`` reads as it reads the folders. ``at``: also write the values at this day
+    and hour (time mode). ``decode_by`` and ``range_bytes``: see ``decode_files``; the other settings:
+    see ``monthly_from_messages`` and ``yearly_stats``.
     """
-    files = src.scan_files(spark, source, glob)
-    decoded = src.decode_files(files, decoder, decode_by, range_bytes=range_bytes)
-    # The descriptions are taken apart in the decoding stage, and only their fields are kept.
-    described = src.describe(decoded).drop("description")
-    if mode == "time":
-        described = src.flag_unreadable(described, ["name", "valid_time"])
-    else:
-        described = src.flag_unreadable(described, ["year"], first_message_only=True)
-    messages, bad = src.split_decoded(described)
-    if decode_by == "range" and mode == "position":
-        messages = msg.number_messages(messages.withColumnRenamed("msg_no", "offset"), ["offset"])
-    bad.write.mode("overwrite").json(f"{target}/bad_files")
-
-    names = list(variables) if variables is not None else first_file_variables(messages, mode)
-    monthly = monthly_from_messages(
-        messages, mode, variables, stride, legacy_first_step, same_year
-    )
-    monthly = materialize(ser.select_variables(monthly, names), "monthly")
-    # A file with fewer messages than days has no month by position, but its year is shown.
-    shown = msg.file_year(messages).select("year").distinct() if mode == "position" else None
-    empty = math.nan if nan_policy == "propagate" else None
-    dense = mon.dense_months(monthly, names, empty, shown)
-    sinks.write_monthly(mon.monthly_wide(dense, names), f"{target}/monthly")
-    return _summarize(dense, names, target, chosen, nan_policy, naming, years, bad)
+    for value, allowed in ((layout, LAYOUTS), (columns, COLUMNS), (monthly_files, MONTHLY_FILES)):
+        if value not in allowed:
+            raise ValueError(f"{value!r} is none of {allowed}")
+    if layout == "long" and (monthly_files == "year_files" or columns == "first_file"):
+        raise ValueError("a long table has no columns to choose and no plain year files")
+    scratch = f"{target.rstrip('/')}/_scratch-{uuid.uuid4().hex}"
+    with scratch_in(scratch):
+        files = src.scan_files(spark, source, glob)
+        decoded = src.decode_files(files, decoder, decode_by, range_bytes=range_bytes)
+        # The descriptions are taken apart in the decoding stage, and only their fields are kept.
+        described = src.describe(decoded).drop("description")
+        if mode == "time":
+            described = src.flag_unreadable(described, ["name", "valid_time"])
+        else:
+            described = src.flag_unreadable(described, ["year"], first_message_only=True)
+        messages, bad = src.split_decoded(described, files, decode_by)
+        if decode_by == "range" and mode == "position":
+            messages = msg.number_messages(messages.withColumnRenamed("msg_no", "offset"), ["offset"])
+        bad.write.mode("overwrite").json(f"{target}/bad_files")
+        if at is not None:
+            at_hour = msg.value_at(messages, at.date(), at.hour)
+            at_hour.write.mode("overwrite").option("header", True).csv(f"{target}/values")
+
+        facts = discovered = replaced = left_out = None
+        if mode == "position" or same_year == "last":
+            facts = materialize(msg.file_facts(messages), "facts")
+            replaced = materialize(mon.replaced_files(facts), "replaced")
+            replaced.write.mode("overwrite").json(f"{target}/replaced_files")
+        if mode == "position" and variables is None:
+            discovered = materialize(msg.discover_variables(messages), "variables")
+        names = list(variables or ())
+        if variables is None and layout == "wide":
+            uses = first_uses(messages) if discovered is None else first_positions(discovered)
+            if columns == "first_file":
+                uses = materialize(uses, "first_uses")
+                names = _in_order(_of_first_file(uses))
+                left_out = uses.join(_of_first_file(uses), "name", "left_anti").select("name", "file")
+                left_out.write.mode("overwrite").json(f"{target}/left_out")
+            else:
+                names = _in_order(uses)
+        monthly = monthly_from_messages(
+            messages, mode, variables, stride, legacy_first_step, same_year, facts, discovered
+        )
+        if names:
+            monthly = ser.select_variables(monthly, names)
+        monthly = materialize(monthly, "monthly")
+        empty = math.nan if nan_policy == "propagate" else None
+        if layout == "long":
+            dense = mon.dense_months(monthly, list(variables) if variables is not None else None, empty)
+            sinks.write_monthly_long(dense, f"{target}/monthly")
+        else:
+            # A file with fewer messages than days has no month by position, but its year is shown.
+            shown = facts.select("year").distinct() if mode == "position" else None
+            dense = mon.dense_months(monthly, names, empty, shown)
+            write = sinks.write_monthly if monthly_files == "folders" else sinks.write_year_files
+            write(mon.monthly_wide(dense, names), f"{target}/monthly")
+        return _summarize(
+            dense, names, target, chosen, nan_policy, naming, years, layout, bad_files=bad,
+            replaced=replaced, left_out=left_out, scratch=scratch,
+        )
 
 
 def summarize_folder(
     spark: SparkSession,
     source: str,
     target: str,
-    variables: Sequence[str],
+    variables: Sequence[str] | None = None,
     chosen: Sequence[str] | None = None,
     nan_policy: str = "skip",
     naming: str = "prefix",
     exclude_prefix: str = "summary_data",
     years: Iterable[int] | None = None,
+    layout: str = "wide",
 ) -> Outcome:
-    """The second half only: a folder of ``YYYY.csv`` files to summary and series."""
-    cells = tab.scan_monthly_cells(spark, source, exclude_prefix=exclude_prefix)
-    kept = ser.select_variables(yr.valid_years(cells), variables)
-    return _summarize(kept, list(variables), target, chosen, nan_policy, naming, years, None)
+    """The second half only: a folder of monthly tables to summary and series. The tables are
+    ``YYYY.csv`` files or those of ``year=YYYY`` folders, as ``run`` writes them (wide).
+
+    ``variables``: by default those of all headers. Files without a year and cells that
+    are no numbers are left out and listed in ``bad_files``. No file with a
+    year is an error.
+    """
+    scratch = f"{target.rstrip('/')}/_scratch-{uuid.uuid4().hex}"
+    with scratch_in(scratch):
+        cells = materialize(tab.monthly_cells(spark, source, exclude_prefix=exclude_prefix), "cells")
+        bad = cells.where(F.col("error").isNotNull()).select("file", "error").distinct()
+        bad.write.mode("overwrite").json(f"{target}/bad_files")
+        if not cells.where(F.col("year").isNotNull()).head(1):
+            raise ValueError(f"no file of {source} has a year in its name or folder")
+        monthly = yr.valid_years(cells.where(F.col("error").isNull()).drop("error"))
+        names = list(variables or ())
+        if variables is None and layout == "wide":
+            names = [r["name"] for r in monthly.select("name").distinct().orderBy("name").collect()]
+        if names:
+            monthly = ser.select_variables(monthly, names)
+        return _summarize(
+            monthly, names, target, chosen, nan_policy, naming, years, layout, bad_files=bad,
+            scratch=scratch,
+        )
 
 
 def _summarize(
@@ -196,17 +292,34 @@ def _summarize(
     nan_policy: str,
     naming: str,
     years: Iterable[int] | None,
-    bad: DataFrame | None,
+    layout: str,
+    **more,
 ) -> Outcome:
     if chosen is not None and not chosen:
-        return Outcome(names, monthly, None, None, bad)
+        return Outcome(names, monthly, None, None, **more)
+    spark = monthly.sparkSession
+    if layout == "long":
+        picked = monthly if chosen is None else ser.select_variables(monthly, chosen)
+        yearly = yr.yearly_long(picked, nan_policy)
+        if years is not None:
+            spine = yearly.select("name").distinct().withColumn(
+                "year", F.explode(F.array(*[F.lit(y) for y in years]))
+            )
+            yearly = spine.join(yearly, ["name", "year"], "left")
+        yearly = materialize(yearly, "yearly")
+        sinks.write_long(yearly, f"{target}/summary", "name")
+        series = yearly.withColumnRenamed("name", "variable").unpivot(
+            ["variable", "year"], list(STATS), "stat", "value"
+        )
+        sinks.write_long(series, f"{target}/series", "variable")
+        return Outcome([], monthly, yearly, series, **more)
     yearly = yr.yearly_wide(yr.yearly_long(monthly, nan_policy), names, naming)
     if years is not None:
-        yearly = yr.year_spine_join(yearly, yr.year_spine(monthly.sparkSession, years), naming)
+        yearly = yr.year_spine_join(yearly, yr.year_spine(spark, years), naming)
     sinks.write_summary(yearly, f"{target}/summary")
-    summary = tab.read_summary(monthly.sparkSession, f"{target}/summary", names, naming)
+    summary = tab.read_summary(spark, f"{target}/summary", names, naming)
     picked = names if chosen is None else list(chosen)
     present, lacking = ser.select_summary(summary, picked, naming)
     series = ser.trend_series(present, [n for n in picked if n not in lacking], naming)
     sinks.write_series(series, f"{target}/series")
-    return Outcome(names, monthly, summary, series, bad, tuple(lacking))
+    return Outcome(names, monthly, summary, series, lacking=tuple(lacking), **more)

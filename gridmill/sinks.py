@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmill.functions.calendar import month_number
+from gridmill.functions.calendar import month_label, month_number
 from gridmill.operators.monthly import monthly_table
-from gridmill.sources.scratch import scratch_path
+from gridmill.sources.scratch import delete_folder, scratch_path
 
 
 def _by_year(wide: DataFrame) -> DataFrame:
@@ -29,25 +29,59 @@ def write_monthly(wide: DataFrame, path: str) -> None:
     )
 
 
+def write_monthly_long(monthly: DataFrame, path: str) -> None:
+    """``path/year=YYYY/*.csv`` with header ``Month,name,value``, for any number of variables.
+    A year takes as many files as adaptive execution finds useful."""
+    (
+        monthly.select("year", month_label(F.col("month")).alias("Month"), "name", "value", "month")
+        .repartition("year", "name")
+        .sortWithinPartitions("year", "name", "month")
+        .drop("month")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .option("header", True)
+        .partitionBy("year")
+        .csv(path)
+    )
+
+
 def write_year_files(wide: DataFrame, path: str) -> None:
-    """The same tables as ``path/YYYY.csv``, one plain file per year.
+    """The same tables as ``path/YYYY.csv``, one plain file per year; others in the folder stay.
 
     One distributed write into a staging folder beside the target, then one rename per year.
+    Nothing in the target changes before all parts are known to be one per year.
     """
     spark = wide.sparkSession
+    if wide.where(F.col("year").isNull()).head(1):
+        raise ValueError("a table without a year has no file name")
     staging = f"{path.rstrip('/')}/_staging_{scratch_path(spark).rsplit('-', 1)[-1]}"
-    _by_year(wide).write.option("header", True).partitionBy("year").csv(staging)
+    try:
+        # No limit of rows from the session: a year is one file.
+        (
+            _by_year(wide)
+            .write.option("header", True)
+            .option("maxRecordsPerFile", 0)
+            .partitionBy("year")
+            .csv(staging)
+        )
+        _move_years(spark, staging, path)
+    finally:
+        delete_folder(spark, staging)
+
+
+def _move_years(spark: SparkSession, staging: str, path: str) -> None:
 
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    folder = jvm_path(staging)
-    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for part in files.globStatus(jvm_path(staging, "year=*/part-*")):
-        year = part.getPath().getParent().getName().removeprefix("year=")
+    files = jvm_path(staging).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    parts = [p.getPath() for p in files.globStatus(jvm_path(staging, "year=*/part-*"))]
+    years = [p.getParent().getName().removeprefix("year=") for p in parts]
+    if len(set(years)) < len(years):
+        raise OSError(f"a year has more than one part in {staging}")
+    for year, part in zip(years, parts):
         target = jvm_path(path, f"{year}.csv")
         files.delete(target, True)
-        if not files.rename(part.getPath(), target):
-            raise OSError(f"could not move {part.getPath()} to {target}")
-    files.delete(folder, True)
+        if not files.rename(part, target):
+            raise OSError(f"could not move {part} to {target}")
 
 
 def write_summary(yearly: DataFrame, path: str) -> None:
@@ -58,6 +92,17 @@ def write_summary(yearly: DataFrame, path: str) -> None:
     single.write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_long(table: DataFrame, path: str, key: str) -> None:
+    """A long table as CSV files, sorted by ``key`` and cut into ranges of it."""
+    (
+        table.repartitionByRange(key)
+        .sortWithinPartitions(key, "year")
+        .write.mode("overwrite")
+        .option("header", True)
+        .csv(path)
+    )
+
+
 def write_series(series: DataFrame, path: str) -> None:
     """One folder per variable, with ``year,stat,value`` sorted by year."""
     (

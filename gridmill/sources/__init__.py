@@ -1,13 +1,22 @@
 from gridmill.sources.files import (
     decode_files,
     describe,
+    file_names,
     flag_unreadable,
     scan_files,
     split_decoded,
     split_files,
 )
-from gridmill.sources.scratch import materialize, release_scratch, scratch_path, scratch_root
+from gridmill.sources.scratch import (
+    delete_folder,
+    materialize,
+    release_scratch,
+    scratch_in,
+    scratch_path,
+    scratch_root,
+)
 from gridmill.sources.tables import (
+    monthly_cells,
     read_summary,
     scan_monthly_cells,
     scan_monthly_csv,
@@ -17,7 +26,9 @@ from gridmill.sources.tables import (
 
 __all__ = [
     "decode_files",
+    "delete_folder",
     "describe",
+    "file_names",
     "flag_unreadable",
     "materialize",
     "read_summary",
@@ -26,6 +37,8 @@ __all__ = [
     "scan_monthly_cells",
     "scan_monthly_csv",
     "scan_monthly_partitions",
+    "monthly_cells",
+    "scratch_in",
     "scratch_path",
     "scratch_root",
     "split_decoded",

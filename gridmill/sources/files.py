@@ -10,7 +10,7 @@ from urllib.parse import unquote, urlsplit
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridmill.functions.descriptions import stamp_year, valid_time, variable_name
@@ -21,7 +21,9 @@ Decoder = Callable[..., Iterable[tuple]]
 DECODE_BY = ("content", "path", "range")
 
 RANGE_BYTES = 256 * 1024 * 1024
-MAX_TASKS = 100_000
+# A row without its grid, about.
+ROW_BYTES = 256
+BATCH_BYTES = 64 * 1024 * 1024
 
 _MEANS = "file string, msg_no bigint, description string, grid_mean double, error string"
 _GRIDS = "file string, msg_no bigint, description string, values array<double>, error string"
@@ -29,7 +31,8 @@ _GRIDS = "file string, msg_no bigint, description string, values array<double>,
 
 def scan_files(spark: SparkSession, path: str, glob: str = "*.grib") -> DataFrame:
     """One row per file: path, modificationTime, length, content. The content is read only if
-    it is selected. Spark leaves files of zero bytes out of every scan."""
+    it is selected. Spark leaves files of zero bytes out of every scan; ``file_names`` has
+    them."""
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
 
 
@@ -54,18 +57,35 @@ def _openable(uri: str) -> str:
     return unquote(parts.path) if parts.scheme == "file" else uri
 
 
+def file_names(files: DataFrame) -> DataFrame:
+    """``file`` of all files of a scan, also those of zero bytes. The driver has the listing
+    anyway, as it plans the scan from it."""
+    names = [(name,) for name in files.inputFiles()]
+    return files.sparkSession.createDataFrame(names, "file string")
+
+
+def _same_name(file: Column) -> Column:
+    """A scan and a listing write the same local path with one slash and with three."""
+    return F.regexp_replace(file, "^file:/+", "file:/")
+
+
 def split_files(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """``path, start, end``: each file cut into byte ranges, one task each, so that one huge file
-    is decoded by as many tasks as the same bytes in many files."""
-    pieces = F.ceil(F.col("length") / F.lit(range_bytes))
-    tasks = files.agg(F.sum(pieces)).first()[0] or 1
+    is decoded by as many tasks as the same bytes in many files.
+
+    Ranges are numbered without gaps, and a range's number is its partition: hashing would give
+    some tasks several ranges and others none.
+    """
+    # Operators import this package.
+    from gridmill.operators.numbering import number_rows
+
     starts = F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(range_bytes).cast("bigint"))
     ranges = files.select("path", "length", F.explode(starts).alias("start"))
     end = F.least(F.col("start") + range_bytes, F.col("length"))
-    # A given number of partitions: adaptive execution would merge rows this small into one task.
-    return ranges.select("path", "start", end.alias("end")).repartition(
-        min(int(tasks), MAX_TASKS), "path", "start"
-    )
+    ranges = ranges.select(F.lit("all").alias("scan"), "path", "start", end.alias("end"))
+    numbered = number_rows(ranges, "scan", ["path", "start"], "range").drop("scan")
+    tasks = numbered.count() or 1
+    return numbered.repartitionById(tasks, F.col("range").cast("int")).drop("range")
 
 
 def decode_files(
@@ -73,14 +93,15 @@ def decode_files(
     decoder: Decoder,
     by: str = "content",
     keep_values: bool = False,
-    batch_rows: int = 2048,
+    batch_bytes: int = BATCH_BYTES,
     range_bytes: int = RANGE_BYTES,
 ) -> DataFrame:
     """Expand each file to its messages, numbered from 0 in file order.
 
     ``by`` says what the decoder gets:
 
-    - ``"content"``: the bytes of the file, at most 2 GB; Spark reads them.
+    - ``"content"``: the bytes of the file as a buffer, which is not copied; Spark reads them.
+      Longer files than ``spark.sql.sources.binaryFile.maxLength`` are left to the report.
     - ``"path"``: the path. The bytes never pass through the JVM, the decoder streams the file,
       and a file of any size needs the memory of one message.
     - ``"range"``: path, start and end of a byte range. The decoder gives ``(offset, description,
@@ -88,8 +109,9 @@ def decode_files(
       ``number_messages`` can turn into a count. For files too long for one task.
 
     Each grid is reduced to its mean next to the decoder, so eight bytes per message leave the
-    task; ``keep_values=True`` keeps the whole grids instead. A file that fails or holds no
-    message gives one more row with ``error`` set; see ``split_decoded``.
+    task; ``keep_values=True`` keeps the whole grids instead. Rows leave
+    in batches of about ``batch_bytes``. A file that fails, or by content or path holds no message,
+    gives one more row with ``error`` set; see ``split_decoded``.
     """
     if by not in DECODE_BY:
         raise ValueError(f"by must be one of {DECODE_BY}, not {by!r}")
@@ -124,34 +146,68 @@ def decode_files(
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
+        size = 0
         for batch in batches:
             for cells in zip(*batch.columns):
-                file, *arguments = [cell.as_py() for cell in cells]
-                if by != "content":
-                    arguments = [_openable(file), *arguments]
+                file = cells[0].as_py()
+                if by == "content":
+                    arguments = [memoryview(cells[1].as_buffer())]
+                else:
+                    arguments = [_openable(file), *(cell.as_py() for cell in cells[1:])]
                 for row in messages_of(file, arguments):
                     rows.append(row)
-                    if len(rows) >= batch_rows:
+                    size += ROW_BYTES + (row[3].nbytes if keep_values and row[3] is not None else 0)
+                    if size >= batch_bytes:
                         yield to_batch(rows)
-                        rows = []
+                        rows, size = [], 0
         if rows:
             yield to_batch(rows)
 
     if by == "range":
         sources = split_files(files, range_bytes)
+    elif by == "path":
+        sources = files.select("path")
     else:
-        sources = files.select("path", "content") if by == "content" else files.select("path")
+        # The condition reaches the scan, which would else fail on the first long file.
+        sources = files.where(F.col("length") <= _content_limit(files.sparkSession))
+        sources = sources.select("path", "content")
     return sources.mapInArrow(decode, _GRIDS if keep_values else _MEANS)
 
 
-def split_decoded(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _content_limit(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.sources.binaryFile.maxLength"))
+
+
+def split_decoded(
+    decoded: DataFrame, files: DataFrame | None = None, by: str = "content"
+) -> tuple[DataFrame, DataFrame]:
     """(messages of the files that decoded whole, bad files as ``file, error``).
 
     A file that failed half-way gives no message at all. Decoding is the dear step, so its
-    output is written once and both results read it back.
+    output is written once and both results read it back. With ``files``, the scan that was
+    decoded, and ``by``, how, files that gave no row at all are reported too: those of zero bytes,
+    those without a message in any range, and those too long to be read as content.
     """
     decoded = materialize(decoded, "decoded")
     bad = decoded.where(F.col("error").isNotNull()).groupBy("file").agg(F.min("error").alias("error"))
+    if files is not None:
+        seen = decoded.select(_same_name(F.col("file")).alias("_name")).distinct()
+        lengths = files.select(_same_name(F.col("path")).alias("_name"), "length")
+        too_long = (F.lit(by) == "content") & (F.col("length") > _content_limit(files.sparkSession))
+        silent = (
+            file_names(files)
+            .select(_same_name(F.col("file")).alias("_name"))
+            .join(seen, "_name", "left_anti")
+            .join(lengths, "_name", "left")
+            .select(
+                F.col("_name").alias("file"),
+                F.when(F.col("length").isNull(), "file of zero bytes")
+                .when(too_long, "too long to be read as content: use path or range")
+                .otherwise("no messages")
+                .alias("error"),
+            )
+        )
+        bad = bad.unionByName(silent)
     bad = materialize(bad, "bad_files")
     good = decoded.where(F.col("error").isNull()).drop("error")
     return good.join(bad.select("file"), "file", "left_anti"), bad

@@ -1,4 +1,4 @@
-"""Intermediate tables in the shared folder of the cluster.
+"""Intermediate tables in a folder that all executors share.
 
 A table written there survives the loss of executors, cuts the lineage, and gives Catalyst the
 true size of what it joins: below ``spark.sql.autoBroadcastJoinThreshold`` it broadcasts, above
@@ -8,39 +8,44 @@ library carries a broadcast hint that would grow with the data.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
-_local_roots: dict[str, str] = {}
+_folder: ContextVar[str | None] = ContextVar("scratch_folder", default=None)
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``. Where it is unset, a local session (tests)
-    gets a temporary folder of its own and a cluster gets an error."""
+    """The folder named in ``spark.checkpoint.dir``; where that is unset, one in the session's
+    warehouse, which executors share as well."""
     root = spark.conf.get(_SETTING, None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {_SETTING} to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local_roots:
-        _local_roots[app] = tempfile.mkdtemp(prefix="gridmill-")
-        atexit.register(shutil.rmtree, _local_roots[app], ignore_errors=True)
-    return _local_roots[app]
+    if not root:
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    return root.rstrip("/")
 
 
 def _app_folder(spark: SparkSession) -> str:
     return f"{scratch_root(spark)}/gridmill-{spark.sparkContext.applicationId}"
 
 
+@contextmanager
+def scratch_in(folder: str) -> Iterator[str]:
+    """Within this block, scratch tables of this thread go to ``folder``. Whoever opens it deletes
+    it, with ``delete_folder``, once nothing reads its tables any more."""
+    token = _folder.set(folder.rstrip("/"))
+    try:
+        yield folder
+    finally:
+        _folder.reset(token)
+
+
 def scratch_path(spark: SparkSession, label: str = "table") -> str:
-    """A fresh path under the scratch folder of this application."""
-    return f"{_app_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the folder of ``scratch_in``, or of this application."""
+    return f"{_folder.get() or _app_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
@@ -51,7 +56,12 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release_scratch(spark: SparkSession) -> None:
-    """Delete the scratch tables of this application; call it when their readers are done."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_app_folder(spark))
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    """Delete the scratch tables of this application but for those of ``scratch_in``; call it
+    when their readers are done."""
+    delete_folder(spark, _app_folder(spark))

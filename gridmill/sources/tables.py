@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,54 +51,97 @@ def scan_monthly_csv(
     return table.withColumn("year", year_from_file_name(file_name))
 
 
-def scan_monthly_cells(
+# A cell of a CSV line: quoted, with quotes inside doubled or after a backslash, or up to the next
+# comma.
+_CELL = r'(?:^|(?<=,))(?:"(?:[^"\\]|""|\\.)*+"|[^,]*+)'
+
+
+def _line_cells(line: Column) -> Column:
+    """The cells of a line. Only lines with quotes need a pattern."""
+    quoted = F.transform(
+        F.regexp_extract_all(line, F.lit(_CELL), F.lit(0)),
+        lambda cell: F.when(
+            cell.startswith('"'), F.regexp_replace(F.regexp_replace(cell, '^"|"$', ""), r'["\\](["\\])', "$1")
+        ).otherwise(cell),
+    )
+    return F.when(F.contains(line, F.lit('"')), quoted).otherwise(F.split(line, ","))
+
+
+def monthly_cells(
     spark: SparkSession,
     path: str,
     glob: str = "*.csv",
     exclude_prefix: str | None = None,
 ) -> DataFrame:
-    """``file, year, month, name, value`` from monthly CSV files whose headers may differ in
+    """``file, year, month, name, value, error`` from monthly CSV files whose headers may differ in
     names and order: each cell is labelled by the header of its own file.
 
-    A monthly file holds a header and twelve lines, so it is read whole, one row a file.
+    A monthly file holds a header and twelve lines, so it is read whole, one row a file. Folders
+    below are read too. The year
+    is that of the file's name, or of a ``year=`` folder above it, as ``write_monthly`` makes them.
+    ``error`` is set for a file without a year (one row, nothing else), text that is neither empty
+    nor a number, and cells beyond the header. A label that is no English month gives a null
+    month. An empty folder gives an empty table.
     """
     texts = (
         spark.read.option("pathGlobFilter", glob)
+        .option("recursiveFileLookup", True)
         .text(path, wholetext=True)
         .select(
             F.col("_metadata.file_name").alias("file"),
+            F.coalesce(
+                year_from_file_name(F.col("_metadata.file_name")),
+                F.regexp_extract("_metadata.file_path", r"/year=([0-9]+)/[^/]*$", 1).try_cast("int"),
+            ).alias("year"),
             F.filter(F.split("value", "\r?\n"), lambda line: line != "").alias("lines"),
         )
     )
     if exclude_prefix is not None:
         texts = texts.where(~F.col("file").startswith(exclude_prefix))
 
-    # An upper bound of the cells in a line; a quoted comma only makes it wider.
-    header_cells = F.size(F.split(F.get("lines", F.lit(0)), ","))
-    width = texts.agg(F.max(header_cells)).first()[0] or 1
-    layout = ", ".join(f"c{i} string" for i in range(width))
-
-    def cells(line):
-        parsed = F.from_csv(line, layout)
-        return F.array(*[parsed[f"c{i}"] for i in range(width)])
-
-    rows = texts.select(
+    no_year = texts.where(F.col("year").isNull()).select(
+        "file", "year",
+        F.lit(None).cast("int").alias("month"), F.lit(None).cast("string").alias("name"),
+        F.lit(None).cast("double").alias("value"), F.lit("no year in its name").alias("error"),
+    )
+    header = _line_cells(F.get("lines", F.lit(0)))
+    lines = F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0)))
+    rows = (
+        texts.where(F.col("year").isNotNull())
+        .select("file", "year", header.alias("header"), lines.alias("lines"))
+        .select("file", "year", "header", F.explode("lines").alias("line"))
+        .select("file", "year", "header", _line_cells(F.col("line")).alias("row"))
+    )
+    # The longer of both: a cell without a name is an error, a name without a cell is empty.
+    cells = F.arrays_zip("header", "row")
+    cells = F.explode(F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0))))
+    label, name, text = F.get("row", F.lit(0)), F.col("cell.header"), F.trim("cell.row")
+    parsed = rows.select("file", "year", label.alias("label"), cells.alias("cell")).select(
         "file",
-        cells(F.get("lines", F.lit(0))).alias("header"),
-        F.explode(F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0)))).alias("line"),
-    ).select("file", "header", cells(F.col("line")).alias("row"))
-    zipped = F.explode(F.slice(F.arrays_zip("header", "row"), 2, width))
-    return (
-        rows.select("file", F.get("row", F.lit(0)).alias("label"), zipped.alias("cell"))
-        .where(F.col("cell.header").isNotNull())
-        .select(
-            "file",
-            year_from_file_name(F.col("file")).alias("year"),
-            month_number(F.col("label")).alias("month"),
-            F.col("cell.header").alias("name"),
-            F.col("cell.row").try_cast("double").alias("value"),
-        )
+        "year",
+        month_number(F.col("label")).alias("month"),
+        name.alias("name"),
+        F.col("cell.row").try_cast("double").alias("value"),
+        text.alias("_text"),
+    )
+    filled = F.coalesce(F.col("_text"), F.lit("")) != ""
+    error = (
+        F.when(F.col("name").isNull() & filled, F.concat(F.lit("cell beyond the header: "), "_text"))
+        .when(filled & F.col("value").isNull(), F.concat(F.lit("not a number: "), "_text"))
     )
+    found = parsed.withColumn("error", error).drop("_text")
+    return found.where(F.col("name").isNotNull() | F.col("error").isNotNull()).unionByName(no_year)
+
+
+def scan_monthly_cells(
+    spark: SparkSession,
+    path: str,
+    glob: str = "*.csv",
+    exclude_prefix: str | None = None,
+) -> DataFrame:
+    """``file, year, month, name, value``: ``monthly_cells`` without those that have an error."""
+    cells = monthly_cells(spark, path, glob, exclude_prefix)
+    return cells.where(F.col("error").isNull()).drop("error")
 
 
 def scan_monthly_partitions(spark: SparkSession, path: str, variables: Sequence[str]) -> DataFrame:

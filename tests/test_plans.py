@@ -15,7 +15,7 @@ NAMES = ["t 2m", "u.wind", "rain"]
 
 def decoder():
     def decode(content):
-        for line in content.decode().splitlines():
+        for line in bytes(content).decode().splitlines():
             yield line.split("|")[0], [float(x) for x in line.split("|")[1].split(",")]
 
     return decode
@@ -41,6 +41,11 @@ def folder(tmp_path):
     return str(source), str(tmp_path / "out"), [m for data in years.values() for m in data]
 
 
+def shown(target):
+    """What a job leaves besides its scratch."""
+    return sorted(name for name in os.listdir(target) if not name.startswith("_"))
+
+
 def expected_monthly(data):
     return means(((m[3], m[4].month, m[2]), m[5]) for m in data)
 
@@ -49,7 +54,7 @@ def expected_monthly(data):
 @pytest.mark.parametrize("variables", [None, NAMES])
 def test_run(spark, folder, mode, variables):
     source, target, data = folder
-    outcome = run(spark, source, target, decoder(), variables=variables, mode=mode)
+    outcome = run(spark, source, target, decoder(), variables=variables, mode=mode, same_year="last")
     assert outcome.variables == NAMES and outcome.lacking == ()
     assert [r.file.rsplit("/", 1)[-1] for r in outcome.bad_files.collect()] == ["bad.grib"]
 
@@ -65,7 +70,11 @@ def test_run(spark, folder, mode, variables):
         assert series[name, 2000, "min"] == pytest.approx(min(months))
         assert series[name, 2000, "max"] == pytest.approx(max(months))
         assert series[name, 2000, "avg"] == pytest.approx(sum(months) / 12)
-    assert sorted(os.listdir(target)) == ["bad_files", "monthly", "series", "summary"]
+    assert shown(target) == ["bad_files", "monthly", "replaced_files", "series", "summary"]
+    replaced = [(r.file.rsplit("/", 1)[-1], r.year, r.messages) for r in outcome.replaced.collect()]
+    assert replaced == [("2000a.grib", 2000, 366 * 3)]
+    outcome.release()
+    assert os.listdir(target) and not any(n.startswith("_") for n in os.listdir(target))
 
 
 def range_decoder():
@@ -85,7 +94,8 @@ def test_run_by_ranges(spark, folder, mode):
     """The same results when each file is decoded in pieces."""
     source, target, data = folder
     outcome = run(
-        spark, source, target, range_decoder(), mode=mode, decode_by="range", range_bytes=20_000
+        spark, source, target, range_decoder(), mode=mode, decode_by="range", range_bytes=20_000,
+        same_year="last",
     )
     monthly = expected_monthly(data)
     got = {(r.year, r.month, r.name): r.value for r in outcome.monthly.collect()}
@@ -97,7 +107,7 @@ def test_nothing_chosen_stops_after_the_monthly_tables(spark, folder):
     source, target, _ = folder
     outcome = run(spark, source, target, decoder(), chosen=[])
     assert outcome.yearly is None and outcome.series is None
-    assert sorted(os.listdir(target)) == ["bad_files", "monthly"]
+    assert shown(target) == ["bad_files", "monthly"]
 
 
 def test_chosen_variables_without_data_are_reported(spark, folder):
@@ -108,6 +118,106 @@ def test_chosen_variables_without_data_are_reported(spark, folder):
     assert outcome.yearly.columns[:2] == ["Year", "t 2m_min"]
 
 
+def parts_of_years(folder):
+    """2000 in two files, the second of which begins on New Year's Eve and has a further variable."""
+    folder.mkdir()
+    old, new = complete_year(1999, ["a"], 1), complete_year(2000, ["a", "late"], 1)
+    first = [m for m in new if m[4].month <= 6 and m[2] == "a"]
+    second = old[-1:] + [m for m in new if m[4].month > 6]
+    write_file(folder / "1999.grib", old[:-1])
+    write_file(folder / "2000a.grib", first)
+    write_file(folder / "2000b.grib", second)
+    return str(folder), old + first + second[1:]
+
+
+def test_the_default_loses_nothing(spark, tmp_path):
+    source, data = parts_of_years(tmp_path / "in")
+    outcome = run(spark, source, str(tmp_path / "out"), decoder())
+    got = {(r.year, r.month, r.name): r.value for r in outcome.monthly.collect() if r.value is not None}
+    assert outcome.variables == ["a", "late"]
+    assert got == {k: pytest.approx(v) for k, v in expected_monthly(data).items()}
+    assert outcome.replaced is None and outcome.left_out is None
+
+
+def test_explicit_choices_say_what_they_leave_out(spark, tmp_path):
+    source, _ = parts_of_years(tmp_path / "in")
+    target = str(tmp_path / "out")
+    outcome = run(spark, source, target, decoder(), same_year="last", columns="first_file")
+    assert outcome.variables == ["a"]
+    assert [r.name for r in outcome.left_out.collect()] == ["late"]
+    # The file that begins on New Year's Eve counts as one of 1999.
+    assert [r.file.rsplit("/", 1)[-1] for r in outcome.replaced.collect()] == ["1999.grib"]
+    assert shown(target) == ["bad_files", "left_out", "monthly", "replaced_files", "series", "summary"]
+
+
+def test_long_layout_with_many_variables(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    with open(tmp_path / "in" / "1.grib", "w") as file:
+        for i in range(6000):
+            file.write(f"{i}:v{i}:from 200003010000|{i},{i}\n")
+    target = str(tmp_path / "out")
+    outcome = run(spark, str(tmp_path / "in"), target, decoder(), layout="long", years=[2000, 2001])
+    assert outcome.variables == [] and outcome.yearly.count() == 12_000
+    assert outcome.series.where("year = 2000 and value is not null").count() == 18_000
+    written = spark.read.option("header", True).csv(f"{target}/monthly")
+    assert written.count() == 72_000 and written.where("value is not null").count() == 6000
+    with pytest.raises(ValueError, match="long"):
+        run(spark, str(tmp_path / "in"), target, decoder(), layout="long", columns="first_file")
+
+
+@pytest.mark.parametrize("files", ["folders", "year_files"])
+def test_two_steps(spark, tmp_path, files):
+    source, _ = parts_of_years(tmp_path / "in")
+    target = str(tmp_path / "out")
+    whole = run(spark, source, target, decoder(), monthly_files=files)
+    again = summarize_folder(spark, f"{target}/monthly", str(tmp_path / "again"))
+    assert again.variables == whole.variables
+    assert rows(again.series) == rows(whole.series) and again.series.count() == 2 * 2 * 3
+    assert again.bad_files.count() == 0
+
+
+def test_a_folder_without_years_is_an_error(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "notes.csv").write_text("Month,a\nJan,1\n")
+    with pytest.raises(ValueError, match="year"):
+        summarize_folder(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+
+
+def test_values_at_an_hour(spark, tmp_path):
+    source, data = parts_of_years(tmp_path / "in")
+    at = next(m[4] for m in data if m[4].month == 8)
+    target = str(tmp_path / "out")
+    run(spark, source, target, decoder(), at=at)
+    values = spark.read.option("header", True).csv(f"{target}/values")
+    assert values.count() == sum(m[4].date() == at.date() and m[4].hour == at.hour for m in data) > 0
+
+
+def test_runs_release_their_own_scratch(spark, tmp_path):
+    source, _ = parts_of_years(tmp_path / "in")
+    first = run(spark, source, str(tmp_path / "out1"), decoder())
+    second = run(spark, source, str(tmp_path / "out2"), decoder())
+    first.release()
+    assert second.monthly.count() > 0 and not os.path.exists(first.scratch)
+
+
+def test_position_mode_scans_the_messages_seldom(spark, tmp_path, monkeypatch):
+    """Facts, discovered variables (first uses and repeats) and positions, whatever is derived."""
+    from gridmill.plans import climate
+
+    source, _ = parts_of_years(tmp_path / "in")
+    plans = []
+
+    def stored(df, label="table"):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return climate_materialize(df, label)
+
+    climate_materialize = climate.materialize
+    monkeypatch.setattr(climate, "materialize", stored)
+    run(spark, source, str(tmp_path / "out"), decoder(), mode="position")
+    scans = sum(p.count("msg_no") > 0 and "grid_mean" in p for p in plans)
+    assert scans <= 3
+
+
 def test_no_file_decodes(spark, tmp_path):
     (tmp_path / "x.grib").write_text("junk")
     target = str(tmp_path / "out")
@@ -232,7 +342,7 @@ def test_command_line(tmp_path):
     write_file(source / "1999.grib", complete_year(1999, ["a"], 1))
     (tmp_path / "toy_decoder.py").write_text(
         "def decode(content):\n"
-        "    for line in content.decode().splitlines():\n"
+        "    for line in bytes(content).decode().splitlines():\n"
         "        yield line.split('|')[0], [float(x) for x in line.split('|')[1].split(',')]\n"
     )
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

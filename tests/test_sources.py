@@ -25,7 +25,7 @@ def put(folder, name, text):
 
 def json_decoder():
     def decode(content):
-        for line in content.decode().splitlines():
+        for line in bytes(content).decode().splitlines():
             message = json.loads(line)
             yield message["d"], message["v"]
 
@@ -66,9 +66,9 @@ def test_scan_files_by_glob(spark, toy_files):
 
 
 @pytest.mark.parametrize(("by", "decoder"), [("content", json_decoder()), ("path", path_decoder())])
-@pytest.mark.parametrize("batch_rows", [2, 1000])
-def test_decode_numbers_messages_and_reports_bad_files(spark, toy_files, by, decoder, batch_rows):
-    decoded = src.decode_files(src.scan_files(spark, toy_files), decoder, by, batch_rows=batch_rows)
+@pytest.mark.parametrize("batch_bytes", [600, 10**6])
+def test_decode_numbers_messages_and_reports_bad_files(spark, toy_files, by, decoder, batch_bytes):
+    decoded = src.decode_files(src.scan_files(spark, toy_files), decoder, by, batch_bytes=batch_bytes)
     good, bad = src.split_decoded(decoded)
     got = rows(base(good).select("file", "msg_no", "grid_mean"))
     assert got == [("1.grib", i, i + 1.0) for i in range(5)]
@@ -119,6 +119,43 @@ def test_a_file_without_messages_is_reported(spark, tmp_path):
     assert good.count() == 0 and [r.error for r in bad.collect()] == ["ValueError: no messages"]
 
 
+def test_silent_files_are_reported(spark, tmp_path):
+    """Zero bytes, nothing in any range, and too long to be read as content."""
+    put(tmp_path, "1.grib", json.dumps({"d": "0:a:200001010000", "v": [1]}))
+    put(tmp_path, "2 empty.grib", "")
+    put(tmp_path, "3.grib", "\n" * 3000)
+    files = src.scan_files(spark, str(tmp_path))
+    lines = range_decoder()
+
+    def silent(path, start, end):
+        if path.endswith("1.grib"):
+            yield from lines(path, start, end)
+
+    decoded = src.decode_files(files, silent, by="range", range_bytes=1000)
+    good, bad = src.split_decoded(decoded, files, "range")
+    report = {os.path.basename(r.file).replace("%20", " "): r.error for r in bad.collect()}
+    assert good.count() == 1 and report == {"2 empty.grib": "file of zero bytes", "3.grib": "no messages"}
+
+    limit = "spark.sql.sources.binaryFile.maxLength"
+    spark.conf.set(limit, "1000")
+    try:
+        decoded = src.decode_files(files, json_decoder())
+        good, bad = src.split_decoded(decoded, files, "content")
+        report = {os.path.basename(r.file).replace("%20", " "): r.error for r in bad.collect()}
+        assert good.count() == 1 and set(report) == {"2 empty.grib", "3.grib"}
+        assert "use path or range" in report["3.grib"]
+    finally:
+        spark.conf.unset(limit)
+
+
+def test_each_range_is_a_partition_of_its_own(spark, tmp_path):
+    put(tmp_path, "1.grib", "x" * 5000)
+    put(tmp_path, "2.grib", "x" * 1234)
+    ranges = src.split_files(src.scan_files(spark, str(tmp_path)), 10)
+    sizes = ranges.groupBy(F.spark_partition_id()).count().collect()
+    assert ranges.rdd.getNumPartitions() == len(sizes) == 500 + 124 and {r["count"] for r in sizes} == {1}
+
+
 def test_path_mode_reads_no_content(spark, toy_files):
     decoded = src.decode_files(src.scan_files(spark, toy_files), path_decoder(), by="path")
     plan = decoded._jdf.queryExecution().executedPlan().toString()
@@ -222,6 +259,34 @@ def test_cells_of_a_file_with_a_header_only(spark, tmp_path):
     assert src.scan_monthly_cells(spark, str(tmp_path)).count() == 0
 
 
+def test_wide_lines_are_parsed_once(spark, tmp_path):
+    names = [f"v{i}" for i in range(3000)]
+    put(tmp_path, "2000.csv", "\n".join(
+        [",".join(["Month", *names])] + [",".join([m, *["1.5"] * 3000]) for m in ("Jan", "Feb", "Dec")]
+    ))
+    cells = src.scan_monthly_cells(spark, str(tmp_path))
+    assert cells.groupBy("month").agg(F.sum("value")).collect().__len__() == 3
+    assert cells.agg(F.sum("value")).first()[0] == 3 * 3000 * 1.5
+    assert "from_csv" not in cells._jdf.queryExecution().toString()
+
+
+def test_bad_cells_are_reported(spark, tmp_path):
+    put(tmp_path, "2000.csv", 'Month,"a,""x""",b\nJan,1,oops\nFeb,nan,\nMoon,1,2\nMar,1,2,3\nApr,1')
+    put(tmp_path, "notes.csv", "Month,a\nJan,1")
+    os.makedirs(tmp_path / "year=1999")
+    put(tmp_path / "year=1999", "part-0.csv", 'Month,"q\\"t"\nJan,4')
+    cells = src.monthly_cells(spark, str(tmp_path))
+    errors = sorted((r.file, r.error) for r in cells.where("error is not null").collect())
+    assert errors == [
+        ("2000.csv", "cell beyond the header: 3"), ("2000.csv", "not a number: oops"),
+        ("notes.csv", "no year in its name"),
+    ]
+    good = {(r.year, r.month, r.name): r.value for r in cells.where("error is null").collect()}
+    assert good[2000, 1, 'a,"x"'] == 1.0 and good[1999, 1, 'q"t'] == 4.0
+    assert str(good[2000, 2, 'a,"x"']) == "nan" and good[2000, 2, "b"] is None
+    assert good[2000, None, "b"] == 2.0 and good[2000, 3, "b"] == 2.0 and good[2000, 4, "b"] is None
+
+
 def test_union_years(spark):
     one = spark.createDataFrame([(1.0, 2000)], "a double, year int")
     two = spark.createDataFrame([(2001, 2.0)], "year int, b double")
@@ -239,13 +304,18 @@ def test_scratch_follows_the_session(spark):
 
 
 def test_scratch_unset(spark, monkeypatch):
-    """Local sessions get a folder; a cluster is told to name one."""
+    """The warehouse is shared as well."""
     monkeypatch.setattr(scratch, "_SETTING", "spark.gridmill.no.such.setting")
-    first = src.scratch_root(spark)
-    assert os.path.isdir(first) and src.scratch_root(spark) == first
-    monkeypatch.setattr(spark.sparkContext, "master", "spark://somewhere:7077")
-    with pytest.raises(ValueError, match="no.such.setting"):
-        src.scratch_root(spark)
+    assert src.scratch_root(spark) == spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+
+
+def test_scratch_of_a_block(spark, tmp_path):
+    with src.scratch_in(str(tmp_path / "own")):
+        table = src.materialize(spark.range(3))
+    assert src.scratch_path(spark).startswith(src.scratch_root(spark))
+    assert table.count() == 3 and os.listdir(tmp_path / "own")
+    src.delete_folder(spark, str(tmp_path / "own"))
+    assert not os.path.exists(tmp_path / "own")
 
 
 def test_materialize_runs_once(spark):

@@ -341,25 +341,30 @@ def value_at(spark, sf_dir):
 # --- yearly -------------------------------------------------------------------------------
 
 
-def _monthly_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each seventh order has no value: months of single priorities may turn NaN as a whole."""
-    gap = F.when(F.col("o_orderkey") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("grid_mean"))
-    return views.orders_as_messages(spark, sf_dir).select("year", gap.alias("v"))
+# By month as a whole: the messages of these months have no value.
+_GAP_MONTHS = (2, 7)
+_GAPS = f"""{OM}, m as (
+    select year, month, case when month in {_GAP_MONTHS} then 'nan'::double else avg(grid_mean) end as v
+    from om where name = '1-URGENT' group by year, month)"""
 
 
-_GAPS = f"""{OM}, g as (select year, case when o_orderkey % 7 = 0 then 'nan'::double
-                                         else grid_mean end as v from om)"""
+def _monthly_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly means of one variable, of which some months are NaN as a whole."""
+    gap = F.when(F.col("month").isin(*_GAP_MONTHS), F.lit(float("nan"))).otherwise(F.col("grid_mean"))
+    messages = views.orders_as_messages(spark, sf_dir).withColumn("grid_mean", gap)
+    monthly = op.monthly_mean(op.select_variables(messages, ["1-URGENT"]))
+    return op.monthly_wide(monthly, ["1-URGENT"]).select("year", F.col("1-URGENT").alias("v"))
 
 
 @register(f"""{_GAPS} select year, min(v) filter (where not isnan(v)) as min_v,
-max(v) filter (where not isnan(v)) as max_v, avg(v) filter (where not isnan(v)) as avg_v
-from g group by year""")
+max(v) filter (where not isnan(v)) as max_v, round(avg(v) filter (where not isnan(v)), 4) as avg_v
+from m group by year""")
 def yearly_skipnan(spark, sf_dir):
-    return op.yearly_stats(_monthly_with_gaps(spark, sf_dir), ["v"], nan_policy="skip")
+    return rounded(op.yearly_stats(_monthly_with_gaps(spark, sf_dir), ["v"], nan_policy="skip"), "avg_v")
 
 
 @register(f"""{_GAPS} select year, min(v) as min_v, isnan(max(v)) as nan_max,
-isnan(avg(v)) as nan_avg from g group by year""")
+isnan(avg(v)) as nan_avg from m group by year""")
 def yearly_nan(spark, sf_dir):
     yearly = op.yearly_stats(_monthly_with_gaps(spark, sf_dir), ["v"], nan_policy="propagate")
     return yearly.select(
@@ -559,38 +564,155 @@ def decode_grids(spark, sf_dir):
     )
 
 
-@register(f"""{GL} select 'good' as kind, year, count(*) as messages from gl group by year
-union all select 'bad', 0, 0 where exists (select 1 from part)""")
-def bad_file_report(spark, sf_dir):
-    """Part names among the message files: text that does not decode."""
-    folder = views.write_message_files(spark, sf_dir)
-    junk = views.table(spark, sf_dir, "part").select("p_name")
-    junk.write.option("maxRecordsPerFile", views.FILE_ROWS).text(f"{folder}/year=0")
-    files = src.scan_files(spark, folder, "*.txt")
-    good, bad = src.split_decoded(src.decode_files(files, views.line_decoder()))
-    folder_year = F.regexp_extract("file", "year=([0-9]+)/", 1).cast("int")
-    counted = good.groupBy(folder_year.alias("year")).agg(F.count("*").alias("messages"))
-    reported = bad.select(folder_year.alias("year"), F.lit(0).cast("bigint").alias("messages"))
-    return (
-        counted.withColumn("kind", F.lit("good"))
-        .unionByName(reported.distinct().withColumn("kind", F.lit("bad")))
-        .select("kind", "year", "messages")
-    )
+_BAD_KINDS = " union all ".join(
+    f"select '{mode}' as mode, 'kind={kind}' as file, '{reason}' as reason from part having count(*) > 0"
+    for mode in src.files.DECODE_BY
+    for kind, reason in (("junk", "ValueError"), ("half", "ValueError"), ("empty", "file of zero bytes"))
+)
 
 
-@register(f"""{GL}, m as (select year, month, name, avg(grid_mean) as value from gl group by 1, 2, 3),
-y as (select name, year, min(value) as min, max(value) as max, avg(value) as avg from m group by 1, 2)
-select name as variable, year, stat, round(value, 4) as value from (
-    {" union all ".join(f"select name, year, '{s}' as stat, {s} as value from y" for s in STATS)})""")
+@register(_BAD_KINDS)
+def bad_file_report(spark, sf_dir):
+    """Each bad file by its folder, however it is decoded; the good one is not among them."""
+    folder = views.write_bad_files(spark, sf_dir)
+    files = src.scan_files(spark, folder, "*.txt")
+    decoders = {
+        "content": views.line_decoder(), "path": views.path_decoder(), "range": views.range_decoder()
+    }
+    reports = []
+    for mode, decoder in decoders.items():
+        bad = src.split_decoded(src.decode_files(files, decoder, by=mode), files, mode)[1]
+        reports.append(bad.select(
+            F.lit(mode).alias("mode"),
+            F.regexp_extract("file", "/(kind=[a-z]+)/", 1).alias("file"),
+            F.regexp_extract("error", "^[^:]*", 0).alias("reason"),
+        ))
+    return reports[0].unionByName(reports[1]).unionByName(reports[2])
+
+
+def _job_sql(messages: str, every_year: bool = True) -> str:
+    """Series of a whole job; in the wide layout each name has each year."""
+    join = "left join" if every_year else "join"
+    return f"""with gl as ({messages}),
+m as (select year, month, name, avg(grid_mean) as value from gl group by 1, 2, 3),
+y as (select name, year, min(value) as min, max(value) as max, avg(value) as avg from m group by 1, 2),
+s as (select * from (select distinct name from gl), (select distinct year from gl))
+select name as variable, year, stat,
+       round(case stat when 'min' then min when 'max' then max else avg end, 4) as value
+from s {join} y using (name, year), (values ('min'), ('max'), ('avg')) as t(stat)"""
+
+
+@register(_job_sql(GRIDS_SQL))
 def full_job(spark, sf_dir):
     """Message files to monthly tables, summary and series."""
     source = views.write_message_files(spark, sf_dir)
     target = src.scratch_path(spark, "results")
     outcome = run(
-        spark, source, target, views.line_decoder(),
-        variables=["A", "N", "R"], glob="*.txt", same_year="merge",
+        spark, source, target, views.line_decoder(), variables=["A", "N", "R"], glob="*.txt"
+    )
+    return rounded(outcome.series, "value")
+
+
+@register(_job_sql(views.STRADDLING_SQL))
+def full_job_default(spark, sf_dir):
+    """Nothing is said of variables and years: files of a year are parts of it, and names that
+    only later files hold are there."""
+    source = views.write_straddling_files(spark, sf_dir)
+    target = src.scratch_path(spark, "results")
+    outcome = run(spark, source, target, views.line_decoder(), glob="*.txt")
+    return rounded(outcome.series, "value")
+
+
+@register(_job_sql(views.STRADDLING_SQL, every_year=False))
+def full_job_long(spark, sf_dir):
+    """No list of names anywhere: each name has the years that it has."""
+    source = views.write_straddling_files(spark, sf_dir)
+    target = src.scratch_path(spark, "results")
+    outcome = run(spark, source, target, views.line_decoder(), glob="*.txt", layout="long")
+    return rounded(outcome.series, "value").select("variable", "year", "stat", "value")
+
+
+@register(" union all ".join(
+    f"select '{files}' as files, * from ({_job_sql(views.STRADDLING_SQL)})"
+    for files in ("folders", "year_files")
+))
+def two_step_job(spark, sf_dir):
+    """Decode, then summarize what the first job wrote, in either form."""
+    source = views.write_straddling_files(spark, sf_dir)
+    results = []
+    for files in ("folders", "year_files"):
+        target = src.scratch_path(spark, "results")
+        run(
+            spark, source, target, views.line_decoder(), glob="*.txt", chosen=[], monthly_files=files
+        ).release()
+        second = summarize_folder(spark, f"{target}/monthly", src.scratch_path(spark, "results"))
+        results.append(rounded(second.series, "value").select(F.lit(files).alias("files"), "*"))
+    return results[0].unionByName(results[1])
+
+
+@register(f"""{OM}, f as (
+    select cast(year as varchar) || '-' || cast(ceil(month / 3) as int) || '.grib' as file, year,
+           count(*) as messages from om group by 1, 2)
+select file, year, messages, last as replaced_by
+from (select *, max(file) over (partition by year) as last from f) where file <> last""")
+def replaced_files(spark, sf_dir):
+    """Orders in a file per quarter: the last of a year replaces the others."""
+    quarter = F.ceil(F.col("month") / 3).cast("string")
+    messages = views.orders_as_messages(spark, sf_dir).withColumn(
+        "file", F.concat(F.col("year").cast("string"), F.lit("-"), quarter, F.lit(".grib"))
+    )
+    numbered = op.number_messages(messages, ["valid_time", "o_orderkey"])
+    return op.replaced_files(op.file_facts(numbered))
+
+
+@register(f"{GL} select 'time' as mode, name, year, month, avg(grid_mean) as value, count(*) as n "
+          "from gl group by all")
+def decode_by_range(spark, sf_dir):
+    """Files in pieces of some kilobytes."""
+    files = src.scan_files(spark, views.write_message_files(spark, sf_dir), "*.txt")
+    decoded = src.decode_files(files, views.range_decoder(), by="range", range_bytes=50_000)
+    good, _ = src.split_decoded(src.describe(decoded), files, "range")
+    return op.assign_time(good).groupBy(F.lit("time").alias("mode"), "name", "year", "month").agg(
+        F.avg("grid_mean").alias("value"), F.count("grid_mean").alias("n")
     )
-    return rounded(outcome.series, "value").where(F.col("value").isNotNull())
+
+
+_SUPPLIERS = 400
+
+
+@register(f"""with c as (
+    select cast(year(l_shipdate) as int) as year, cast(month(l_shipdate) as int) as month,
+           'S' || (l_suppkey % {_SUPPLIERS}) as name, sum(l_quantity) as value
+    from lineitem group by all),
+s as (select * from (select distinct year, month from c), (select distinct name from c))
+select year, month, name, value from s left join c using (year, month, name)""")
+def scan_wide_csv(spark, sf_dir):
+    """Some hundred columns."""
+    cells = views.table(spark, sf_dir, "lineitem").groupBy(
+        F.year("l_shipdate").alias("year"),
+        F.month("l_shipdate").alias("month"),
+        F.concat(F.lit("S"), (F.col("l_suppkey") % _SUPPLIERS).cast("string")).alias("name"),
+    ).agg(F.sum("l_quantity").alias("value"))
+    cells = views.stored(cells)
+    names = [r["name"] for r in cells.select("name").distinct().orderBy("name").collect()]
+    folder = src.scratch_path(spark, "wide")
+    sinks.write_year_files(op.monthly_wide(cells, names), folder)
+    return src.scan_monthly_cells(spark, folder).drop("file")
+
+
+@register("""select cast(1900 + p_size as int) as year, 'not a number: ' || p_name as error from part
+union all select null, 'no year in its name' from part having count(*) > 0""")
+def bad_csv_report(spark, sf_dir):
+    """Names of parts where numbers should be, and a file without a year."""
+    folder = src.scratch_path(spark, "bad_csv")
+    parts = views.table(spark, sf_dir, "part")
+    line = F.concat(F.lit("Jan,"), "p_name")
+    text = F.concat(F.lit("Month,a\n"), F.array_join(F.collect_list(line), "\n"))
+    years = parts.groupBy((1900 + F.col("p_size")).cast("int").alias("year")).agg(text.alias("value"))
+    years.write.partitionBy("year").text(folder)
+    parts.limit(1).select(F.lit("Month,a").alias("value")).repartition(1).write.text(f"{folder}/other")
+    cells = src.monthly_cells(spark, folder, glob="*.txt")
+    return cells.where(F.col("error").isNotNull()).select("year", "error")
 
 
 @register(f"""with lines as (

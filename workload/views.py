@@ -133,6 +133,70 @@ def write_message_files(spark: SparkSession, sf_dir: str) -> str:
     return _write_lines(spark, messages)
 
 
+STRADDLING_SQL = f"""
+    select * replace (case when year >= 1998 then name || 'x' else name end as name)
+    from ({GRIDS_SQL})"""
+
+
+def write_straddling_files(spark: SparkSession, sf_dir: str) -> str:
+    """The same messages in files that are ranges of time: a year is in several files, a file may
+    hold the turn of a year, and later files have names that the first lacks."""
+    values = [F.expr(WHOLE_SQL[m]).cast("bigint").cast("string") for m in MEASURES]
+    late = F.when(F.year("l_shipdate") >= 1998, F.concat("l_returnflag", F.lit("x")))
+    description = _description(
+        F.col("l_orderkey").cast("string"), F.coalesce(late, F.col("l_returnflag"))
+    )
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_shipdate").alias("time"),
+        F.concat(description, F.lit("|"), F.concat_ws(",", *values)).alias("value"),
+    )
+    folder = scratch_path(spark, "straddling_files")
+    (
+        lines.repartitionByRange(20, "time", "value")
+        .sortWithinPartitions("time", "value")
+        .select("value")
+        .write.option("maxRecordsPerFile", FILE_ROWS)
+        .text(folder)
+    )
+    return folder
+
+
+def write_order_files(spark: SparkSession, sf_dir: str) -> str:
+    """One message per order, one file per year, in time order."""
+    messages = orders_as_messages(spark, sf_dir)
+    folder = scratch_path(spark, "order_files")
+    (
+        messages.repartition("year")
+        .sortWithinPartitions("year", "valid_time", "o_orderkey")
+        .select(
+            F.concat("description", F.lit("|"), F.col("grid_mean").cast("bigint").cast("string")).alias("value"),
+            "year",
+        )
+        .write.partitionBy("year")
+        .text(folder)
+    )
+    return folder
+
+
+def write_bad_files(spark: SparkSession, sf_dir: str) -> str:
+    """``kind=junk``: text that does not decode; ``kind=half``: messages, then such text;
+    ``kind=empty``: zero bytes; ``kind=good``: messages. One file each."""
+    folder = scratch_path(spark, "bad_files")
+    junk = table(spark, sf_dir, "part").select(F.col("p_name").alias("value"))
+    good = table(spark, sf_dir, "region").select(
+        F.concat(F.col("r_regionkey").cast("string"), F.lit(":a:from 200001010000|1")).alias("value")
+    )
+    half = good.withColumn("turn", F.lit(0)).unionAll(junk.limit(1).withColumn("turn", F.lit(1)))
+    for kind, lines in (
+        ("junk", junk.repartition(1)),
+        ("half", half.repartition(1).sortWithinPartitions("turn").select("value")),
+        ("empty", junk.where("false").repartition(1)),
+        ("good", good.repartition(1)),
+    ):
+        lines.write.text(f"{folder}/kind={kind}")
+    return folder
+
+
 def write_grid_files(spark: SparkSession, sf_dir: str, copies: int = 1) -> str:
     """One message per day, measure and block of line items, with a point per line item, packed
     as 32-bit whole numbers. Blocks bound the size of a grid. ``copies`` repeats each message,
@@ -166,20 +230,47 @@ def line_decoder():
     """A decoder of message files: (description, grid) per line."""
 
     def decode(content):
-        for line in content.decode("utf-8").splitlines():
+        for line in bytes(content).decode("utf-8").splitlines():
             description, numbers = line.split("|")
             yield description, [float(number) for number in numbers.split(",")]
 
     return decode
 
 
+def path_decoder():
+    """The same from a path."""
+
+    def decode(path):
+        with open(path, encoding="utf-8") as lines:
+            for line in lines:
+                description, numbers = line.split("|")
+                yield description, [float(number) for number in numbers.split(",")]
+
+    return decode
+
+
+def range_decoder():
+    """The same for the lines that begin in a range of bytes, with their offsets."""
+
+    def decode(path, start, end):
+        with open(path, "rb") as lines:
+            if start:
+                lines.seek(start - 1)
+                lines.readline()
+            while (offset := lines.tell()) < end and (line := lines.readline()):
+                description, numbers = line.decode("utf-8").split("|")
+                yield offset, description, [float(number) for number in numbers.split(",")]
+
+    return decode
+
+
 def packed_decoder():
     """A decoder of grid files."""
 
     def decode(content):
         import numpy as np
 
-        for line in content.decode("utf-8").splitlines():
+        for line in bytes(content).decode("utf-8").splitlines():
             description, grid = line.split("|")
             yield description, np.frombuffer(bytes.fromhex(grid), dtype=">u4")
 
