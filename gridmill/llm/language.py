@@ -114,7 +114,7 @@ class LanguageFilters(NamedTuple):
 
 
 def position(grams: np.ndarray, k: int) -> np.ndarray:
-    return _mixed(grams + np.uint64(k + 1) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(20)
+    return _mixed(grams + np.uint64((k + 1) * 0xD6E8FEB86659FD93 % (1 << 64))) >> np.uint64(20)
 
 
 def is_held_out(doc_id: Column) -> Column:
