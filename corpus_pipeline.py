@@ -11,7 +11,7 @@ from gridmill.llm.near_join import drop_near_duplicates
 from gridmill.llm.packing import pack_documents
 from gridmill.llm.queries import TOKENIZER
 from gridmill.llm.toxicity import drop_toxic
-from gridmill.sources.scratch import scratch_path
+from gridmill.sources.scratch import delete_folder, scratch_in, scratch_path
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +54,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over ``documents``, each written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages in turn over ``documents``, each written as Parquet and read again. What a stage
+    stores on its way, and its input, go once its result is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for number, (_, stage) in enumerate(STAGES):
-        done, path = stage(spark, docs, sf_dir), scratch_path(spark, f"stage{number}")
-        done.write.parquet(path)
+        path, own = scratch_path(spark, f"stage{number}"), scratch_path(spark, "scratch")
+        with scratch_in(own):
+            done = stage(spark, docs, sf_dir)
+            done.write.parquet(path)
         docs = spark.read.schema(done.schema).parquet(path)
+        for folder in (own, before):
+            if folder is not None:
+                delete_folder(spark, folder)
+        before = path
     return docs
