@@ -632,6 +632,26 @@ def full_job_long(spark, sf_dir):
     return rounded(outcome.series, "value").select("variable", "year", "stat", "value")
 
 
+@register(f"""{POSITIONS}, {STRIDES},
+g as (select e.file, e.year, e.month, grid_mean,
+             (row_number() over (partition by e.file, e.month order by msg_no) - 1) % stride as ix
+      from e join s on e.file = s.file),
+m as (select g.year, g.month, f.name, avg(g.grid_mean) as value
+      from g join f on f.file = g.file and f.first_use = g.ix group by 1, 2, 3),
+y as (select name, year, min(value) as min, max(value) as max, avg(value) as avg from m group by 1, 2),
+every as (select * from (select distinct f.name from f join s using (file) where f.first_use < s.stride),
+                        (select distinct year from om))
+select name as variable, year, stat,
+       round(case stat when 'min' then min when 'max' then max else avg end, 4) as value
+from every left join y using (name, year), (values ('min'), ('max'), ('avg')) as t(stat)""")
+def full_job_position(spark, sf_dir):
+    """By position, with discovered variables: one file per year of orders."""
+    source = views.write_order_files(spark, sf_dir)
+    target = src.scratch_path(spark, "results")
+    outcome = run(spark, source, target, views.line_decoder(), glob="*.txt", mode="position")
+    return rounded(outcome.series, "value")
+
+
 @register(" union all ".join(
     f"select '{files}' as files, * from ({_job_sql(views.STRADDLING_SQL)})"
     for files in ("folders", "year_files")
