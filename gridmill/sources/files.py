@@ -52,6 +52,21 @@ def _mean_of(values: Any) -> float | None:
     return float(total / present.size) if present.size else None
 
 
+def in_batches(rows: Iterable[tuple], size_of: Callable[[tuple], int], most: int) -> Iterator[list]:
+    """Lists of rows of at most ``most`` bytes; a row that is longer is a list by itself."""
+    held: list[tuple] = []
+    size = 0
+    for row in rows:
+        bytes_of_row = size_of(row)
+        if held and size + bytes_of_row > most:
+            yield held
+            held, size = [], 0
+        held.append(row)
+        size += bytes_of_row
+    if held:
+        yield held
+
+
 def _openable(uri: str) -> str:
     parts = urlsplit(uri)
     return unquote(parts.path) if parts.scheme == "file" else uri
@@ -144,9 +159,7 @@ def decode_files(
         columns = [pa.array(column, type=field.type) for column, field in zip(zip(*rows), layout)]
         return pa.RecordBatch.from_arrays(columns, schema=layout)
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        size = 0
+    def all_messages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for cells in zip(*batch.columns):
                 file = cells[0].as_py()
@@ -154,13 +167,13 @@ def decode_files(
                     arguments = [memoryview(cells[1].as_buffer())]
                 else:
                     arguments = [_openable(file), *(cell.as_py() for cell in cells[1:])]
-                for row in messages_of(file, arguments):
-                    rows.append(row)
-                    size += ROW_BYTES + (row[3].nbytes if keep_values and row[3] is not None else 0)
-                    if size >= batch_bytes:
-                        yield to_batch(rows)
-                        rows, size = [], 0
-        if rows:
+                yield from messages_of(file, arguments)
+
+    def size_of(row: tuple) -> int:
+        return ROW_BYTES + (row[3].nbytes if keep_values and row[3] is not None else 0)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in in_batches(all_messages(batches), size_of, batch_bytes):
             yield to_batch(rows)
 
     if by == "range":

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from gridmill import sources as src
 from gridmill.functions import grid_mean
 from gridmill.operators import number_messages
+from gridmill.session import session
 from gridmill.sources import scratch
+from gridmill.sources.files import in_batches
 from helpers import rows
 
 NAN = math.nan
@@ -156,6 +158,13 @@ def test_each_range_is_a_partition_of_its_own(spark, tmp_path):
     assert ranges.rdd.getNumPartitions() == len(sizes) == 500 + 124 and {r["count"] for r in sizes} == {1}
 
 
+def test_batches_keep_to_their_bytes():
+    sizes = [3, 4, 2, 9, 40, 1, 5, 5]
+    lists = list(in_batches([(n,) for n in sizes], lambda row: row[0], 10))
+    assert [n for rows in lists for (n,) in rows] == sizes
+    assert all(sum(n for (n,) in rows) <= 10 or len(rows) == 1 for rows in lists) and len(lists) == 5
+
+
 def test_path_mode_reads_no_content(spark, toy_files):
     decoded = src.decode_files(src.scan_files(spark, toy_files), path_decoder(), by="path")
     plan = decoded._jdf.queryExecution().executedPlan().toString()
@@ -318,6 +327,14 @@ def test_scratch_of_a_block(spark, tmp_path):
     assert not os.path.exists(tmp_path / "own")
 
 
+def test_session_leaves_what_is_set(spark):
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Vienna")
+    try:
+        assert session("other").conf.get("spark.sql.session.timeZone") == "Europe/Vienna"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_materialize_runs_once(spark):
     df = spark.range(100).withColumn("r", F.rand())
     stored = src.materialize(df)
