@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridmill import sinks
-from gridmill.functions.naming import STATS
 from gridmill.operators import messages as msg
 from gridmill.operators import monthly as mon
 from gridmill.operators import series as ser
@@ -169,7 +168,7 @@ def run(
     at: dt.datetime | None = None,
 ) -> Outcome:
     """Files under ``source`` to tables under ``target``: ``monthly``, ``summary``, ``series``,
-    ``bad_files``, and where they apply ``replaced_files``, ``left_out`` and ``values``.
+    ``series_span``, ``bad_files``, and where they apply ``replaced_files``, ``left_out`` and ``values``.
 
     ``variables``: the list of variables; by default those of all files (``columns="all"``), in
     the order of their first use, or only those of the first file (``"first_file"``), which lists
@@ -205,7 +204,7 @@ def run(
         bad.write.mode("overwrite").json(f"{target}/bad_files")
         if at is not None:
             at_hour = msg.value_at(messages, at.date(), at.hour)
-            at_hour.write.mode("overwrite").option("header", True).csv(f"{target}/values")
+            sinks.write_table(at_hour, f"{target}/values")
 
         facts = discovered = replaced = left_out = None
         if mode == "position" or same_year == "last":
@@ -308,10 +307,9 @@ def _summarize(
             yearly = spine.join(yearly, ["name", "year"], "left")
         yearly = materialize(yearly, "yearly")
         sinks.write_long(yearly, f"{target}/summary", "name")
-        series = yearly.withColumnRenamed("name", "variable").unpivot(
-            ["variable", "year"], list(STATS), "stat", "value"
-        )
+        series = ser.trend_series_long(yearly)
         sinks.write_long(series, f"{target}/series", "variable")
+        sinks.write_table(ser.series_span(series), f"{target}/series_span")
         return Outcome([], monthly, yearly, series, **more)
     yearly = yr.yearly_wide(yr.yearly_long(monthly, nan_policy), names, naming)
     if years is not None:
@@ -322,4 +320,5 @@ def _summarize(
     present, lacking = ser.select_summary(summary, picked, naming)
     series = ser.trend_series(present, [n for n in picked if n not in lacking], naming)
     sinks.write_series(series, f"{target}/series")
+    sinks.write_table(ser.series_span(series), f"{target}/series_span")
     return Outcome(names, monthly, summary, series, lacking=tuple(lacking), **more)

@@ -92,6 +92,11 @@ def write_summary(yearly: DataFrame, path: str) -> None:
     single.write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_table(table: DataFrame, path: str) -> None:
+    """Any table as CSV files."""
+    table.write.mode("overwrite").option("header", True).csv(path)
+
+
 def write_long(table: DataFrame, path: str, key: str) -> None:
     """A long table as CSV files, sorted by ``key`` and cut into ranges of it."""
     (

@@ -56,6 +56,8 @@ def test_run(spark, folder, mode, variables):
     source, target, data = folder
     outcome = run(spark, source, target, decoder(), variables=variables, mode=mode, same_year="last")
     assert outcome.variables == NAMES and outcome.lacking == ()
+    spans = spark.read.option("header", True).csv(f"{target}/series_span").collect()
+    assert {(r.variable, r.first_year, r.last_year) for r in spans} == {(n, "1999", "2000") for n in NAMES}
     assert [r.file.rsplit("/", 1)[-1] for r in outcome.bad_files.collect()] == ["bad.grib"]
 
     monthly = expected_monthly(data)
@@ -70,7 +72,7 @@ def test_run(spark, folder, mode, variables):
         assert series[name, 2000, "min"] == pytest.approx(min(months))
         assert series[name, 2000, "max"] == pytest.approx(max(months))
         assert series[name, 2000, "avg"] == pytest.approx(sum(months) / 12)
-    assert shown(target) == ["bad_files", "monthly", "replaced_files", "series", "summary"]
+    assert shown(target) == ["bad_files", "monthly", "replaced_files", "series", "series_span", "summary"]
     replaced = [(r.file.rsplit("/", 1)[-1], r.year, r.messages) for r in outcome.replaced.collect()]
     assert replaced == [("2000a.grib", 2000, 366 * 3)]
     outcome.release()
@@ -147,7 +149,7 @@ def test_explicit_choices_say_what_they_leave_out(spark, tmp_path):
     assert [r.name for r in outcome.left_out.collect()] == ["late"]
     # The file that begins on New Year's Eve counts as one of 1999.
     assert [r.file.rsplit("/", 1)[-1] for r in outcome.replaced.collect()] == ["1999.grib"]
-    assert shown(target) == ["bad_files", "left_out", "monthly", "replaced_files", "series", "summary"]
+    assert shown(target) == ["bad_files", "left_out", "monthly", "replaced_files", "series", "series_span", "summary"]
 
 
 def test_long_layout_with_many_variables(spark, tmp_path):
