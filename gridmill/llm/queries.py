@@ -1,4 +1,4 @@
-"""The registered queries of the operators, and the SQL of those that SQL can express."""
+"""The registered queries of the operators; ``ORACLES`` has the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -12,11 +12,14 @@ from gridmill.llm.disclosure import find_personal
 from gridmill.llm.language import identify_languages
 from gridmill.llm.mixing import mix_sources
 from gridmill.llm.near_join import near_duplicates
+from gridmill.llm.oracles import ORACLES
 from gridmill.llm.packing import pack_documents
 from gridmill.llm.secret_scan import scan_secrets
 from gridmill.llm.sharding import shard_documents
 from gridmill.llm.toxicity import score_toxicity
 
+__all__ = ["ORACLES", "QUERIES", "TOKENIZER"]
+
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -80,15 +83,3 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_secrets": op10_secrets,
 }
-
-ORACLES = {
-    "op4_exact_dedup": """
-        with texts as (select doc_id, coalesce(text, '') as text from documents)
-        select doc_id,
-               max(doc_id) over (partition by text) as keep_id,
-               count(*) over (partition by text) as group_size,
-               row_number() over (partition by text order by doc_id desc nulls last) = 1 as kept,
-               sha256(text) as text_sha256
-        from texts
-    """,
-}

@@ -13,9 +13,10 @@ from tokenizers import Tokenizer
 import __spark_entry__ as entry
 import corpus_pipeline
 from gridmill.llm import mixing, queries, toxicity
-from test_llm_dedup_near import near_by_hand
+from test_llm_dedup_near import corpus, near_by_hand
 from test_llm_mix_pack_shard import targets_by_hand
 from test_llm_models import toxic_corpus
+from test_llm_personal import HARD, random_texts, story
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 DATA = os.environ.get("GRIDMILL_TEST_DATA", "/root/testdata/sf0.01")
@@ -136,3 +137,23 @@ def test_query_against_sql(spark, name):
     want = sorted(map(repr, result.fetchall()))
     df = queries.QUERIES[name](spark, DATA).select(*columns)
     assert sorted(repr(tuple(r)) for r in df.collect()) == want and want
+
+
+@pytest.mark.parametrize("name", ["op5_personal_data", "op8_near_join"])
+def test_sql_agrees_on_hard_rows(spark, tmp_path, name):
+    """Terms that disclose, hard patterns, near copies: what the given tables hold little of."""
+    if name == "op5_personal_data":
+        rows = [(r["doc_id"], r["text"]) for r in story(spark).collect()]
+        rows += [(1000 + i, t) for i, t in enumerate([h for h in HARD if h is None or len(h) < 5000] + random_texts(300))]
+    else:
+        rows = corpus(8, groups=3, size=15)
+    docs = [(i, t, None, None, len(t or "")) for i, t in rows]
+    spark.createDataFrame(docs, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    engine = duckdb.connect()
+    engine.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    result = engine.execute(queries.ORACLES[name])
+    columns = [c[0] for c in result.description]
+    want = sorted(map(repr, result.fetchall()))
+    got = queries.QUERIES[name](spark, str(tmp_path)).select(*columns).collect()
+    assert sorted(repr(tuple(r)) for r in got) == want
+    assert any("term:" in w for w in want) or name != "op5_personal_data"
