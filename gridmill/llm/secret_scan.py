@@ -20,6 +20,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridmill.llm import bounded
 from gridmill.sources.scratch import materialize
 
 #: Words of the dictionary, at most: the most frequent of all documents.
@@ -196,10 +197,9 @@ def _log_odds(labelled: DataFrame, column: str, most: int) -> dict[str, float]:
         labelled.select(F.explode(column).alias("word"), "label")
         .groupBy("word")
         .agg(F.sum("label").alias("yes"), F.sum(1 - F.col("label")).alias("no"))
-        .orderBy(F.desc(F.col("yes") + F.col("no")), "word")
-        .limit(most)
-        .collect()
+        .withColumn("n", F.col("yes") + F.col("no"))
     )
+    counts = bounded.highest(materialize(counts, "neighbours"), "n", most).collect()
     yes = sum(r["yes"] for r in counts) + 1.0
     no = sum(r["no"] for r in counts) + 1.0
     share = yes / (yes + no)
@@ -234,10 +234,10 @@ def judge_findings(
     null without any label), as there is nothing to tell apart.
     """
     key = F.xxhash64("doc_id", "start", F.lit(seed))
+    further = F.xxhash64("start", "doc_id", F.lit(seed))
     halves = [
         materialize(
-            labelled.where(F.pmod(key, F.lit(2)) == half).orderBy(key, "doc_id", "start").limit(train_rows),
-            "labelled",
+            bounded.sample(labelled.where(F.pmod(key, F.lit(2)) == half), further, train_rows), "labelled"
         )
         for half in (0, 1)
     ]
@@ -277,10 +277,11 @@ def scan_secrets(
     document is from. Null and empty texts have no findings, rows that repeat have theirs each,
     texts are read whole, other columns are ignored and an empty table gives an empty result.
     """
-    words = (
-        word_frequencies(docs).orderBy(F.desc("documents"), "word").limit(DICTIONARY).collect()
+    words = materialize(word_frequencies(docs), "words")
+    dictionary = sorted(
+        (r["word"], r["documents"]) for r in bounded.highest(words, "documents", DICTIONARY).collect()
     )
-    findings = find_candidates(docs, [(r["word"], r["documents"]) for r in words], path)
+    findings = find_candidates(docs, dictionary, path)
     if labels is None:
         labelled = findings.where(~is_held_out(F.col("doc_id"))).withColumn(
             "label", F.col("evident").cast("int")

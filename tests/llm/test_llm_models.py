@@ -9,7 +9,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from gridmill.llm import compression, language, secret_scan, toxicity
+from gridmill.llm import bounded, compression, language, secret_scan, toxicity
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 WORDS = {
@@ -27,6 +27,27 @@ def fold(doc_id, n):
     return zlib.crc32(str(doc_id).encode()) % n
 
 
+# --- bounded selections --------------------------------------------------------------------
+
+
+def test_highest_is_bounded_and_takes_no_lower_row(spark):
+    draw = random.Random(1)
+    values = [draw.paretovariate(1.0) for _ in range(3000)]
+    table = spark.createDataFrame([(v,) for v in values], "n double")
+    got = sorted(r["n"] for r in bounded.highest(table, "n", 500).collect())
+    assert got == sorted(values)[-len(got) :] and 400 < len(got) <= 500
+    assert bounded.highest(table, "n", 5000).count() == 3000
+    ties = spark.createDataFrame([(1.0,)] * 10, "n double")
+    assert bounded.highest(ties, "n", 5).count() == 0 and bounded.highest(ties, "n", 10).count() == 10
+
+
+def test_sample_is_bounded_and_repeats(spark):
+    table = spark.range(20_000)
+    key = F.xxhash64("id")
+    a, b = (sorted(r["id"] for r in bounded.sample(t, key, 1000).collect()) for t in (table, table.repartition(7)))
+    assert a == b and 900 < len(a) <= 1000 and bounded.sample(table, key, 30_000).count() == 20_000
+
+
 # --- toxicity ------------------------------------------------------------------------------
 
 
