@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridmill.llm import bounded
 from gridmill.llm.names import free_name
 from gridmill.sources.scratch import materialize
 
@@ -132,15 +133,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """``text, toxic, fold`` of at most ``most`` labelled documents that are not held out, one
     for each text. The sample of labels is bounded, so it may be broadcast and the texts stay
     where they are read."""
-    sample = materialize(
+    known = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
         .where(~is_held_out(F.col("doc_id")))
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(most),
-        "labels",
     )
+    sample = materialize(bounded.sample(known, F.xxhash64("doc_id"), most), "labels")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     hashed = texts.join(F.broadcast(sample), "doc_id").select(
         "doc_id", "toxic", F.xxhash64("text").alias("hash")
@@ -234,13 +233,12 @@ def word_scores(counts: DataFrame, most: int) -> tuple[dict[str, float], float]:
         )
     score = F.log(F.col("rate") / (1 - F.col("rate"))) - origin
     before = F.log(F.col("prior") / (1 - F.col("prior"))) - origin
-    chosen = (
+    rated = materialize(
         known.select("key", score.alias("score"), F.abs(score - before).alias("news"))
-        .where("news > 0.25")
-        .orderBy(F.desc("news"), "key")
-        .limit(most)
-        .toArrow()
+        .where("news > 0.25"),
+        "rated",
     )
+    chosen = bounded.highest(rated, "news", most).toArrow()
     scores = chosen.column("score").to_pylist()
     return dict(zip(chosen.column("key").to_pylist(), scores, strict=True)), -DRIFT
 
