@@ -75,8 +75,8 @@ def _openable(uri: str) -> str:
 def file_names(files: DataFrame) -> DataFrame:
     """``file`` of all files of a scan, also those of zero bytes. The driver has the listing
     anyway, as it plans the scan from it."""
-    names = [(name,) for name in files.inputFiles()]
-    return files.sparkSession.createDataFrame(names, "file string")
+    names = pa.array(files.inputFiles(), pa.string())
+    return files.sparkSession.createDataFrame(pa.table({"file": names}))
 
 
 def _same_name(file: Column) -> Column:
@@ -202,25 +202,38 @@ def split_decoded(
     those without a message in any range, and those too long to be read as content.
     """
     decoded = materialize(decoded, "decoded")
-    bad = decoded.where(F.col("error").isNotNull()).groupBy("file").agg(F.min("error").alias("error"))
-    if files is not None:
-        seen = decoded.select(_same_name(F.col("file")).alias("_name")).distinct()
-        lengths = files.select(_same_name(F.col("path")).alias("_name"), "length")
+    # One row per file; each file is told apart by the name that scan and listing share.
+    found = decoded.groupBy("file").agg(F.min("error").alias("error")).select(
+        "file", "error", F.lit(True).alias("seen"), F.lit(None).cast("bigint").alias("length")
+    )
+    if files is None:
+        bad = found.where(F.col("error").isNotNull()).select("file", "error")
+    else:
+        none = F.lit(None).cast("string")
+        scanned = files.select(
+            none.alias("file"), none.alias("error"), F.lit(None).cast("boolean").alias("seen"),
+            "length", F.col("path").alias("_name"),
+        )
+        listed = file_names(files).select(
+            none.alias("file"), none.alias("error"), F.lit(None).cast("boolean").alias("seen"),
+            F.lit(None).cast("bigint").alias("length"), F.col("file").alias("_name"),
+        )
+        every = found.withColumn("_name", F.col("file")).unionByName(scanned).unionByName(listed)
         too_long = (F.lit(by) == "content") & (F.col("length") > _content_limit(files.sparkSession))
         silent = (
-            file_names(files)
-            .select(_same_name(F.col("file")).alias("_name"))
-            .join(seen, "_name", "left_anti")
-            .join(lengths, "_name", "left")
+            F.when(F.col("length").isNull(), "file of zero bytes")
+            .when(too_long, "too long to be read as content: use path or range")
+            .otherwise("no messages")
+        )
+        bad = (
+            every.groupBy(_same_name(F.col("_name")).alias("_name"))
+            .agg(*[F.max(c).alias(c) for c in ("file", "error", "seen", "length")])
+            .where(F.col("error").isNotNull() | F.col("seen").isNull())
             .select(
-                F.col("_name").alias("file"),
-                F.when(F.col("length").isNull(), "file of zero bytes")
-                .when(too_long, "too long to be read as content: use path or range")
-                .otherwise("no messages")
-                .alias("error"),
+                F.coalesce("file", "_name").alias("file"),
+                F.coalesce("error", silent).alias("error"),
             )
         )
-        bad = bad.unionByName(silent)
     bad = materialize(bad, "bad_files")
     good = decoded.where(F.col("error").isNull()).drop("error")
     return good.join(bad.select("file"), "file", "left_anti"), bad
