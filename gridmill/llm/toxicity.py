@@ -13,12 +13,15 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +31,6 @@ from gridmill.sources.scratch import materialize
 
 #: Labelled documents that the model is fitted on, at most: those with the smallest hashes.
 TRAIN_ROWS = 200_000
-#: Words and prefixes that the model has, at most: those that say most.
-MODEL_KEYS = 100_000
 #: Weight of the prior, in documents.
 PRIOR = 6.0
 #: Taken from each word's log-odds.
@@ -77,10 +78,35 @@ def maximal_segments(scores: np.ndarray) -> list[Segment]:
     return [Segment(s, e, after - before) for s, e, before, after in found]
 
 
+def _hash(key: str) -> int:
+    return xxhash.xxh3_64_intdigest(key)
+
+
+class Keys:
+    """Scores by the hash of their key, 16 bytes each, so a model may have millions."""
+
+    def __init__(self, hashes: np.ndarray, scores: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.scores = array("Q"), array("d")
+        self.hashes.frombytes(hashes[order].astype(np.uint64).tobytes())
+        self.scores.frombytes(scores[order].astype(np.float64).tobytes())
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def get(self, key: str) -> float | None:
+        code = _hash(key)
+        at = bisect_left(self.hashes, code)
+        return self.scores[at] if at < len(self.hashes) and self.hashes[at] == code else None
+
+
+_NO_KEYS = Keys(np.array([], np.uint64), np.array([]))
+
+
 class ToxicityModel(NamedTuple):
     """``keys``: score of words and, with a star, of prefixes. ``base``: of any other word."""
 
-    keys: dict[str, float]
+    keys: Keys
     base: float
     k: float
     rate: float
@@ -98,7 +124,7 @@ class ToxicityModel(NamedTuple):
 class _Scores(dict):
     """Word scores; a word that isn't known takes that of its longest known prefix."""
 
-    def __init__(self, keys: dict[str, float], base: float):
+    def __init__(self, keys: Keys, base: float):
         super().__init__()
         self.keys_, self.base = keys, base
 
@@ -177,11 +203,11 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def word_scores(counts: DataFrame, most: int) -> tuple[dict[str, float], float]:
+def word_scores(counts: DataFrame) -> tuple[Keys, float]:
     """Score of each key that differs from what its prefix says, and that of all other words."""
     toxic, clean = counts.agg(F.sum("toxic"), F.sum("clean")).first()
     if not toxic or not clean:
-        return {}, -DRIFT
+        return _NO_KEYS, -DRIFT
     base = toxic / (toxic + clean)
     origin = math.log(base / (1 - base)) + DRIFT
     # A word counts for itself and its prefixes.
@@ -233,26 +259,31 @@ def word_scores(counts: DataFrame, most: int) -> tuple[dict[str, float], float]:
         )
     score = F.log(F.col("rate") / (1 - F.col("rate"))) - origin
     before = F.log(F.col("prior") / (1 - F.col("prior"))) - origin
-    rated = materialize(
-        known.select("key", score.alias("score"), F.abs(score - before).alias("news"))
-        .where("news > 0.25"),
-        "rated",
+    rated = known.select("key", score.alias("score"), F.abs(score - before).alias("news")).where(
+        "news > 0.25"
     )
-    chosen = bounded.highest(rated, "news", most).toArrow()
-    scores = chosen.column("score").to_pylist()
-    return dict(zip(chosen.column("key").to_pylist(), scores, strict=True)), -DRIFT
+
+    def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = np.array([_hash(key) for key in batch.column("key").to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(codes.view(np.int64)), batch.column("score")], ["code", "score"]
+            )
+
+    # All keys that the bounded sample of labelled documents has.
+    found = rated.select("key", "score").mapInArrow(compact, "code bigint, score double").toArrow()
+    codes, scores = (found.column(name).to_numpy() for name in ("code", "score"))
+    return Keys(codes.view(np.uint64), scores), -DRIFT
 
 
-def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, keys: int = MODEL_KEYS
-) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> ToxicityModel:
     """Fit on labelled documents that are not held out: words on folds 2 to 4, the rest on 1.
 
     ``docs`` has ``doc_id, text``, ``labels`` has ``doc_id, toxic``. Without toxic or without
     clean documents the model finds nothing toxic.
     """
     rows = training_rows(docs, labels, train_rows)
-    scores, base = word_scores(materialize(word_counts(rows.where("fold > 1")), "words"), keys)
+    scores, base = word_scores(materialize(word_counts(rows.where("fold > 1")), "words"))
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast((scores, base))
 
@@ -286,8 +317,8 @@ def fit_toxicity(
 def _calibrate(scores, base, sample) -> ToxicityModel:
     clean = [(words, found) for toxic, words, found in sample if not toxic]
     tail = np.sort(np.concatenate([[0.0], *(found for _, found in clean)]))
-    if not scores or len(clean) == len(sample):
-        return ToxicityModel({}, base, 1.0, 1.0, (-5.0, 0.0))
+    if not len(scores) or len(clean) == len(sample):
+        return ToxicityModel(_NO_KEYS, base, 1.0, 1.0, (-5.0, 0.0))
     # Peaks over a threshold: the upper tenth falls off exponentially.
     edge = tail[int(0.9 * len(tail))]
     over = tail[tail > edge]

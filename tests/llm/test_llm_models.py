@@ -147,6 +147,17 @@ def test_toxicity_of_odd_rows(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} >= {9001, 9002}
 
 
+def test_model_keeps_every_key(spark):
+    """More than 100,000 words that are in toxic or in clean documents only; each has a score."""
+    words = [[f"{zlib.crc32(f'{c} {i}'.encode()):08x}x{c}" for i in range(10_000)] for c in range(12)]
+    rows = [(c * 10 + k, " ".join([*words[c], f"n{c}k{k}"]), "en", "s") for c in range(12) for k in range(10)]
+    labels = [(i, 1, i // 10 % 2) for i, _, _, _ in rows]
+    model = toxicity.fit_toxicity(documents(spark, rows), label_table(spark, labels))
+    assert len(model.keys) > 120_000
+    right = [(model.keys.get(w) > -toxicity.DRIFT) == c % 2 for c in range(12) for w in words[c]]
+    assert sum(right) > 0.95 * len(right) and model.keys.get("unknown") is None
+
+
 def test_toxicity_without_labels_or_documents(spark):
     rows, _, _ = toxic_corpus(30)
     none = label_table(spark, [])
