@@ -36,7 +36,7 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compression_rules(_table(spark, sf_dir, "documents"))
+    return compression_rules(_table(spark, sf_dir, "documents"), learn=True)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -291,6 +291,27 @@ def test_compression_by_hand(spark):
     assert compression.compression_rules(documents(spark, [])).collect() == []
 
 
+def test_learned_limits_reject_noise_and_repeats(spark):
+    """Noise in words of eight and varied repeats among prose of the same length; copies of one
+    text change nothing."""
+    draw = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    lexicon = ["".join(draw.choice(letters) for _ in range(draw.randint(2, 9))) for _ in range(3000)]
+    base64 = letters + letters.upper() + "0123456789+/"
+    prose = [" ".join(draw.choice(lexicon) for _ in range(draw.choice([80, 150, 300, 600]))) for _ in range(600)]
+
+    def junk(n):
+        return " ".join("".join(draw.choice(base64) for _ in range(8)) for _ in range(n))
+
+    noise = [junk(n) for n in (70, 130, 270, 500) for _ in range(5)]
+    texts = prose + [prose[0]] * 2000 + noise
+    docs = documents(spark, [(i, t, None, "s") for i, t in enumerate(texts)])
+    kept = {r["doc_id"]: r["kept"] for r in compression.compression_rules(docs, learn=True).collect()}
+    assert not any(kept[len(texts) - 20 + i] for i in range(20))
+    assert sum(kept[i] for i in range(600)) >= 0.97 * 600
+    assert compression.compression_rules(documents(spark, []), learn=True).collect() == []
+
+
 # --- secrets -------------------------------------------------------------------------------
 
 
