@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from gridmill.llm import bounded
 from gridmill.sources.scratch import materialize
 
-#: Words of the dictionary, at most: the most frequent of all documents.
-DICTIONARY = 50_000
+#: Share of the documents that have a word of the dictionary, at least. So it has at most the mean
+#: number of words of a document over this share, at every size.
+DICTIONARY_SHARE = 0.0005
 #: Labelled findings that neighbours' weights and the forest are each fitted on, at most.
 TRAIN_ROWS = 50_000
 #: Words with a weight, at most: the most frequent around labelled findings.
@@ -55,13 +56,19 @@ _FINDING = (
 
 
 def word_frequencies(docs: DataFrame) -> DataFrame:
-    """``word, documents`` for the words of 3 to 12 letters of all documents."""
+    """``word, documents`` for the words of 3 to 12 letters of all documents, outside of
+    candidates: a secret must not vouch for itself, however often it is copied."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: Counter[str] = Counter()
             for text in batch.column("text"):
-                found.update(set(_WORD.findall((text.as_py() or "").lower())))
+                text, rest, at = text.as_py() or "", [], 0
+                for start, end, _ in candidates(text):
+                    rest.append(text[at:start])
+                    at = end
+                rest.append(text[at:])
+                found.update(set(_WORD.findall(" ".join(rest).lower())))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())],
                 ["word", "documents"],
@@ -278,9 +285,8 @@ def scan_secrets(
     texts are read whole, other columns are ignored and an empty table gives an empty result.
     """
     words = materialize(word_frequencies(docs), "words")
-    dictionary = sorted(
-        (r["word"], r["documents"]) for r in bounded.highest(words, "documents", DICTIONARY).collect()
-    )
+    frequent = words.where(F.col("documents") >= DICTIONARY_SHARE * docs.count())
+    dictionary = sorted((r["word"], r["documents"]) for r in frequent.collect())
     findings = find_candidates(docs, dictionary, path)
     if labels is None:
         labelled = findings.where(~is_held_out(F.col("doc_id"))).withColumn(

@@ -355,6 +355,17 @@ def test_secrets_by_held_out_accuracy(spark):
     assert right >= 0.97 * len(later)
 
 
+def test_a_copied_secret_does_not_vouch_for_itself(spark):
+    """Its letters are words of no text, however many copies there are."""
+    rows = [(i, 'set password = "XkqPzmRtY7wQbnLs" for the other house', "en", "s") for i in range(2000)]
+    rows += [(5000 + i, "password = waterhouse1 under the house of water", "en", "s") for i in range(20)]
+    docs = documents(spark, rows)
+    words = {r["word"] for r in secret_scan.word_frequencies(docs).collect()}
+    assert "wqbnls" not in words and {"house", "other"} <= words
+    got = secret_scan.scan_secrets(docs).collect()
+    assert all(r["evident"] == r["is_secret"] == (r["doc_id"] < 5000) for r in got) and len(got) == 2020
+
+
 def test_secrets_of_odd_rows(spark):
     odd = [(None, "password=abc123def456", None, None), (1, None, None, None), (2, "", None, "s"),
            (3, "1234567890123456 " * 3000 + "password=zz99zz99zz", "en", "s"), (3, "password=zz99zz99zz", "en", "s")]
