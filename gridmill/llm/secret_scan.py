@@ -36,11 +36,25 @@ TREES = 40
 DEPTH = 8
 
 ASSIGNED = re.compile(
-    r"""(?i)(?:password|passwd|pwd|secret|token|api[_-]?key)["']?\s{0,3}[:=]\s{0,3}["']?([^\s"']{6,})"""
+    r"""(?i)(?:password|passwd|pwd|secret|token|(?:api|access|private|auth)[_-]?key)(?:[_-]?(?:access|key|token|value)){0,3}["']?\s{0,3}[:=]\s{0,3}["']?([^\s"']{6,})"""
 )
 RUN = re.compile(r"[A-Za-z0-9_+/\-]{12,}={0,2}")
 #: Formats that name their provider.
-PROVIDER = re.compile(r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}")
+PROVIDER = re.compile(
+    r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}"
+    r"|glpat-[A-Za-z0-9_-]{20}|[rs]k_live_[A-Za-z0-9]{16,}"
+)
+#: Rules of their own, after assigned values; the first group is the secret.
+RULES = {
+    "key": re.compile(r"(-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[^-]*-----END[A-Z ]{0,40}-----)?)"),
+    "url": re.compile(r"[A-Za-z][A-Za-z0-9+.-]{0,20}://[^\s:/@]{0,64}:([^\s/@]{1,128})@"),
+    "bearer": re.compile(r"(?i)\bbearer\s{1,3}([A-Za-z0-9._~+/-]{12,}=*)"),
+    "provider": re.compile(rf"(?<![A-Za-z0-9])({PROVIDER.pattern})(?![A-Za-z0-9])"),
+}
+#: A run that is words only, with signs between them.
+_PLAIN = re.compile(r"[+/_=-]*(?:(?:[A-Za-z][a-z]{0,23}|[A-Z]{1,23})(?:[+/_=-]+|$))+")
+#: Runs that are known to be something else: numbers, dates, UUIDs.
+_OTHER = re.compile(r"[0-9+/_=-]+|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _WORD = re.compile(r"[^\W\d_]{3,12}")
 _TOKEN = re.compile(r"\S+")
 
@@ -51,7 +65,7 @@ FEATURES = (
 _FINDING = (
     "doc_id bigint, start int, end int, rule string, length double, digits double,"
     " capitals double, signs double, transitions double, surprise double, entropy double,"
-    " coverage double, slashes double, near array<string>, path array<string>, evident boolean"
+    " coverage double, slashes double, near array<string>, path array<string>, evident boolean, known boolean"
 )
 
 
@@ -132,8 +146,17 @@ def value_features(value: str, lexicon: Lexicon) -> list[float]:
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
-    """Non-overlapping ``start, end, rule``; an assigned value goes before a run."""
+    """Non-overlapping ``start, end, rule``; an assigned value goes before the other rules, these
+    in their order, and all before a run."""
     found = [(*m.span(1), "assigned") for m in ASSIGNED.finditer(text)]
+    for rule, pattern in RULES.items():
+        taken, at = sorted(found), 0
+        for m in pattern.finditer(text):
+            start, end = m.span(1)
+            while at < len(taken) and taken[at][1] <= start:
+                at += 1
+            if at == len(taken) or taken[at][0] >= end:
+                found.append((start, end, rule))
     taken = sorted(found)
     at = 0
     for m in RUN.finditer(text):
@@ -142,11 +165,23 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
             at += 1
         if at < len(taken) and taken[at][0] < end:
             continue
-        if any(c.isdigit() for c in m.group()):
+        if not _PLAIN.fullmatch(m.group()):
             found.append((start, end, "run"))
     return sorted(found)
 
 
+def judge_pattern(value: str, rule: str, coverage: float) -> tuple[bool, bool]:
+    """Whether a finding is evident by its pattern, and whether the pattern says anything: a run
+    that is neither words nor a known other thing may be a secret or not."""
+    mixed = any(c.isdigit() for c in value) or (value != value.lower() and value != value.upper())
+    evident = (
+        rule in ("key", "provider")
+        or bool(PROVIDER.fullmatch(value))
+        or (rule != "run" and coverage < 0.5 and mixed)
+    )
+    return evident, evident or coverage >= 0.5 or bool(_OTHER.fullmatch(value))
+
+
 def _around(text: str, start: int, end: int) -> list[str]:
     """The words next to a finding, lower-case, with their side."""
     before = _TOKEN.findall(text[max(0, start - 80) : start])[-NEAR:]
@@ -164,7 +199,7 @@ def find_candidates(docs: DataFrame, words: Sequence[tuple[str, int]], path: str
         names = [field.split()[0] for field in _FINDING.split(", ")]
         types = [
             pa.int64(), pa.int32(), pa.int32(), pa.string(), *[pa.float64()] * 9,
-            pa.list_(pa.string()), pa.list_(pa.string()), pa.bool_(),
+            pa.list_(pa.string()), pa.list_(pa.string()), pa.bool_(), pa.bool_(),
         ]
         for batch in batches:
             rows = []
@@ -177,11 +212,9 @@ def find_candidates(docs: DataFrame, words: Sequence[tuple[str, int]], path: str
                 for start, end, rule in candidates(text):
                     value = text[start:end]
                     features = value_features(value, lexicon)
-                    evident = bool(PROVIDER.fullmatch(value)) or (
-                        rule == "assigned" and features[7] < 0.5 and features[1] > 0
-                    )
+                    evident, known = judge_pattern(value, rule, features[7])
                     rows.append((
-                        doc_id, start, end, rule, *features, _around(text, start, end), parts, evident,
+                        doc_id, start, end, rule, *features, _around(text, start, end), parts, evident, known,
                     ))
             columns = list(zip(*rows, strict=True)) or [()] * len(types)
             yield pa.RecordBatch.from_arrays(
@@ -279,8 +312,8 @@ def scan_secrets(
     probability, is_secret, held_out`` and the features.
 
     ``labels`` has ``doc_id, start, label`` for known findings. Without it the findings that are
-    evident by their pattern alone count as secrets and all others as false, in documents that
-    are not held out. Needs ``doc_id`` and ``text``; ``path`` may name a column that says where a
+    evident by their pattern alone count as secrets, words, numbers and the like as false, and
+    runs that may be either have no label, in documents that are not held out. Needs ``doc_id`` and ``text``; ``path`` may name a column that says where a
     document is from. Null and empty texts have no findings, rows that repeat have theirs each,
     texts are read whole, other columns are ignored and an empty table gives an empty result.
     """
@@ -289,7 +322,7 @@ def scan_secrets(
     dictionary = sorted((r["word"], r["documents"]) for r in frequent.collect())
     findings = find_candidates(docs, dictionary, path)
     if labels is None:
-        labelled = findings.where(~is_held_out(F.col("doc_id"))).withColumn(
+        labelled = findings.where(~is_held_out(F.col("doc_id")) & F.col("known")).withColumn(
             "label", F.col("evident").cast("int")
         )
     else:

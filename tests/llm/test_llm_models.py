@@ -324,6 +324,23 @@ def test_candidates_do_not_overlap():
     assert all(a[1] <= b[0] for a, b in zip(found, found[1:], strict=False))
 
 
+def test_candidates_of_every_rule():
+    key = "-----BEGIN RSA PRIVATE KEY-----\nMIIEabc\n-----END RSA PRIVATE KEY-----"
+    cases = [
+        ("SECRET_KEY=abcDEFghi", "abcDEFghi", "assigned"), ("aws_secret_access_key = qwErTy+uIo", "qwErTy+uIo", "assigned"),
+        ("access_key: abcdefGH", "abcdefGH", "assigned"), (f"x {key} y", key, "key"),
+        ("postgres://user:pa55word@host/db", "pa55word", "url"), ("Bearer abcdEFGH.ijklMNOP", "abcdEFGH.ijklMNOP", "bearer"),
+        ("see ghp_" + "aBcDeF" * 6, "ghp_" + "aBcDeF" * 6, "provider"), ("glpat-" + "abcdeFGHIJ" * 2, "glpat-" + "abcdeFGHIJ" * 2, "provider"),
+        ("sk_live_" + "abcDEFgh" * 3, "sk_live_" + "abcDEFgh" * 3, "provider"), ("run aBcDeFgHiJkLmN", "aBcDeFgHiJkLmN", "run"),
+    ]
+    for text, value, rule in cases:
+        assert [(text[s:e], r) for s, e, r in secret_scan.candidates(text)] == [(value, rule)], text
+    assert secret_scan.candidates("internationalization and/or water-under-the-house PLAIN_WORDS_HERE") == []
+    assert secret_scan.judge_pattern("aBcDeFgHiJkLmN", "run", 0.0) == (False, False)
+    assert secret_scan.judge_pattern(key, "key", 0.9) == (True, True)
+    assert secret_scan.judge_pattern("2024-01-02/1234", "run", 0.0) == (False, True)
+
+
 def leaks(count=500):
     """True secrets are random, behind 'key' words; false ones are words with numbers in paths."""
     draw = random.Random(8)
