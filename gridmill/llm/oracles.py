@@ -141,8 +141,62 @@ PERSONAL_DATA = rf"""
     from docs left join joined using (row)
 """
 
+FILTER_AUDIT = r"""
+    with docs as (
+        select row_number() over () as row, doc_id, coalesce(source, '') as part, coalesce(text, '') as text
+        from documents),
+    words as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words from docs),
+    marks as (
+        select doc_id, max(case when quality = 1 then 1 else 0 end) as good,
+               max(case when toxic = 1 then 1 else 0 end) as toxic
+        from labels where doc_id is not null group by 1),
+    judged as (
+        select row, part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+               {'A': len(words) < 50,
+                'B': 100 * len(list_distinct(words)) < 65 * len(words),
+                'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text),
+                'D': regexp_matches(text, '[#$%&*|]'),
+                'E': coalesce(doc_id > min(doc_id) over (partition by text), false)} as f
+        from words left join marks using (doc_id)),
+    failed as (
+        select row, part, good, toxic,
+               (case when f.A then 'A' else '' end) || (case when f.B then 'B' else '' end)
+               || (case when f.C then 'C' else '' end) || (case when f.D then 'D' else '' end)
+               || (case when f.E then 'E' else '' end) as fails
+        from judged),
+    sets as (
+        select part, fails, count(*) as n, sum(good) as good, sum(toxic) as toxic from failed group by 1, 2),
+    letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as l),
+    orders as (
+        select a.l || b.l || c.l || d.l || e.l as filter_order
+        from letters a, letters b, letters c, letters d, letters e
+        where len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+    steps as (
+        select filter_order, step, filter_order[step] as own, filter_order[1 : step - 1] as earlier
+        from orders, (select unnest(range(1, 6)) as step)),
+    placed as (
+        select part, filter_order, step, own, fails, n, good, toxic, contains(fails, own) as mine,
+               length(translate(fails, earlier, '')) < length(fails) as gone
+        from sets, steps),
+    each as (
+        select part, filter_order, cast(step as int) as step, own,
+               sum(case when not mine and not gone then n else 0 end) as kept,
+               sum(case when mine and not gone then n else 0 end) as removed,
+               sum(case when mine and gone then n else 0 end) as redundant,
+               sum(case when fails = own then n else 0 end) as unique_fails,
+               sum(case when mine and not gone then good else 0 end) as good_lost,
+               sum(case when mine and not gone then toxic else 0 end) as toxic_lost
+        from placed group by 1, 2, 3, 4)
+    select part, filter_order, step, cast(kept as bigint) as kept, cast(removed as bigint) as removed,
+           cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails,
+           cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost,
+           cast(sum(removed) over (partition by part, own) as bigint) as shapley
+    from each
+"""
+
 ORACLES = {
     "op4_exact_dedup": EXACT_DEDUP,
     "op5_personal_data": PERSONAL_DATA,
     "op8_near_join": NEAR_JOIN,
+    "op13_filter_audit": FILTER_AUDIT,
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gridmill.llm.compression import compression_rules
 from gridmill.llm.digest_index import exact_duplicates
 from gridmill.llm.disclosure import find_personal
+from gridmill.llm.filter_audit import audit_filters
 from gridmill.llm.language import identify_languages
 from gridmill.llm.mixing import mix_sources
 from gridmill.llm.near_join import near_duplicates
@@ -71,6 +72,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_language": op2_language,
@@ -82,4 +87,5 @@ QUERIES = {
     "op8_near_join": op8_near_join,
     "op9_sharding": op9_sharding,
     "op10_secrets": op10_secrets,
+    "op13_filter_audit": op13_filter_audit,
 }

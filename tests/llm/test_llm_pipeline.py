@@ -131,7 +131,8 @@ def test_registered():
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_against_sql(spark, name):
     engine = duckdb.connect()
-    engine.execute(f"create view documents as select * from '{DATA}/documents.parquet'")
+    for table in ("documents", "labels"):
+        engine.execute(f"create view {table} as select * from '{DATA}/{table}.parquet'")
     result = engine.execute(queries.ORACLES[name])
     columns = [c[0] for c in result.description]
     want = sorted(map(repr, result.fetchall()))
