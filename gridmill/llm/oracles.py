@@ -194,9 +194,73 @@ FILTER_AUDIT = r"""
     from each
 """
 
+_TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+DIVERGENCE = rf"""
+    with docs as (
+        select row_number() over () as row, coalesce(lang, '') as lang, coalesce(source, '') as source,
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text
+        from documents),
+    found as (select row, lang, source, unnest(regexp_extract_all(text, '{_TERM}')) as term from docs),
+    kept as (select lang, term, count(*) as n from found group by 1, 2 having count(distinct row) >= 3),
+    sizes as (select lang, count(*) as v, sum(n) as n from kept group by 1),
+    groups as (select distinct lang, source from docs),
+    counts as (select lang, source, term, count(*) as n from found group by 1, 2, 3),
+    grid as (
+        select g.lang, g.source, k.term, coalesce(c.n, 0) as n
+        from groups g join kept k using (lang)
+             left join counts c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+    totals as (select lang, source, sum(n) as total from grid group by 1, 2),
+    p as (
+        select lang, source, term, grid.n,
+               1 + (cast(1000000000 as hugeint) * (grid.n + 1)) // (cast(total as hugeint) + v) as p
+        from grid join totals using (lang, source) join sizes using (lang)),
+    q as (
+        select lang, term, 1 + (cast(1000000000 as hugeint) * (kept.n + 1)) // (cast(sizes.n as hugeint) + v) as q
+        from kept join sizes using (lang)),
+    sums as (
+        select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value
+        from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3),
+    pairs as (
+        select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value
+        from groups a join groups b on a.lang = b.lang and a.source <> b.source
+             left join sums on sums.lang = a.lang and sums.source = a.source and sums.item = b.source),
+    terms as (
+        select lang, source, 'term' as part, term as item, (p - q) * (p - q) // q as value
+        from p join q using (lang, term) where n > 0 and p > q),
+    ranked as (
+        select *, row_number() over (partition by lang, source, part order by value desc, item) as rank
+        from (select * from pairs union all select * from terms))
+    select lang, source, part, item, cast(value as bigint) as value, cast(rank as int) as rank
+    from ranked where part = 'pair' or rank <= 200
+"""
+
+SUBSTRING_DEDUP = r"""
+    with docs as (
+        select row_number() over () as row, doc_id,
+               regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+    places as (select row, unnest(words) as word, unnest(range(1, len(words) + 1)) as i from docs),
+    windows as (
+        select row, i, array_to_string(words[i : i + 34], ' ') as w
+        from (select row, words, unnest(range(1, len(words) - 33)) as i from docs)),
+    repeated as (select row, i from (select row, i, count(*) over (partition by w) as n from windows) where n > 1),
+    covered as (
+        select row, i, word,
+               coalesce(max(r.first) over (partition by row order by i) >= i - 34, false) as gone
+        from places left join (select row, i, i as first from repeated) r using (row, i)),
+    kept as (
+        select row, count(*) filter (where gone) as n_removed,
+               string_agg(word, ' ' order by i) filter (where not gone) as text
+        from covered group by 1)
+    select doc_id, cast(len(words) as bigint) as n_words, coalesce(n_removed, 0) as n_removed,
+           sha256(coalesce(text, '')) as kept_sha256
+    from docs left join kept using (row)
+"""
+
 ORACLES = {
     "op4_exact_dedup": EXACT_DEDUP,
     "op5_personal_data": PERSONAL_DATA,
     "op8_near_join": NEAR_JOIN,
+    "op11_substring_dedup": SUBSTRING_DEDUP,
+    "op12_divergence": DIVERGENCE,
     "op13_filter_audit": FILTER_AUDIT,
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gridmill.llm.compression import compression_rules
 from gridmill.llm.digest_index import exact_duplicates
 from gridmill.llm.disclosure import find_personal
+from gridmill.llm.divergence import audit_divergence
 from gridmill.llm.filter_audit import audit_filters
 from gridmill.llm.language import identify_languages
 from gridmill.llm.mixing import mix_sources
@@ -17,6 +18,7 @@ from gridmill.llm.oracles import ORACLES
 from gridmill.llm.packing import pack_documents
 from gridmill.llm.secret_scan import scan_secrets
 from gridmill.llm.sharding import shard_documents
+from gridmill.llm.substring_dedup import remove_repeats
 from gridmill.llm.toxicity import score_toxicity
 
 __all__ = ["ORACLES", "QUERIES", "TOKENIZER"]
@@ -72,6 +74,20 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(_table(spark, sf_dir, "documents"))
+    sizes = F.transform("removed", lambda s: s["stop"] - s["start"])
+    removed = F.aggregate(sizes, F.lit(0).cast("bigint"), lambda total, size: total + size)
+    return cut.select(
+        "doc_id", "n_words", F.coalesce(removed, F.lit(0)).alias("n_removed"),
+        F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_divergence(_table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -87,5 +103,7 @@ QUERIES = {
     "op8_near_join": op8_near_join,
     "op9_sharding": op9_sharding,
     "op10_secrets": op10_secrets,
+    "op11_substring_dedup": op11_substring_dedup,
+    "op12_divergence": op12_divergence,
     "op13_filter_audit": op13_filter_audit,
 }

@@ -1,0 +1,130 @@
+"""The divergence of sources against whole numbers of any length, and against its SQL."""
+
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+
+from gridmill.llm import divergence, queries
+from gridmill.llm.oracles import ORACLES
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def by_hand(docs):
+    holders, times, groups = defaultdict(Counter), defaultdict(Counter), defaultdict(set)
+    for _, text, lang, source, _ in docs:
+        lang, source = lang or "", source or ""
+        found = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", text or "")
+        terms = ["".join(c.lower() if "A" <= c <= "Z" else c for c in term) for term in found]
+        groups[lang].add(source)
+        holders[lang].update(set(terms))
+        times[lang, source].update(terms)
+    rows = []
+    for lang, sources in groups.items():
+        kept = [t for t, n in holders[lang].items() if n >= 3]
+
+        def p(count, total, kept=kept):
+            return 1 + 1_000_000_000 * (count + 1) // (total + len(kept))
+
+        whole = {t: sum(times[lang, s][t] for s in sources) for t in kept}
+        totals = {s: sum(times[lang, s][t] for t in kept) for s in sources}
+        for s in sources:
+            pairs = []
+            for other in sources - {s}:
+                value = 0
+                for t in kept:
+                    a, b = p(times[lang, s][t], totals[s]), p(times[lang, other][t], totals[other])
+                    value += (a - b) ** 2 // b
+                pairs.append((-value, other.encode()))
+            terms = []
+            for t in kept:
+                a, b = p(times[lang, s][t], totals[s]), p(whole[t], sum(whole.values()))
+                if times[lang, s][t] and a > b:
+                    terms.append((-((a - b) ** 2 // b), t.encode()))
+            for part, found in (("pair", sorted(pairs)), ("term", sorted(terms)[: divergence.TERM_RANKS])):
+                rows += [(lang, s, part, item.decode(), -v, rank) for rank, (v, item) in enumerate(found, 1)]
+    return sorted(rows)
+
+
+def corpus(seed, size=300):
+    draw = random.Random(seed)
+    words = [f"term{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)] + ["Äpfel", "ÄPFEL", "日本", "A", "a", "é́", "\x7fdel", "it's", "snake_case"]
+    docs = []
+    for i in range(size):
+        lang = draw.choice(["en", "en", "de", None, "xx"]) if i else "lonely"
+        source = draw.choice(["hot"] * 6 + ["a", "b", "c", None, "", "ü"])
+        bag = [w for w in words if zlib.crc32(f"{w} {source}".encode()) % 3] if draw.random() < 0.9 else words
+        text = " ".join(draw.choices(bag, weights=[1 / (k + 1) for k in range(len(bag))], k=draw.randrange(60)))
+        if lang == "xx":
+            text = f"only{i} 123 {'x' * i}"
+        docs.append((i, draw.choice([text] * 20 + [None, ""]), lang, source, 0))
+    docs += [(7, "the same row", "en", "a", 1)] * 4
+    docs.append((8, "long " * 90_000 + "and " * 90_000, "en", "long", 1))
+    return docs
+
+
+@pytest.fixture(params=[64, divergence.BLOCK_TERMS])
+def blocks(request, monkeypatch):
+    monkeypatch.setattr(divergence, "BLOCK_TERMS", request.param)
+    monkeypatch.setattr(divergence, "HELD_TERMS", 50)
+    monkeypatch.setattr(divergence, "TERM_RANKS", 40)
+
+
+def test_divergence(spark, blocks):
+    docs = corpus(3)
+    frame = spark.createDataFrame(
+        [(*d, "x", 1, 2, "p") for d in docs], SCHEMA + ", item string, n int, id int, part string"
+    ).repartition(6)
+    got = sorted(tuple(r) for r in divergence.audit_divergence(frame).collect())
+    want = by_hand(docs)
+    assert got == want
+    assert {r[2] for r in want} == {"pair", "term"} and max(r[5] for r in want) == 40
+
+
+def test_nothing(spark):
+    assert divergence.audit_divergence(spark.createDataFrame([], SCHEMA)).collect() == []
+    docs = [(1, None, None, None, 0), (2, "one two", None, "a", 0), (3, None, "en", "a", 0)]
+    got = divergence.audit_divergence(spark.createDataFrame(docs, SCHEMA)).collect()
+    assert sorted(map(tuple, got)) == [("", "", "pair", "a", 0, 1), ("", "a", "pair", "", 0, 1)] == by_hand(docs)
+
+
+def test_equal_subtrees_are_one_node_and_priced_once():
+    counts = np.zeros((50, 1024), np.int64)
+    counts[:, :4] = np.arange(4)
+    counts[7, 900] = 5
+    forest = divergence.grow(counts)
+    # Forty-nine equal trees, and one that differs along a single path.
+    assert forest.nodes < 45 and len(set(forest.roots.tolist())) == 2
+    pair, a, b, places = divergence.walk(forest, np.array([0, 0]), np.array([1, 7]))
+    assert [places[pair == k].sum() for k in (0, 1)] == [1024, 1024]
+    assert len(pair[pair == 0]) == 4 and len(pair[pair == 1]) == 5
+    assert sorted(zip(a[pair == 1].tolist(), b[pair == 1].tolist(), places[pair == 1].tolist())) == [
+        (0, 0, 1020), (0, 5, 1), (1, 1, 1), (2, 2, 1), (3, 3, 1)
+    ]
+
+
+def test_probability_is_exact():
+    draw = random.Random(2)
+    cases = [(draw.randrange(10**k), 10**k + draw.randrange(10**6)) for k in range(1, 14) for _ in range(200)]
+    for terms in (1, 977, 10**6):
+        counts, totals = (np.array(c, np.int64) for c in zip(*cases))
+        got = divergence.probability(counts, totals, terms).tolist()
+        assert got == [1 + 10**9 * (c + 1) // (n + terms) for c, n in cases]
+    with pytest.raises(OverflowError):
+        divergence.probability(np.array([1]), np.array([1 << 47]), 1)
+
+
+def test_sql_on_hard_rows(spark, tmp_path):
+    docs = corpus(5, 150)
+    spark.createDataFrame(docs, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    engine = duckdb.connect()
+    engine.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    result = engine.execute(ORACLES["op12_divergence"])
+    columns = [c[0] for c in result.description]
+    got = queries.QUERIES["op12_divergence"](spark, str(tmp_path)).select(*columns).collect()
+    assert sorted(map(tuple, got)) == sorted(result.fetchall()) == by_hand(docs)
