@@ -60,11 +60,12 @@ def copies_of_smaller_ids(docs: DataFrame, facts: DataFrame) -> DataFrame:
         .distinct(),
         "repeated_texts",
     )
-    # Digest and id together spread the copies of one text over the tasks.
+    # Digest and id together spread the copies of one text over the tasks. The merge join needs no
+    # table in memory at any size.
     text = F.coalesce(F.col("text"), F.lit(""))
     texts = materialize(
         docs.select("doc_id", text.alias("text"), _digest(text).alias("digest"))
-        .join(wanted, ["digest", "doc_id"])
+        .join(wanted.hint("merge"), ["digest", "doc_id"])
         .withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts"))),
         "texts_to_compare",
     )
