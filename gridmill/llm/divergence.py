@@ -170,56 +170,84 @@ def price_block(counts: np.ndarray, totals: np.ndarray, terms: int) -> Iterator[
 
 
 def best_terms(
-    counts: np.ndarray, total: int, whole: np.ndarray, whole_total: int, terms: int, names: list[str]
-) -> list[tuple[int, int]]:
-    """``(value, slot)`` of the first ``TERM_RANKS`` terms of a group, against the whole language."""
+    counts: np.ndarray, total: int, whole: np.ndarray, whole_total: int, terms: int, least: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """``slots, values`` of the terms of a group, against the whole language, that may be among the
+    first ``TERM_RANKS``: of value ``least`` or more, and all that tie with the last of them but for
+    those behind ``TERM_RANKS`` others of the same count in the language, which come first by term."""
     slots = np.flatnonzero(counts > 0)
     # Two leaves that stand opposite in several places are priced once.
     pairs, place = np.unique(np.stack([counts[slots], whole[slots]]), axis=1, return_inverse=True)
+    place = place.reshape(-1)
     p = probability(pairs[0], np.full(pairs.shape[1], total), terms)
     q = probability(pairs[1], np.full(pairs.shape[1], whole_total), terms)
-    value = np.where(p > q, (p - q) * (p - q) // q, -1)[place.reshape(-1)]
-    slots, value = slots[value >= 0], value[value >= 0]
+    priced = np.where(p > q, (p - q) * (p - q) // q, -1)
+    order = np.argsort(place, kind="stable")
+    firsts = np.cumsum(np.bincount(place, minlength=pairs.shape[1])) - np.bincount(place, minlength=pairs.shape[1])
+    turn = np.empty(len(place), np.int64)
+    turn[order] = np.arange(len(place)) - firsts[place[order]]
+    value = priced[place]
+    fits = (value >= max(least, 0)) & (turn < TERM_RANKS)
+    slots, value = slots[fits], value[fits]
     if len(value) > TERM_RANKS:
-        least = np.partition(value, len(value) - TERM_RANKS)[len(value) - TERM_RANKS]
-        slots, value = slots[value >= least], value[value >= least]
-    ranked = sorted(zip((-value).tolist(), (names[s].encode("utf-8") for s in slots), slots.tolist(), strict=True))
-    return [(-v, slot) for v, _, slot in ranked[:TERM_RANKS]]
-
-
-def _audit_block(table: pa.Table) -> pa.Table:
-    """One block of one language: a row for each count, and one with the list of the groups."""
-    rows = table.to_pydict()
-    header = next(i for i, groups in enumerate(rows["groups"]) if groups is not None)
-    groups, terms = rows["groups"][header], rows["terms"][header]
-    lang = rows["lang"][header]
-    place = {group["source"]: i for i, group in enumerate(groups)}
-    width = 1 << max(0, max(slot for slot in rows["slot"] if slot is not None)).bit_length()
-    counts = np.zeros((len(groups) + 1, width), np.int64)
-    names: list[str] = [""] * width
-    for source, slot, n, term in zip(rows["source"], rows["slot"], rows["n"], rows["term"], strict=True):
-        if slot is None:
-            continue
-        # The whole language comes without a source and has every term.
-        counts[len(groups) if source is None else place[source], slot] = n
-        if source is None:
-            names[slot] = term
-    used = counts[-1] > 0
-    totals = np.array([group["total"] for group in groups], np.int64)
-    whole_total = rows["whole"][header]
-    out = []
-    for i, group in enumerate(groups):
-        found = best_terms(counts[i], int(totals[i]), counts[-1], whole_total, terms, names)
-        out += [(lang, group["source"], "term", names[slot], value) for value, slot in found]
-    counts[:, ~used] = _OUTSIDE
-    for group, other, value in price_block(counts[:-1], totals, terms):
-        out.append((lang, groups[group]["source"], "pair", groups[other]["source"], value))
-    columns = list(zip(*out, strict=True)) or [()] * 5
-    types = [pa.string()] * 4 + [pa.int64()]
-    return pa.table(
-        [pa.array(c, t) for c, t in zip(columns, types, strict=True)],
-        names=["lang", "source", "part", "item", "value"],
-    )
+        last = np.partition(value, len(value) - TERM_RANKS)[len(value) - TERM_RANKS]
+        slots, value = slots[value >= last], value[value >= last]
+    return slots, value
+
+
+#: Rows of a block that are no counts: totals of the groups, and facts of the language.
+_TOTAL, _FACTS = -1, -2
+_CELLS = ["lid", "block", "gid", "slot", "n"]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """``language, block, [group, slot, n]`` of whole blocks. The input is sorted."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in _CELLS], axis=1)
+        cuts = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1
+        for part in np.split(rows, cuts):
+            if not len(part):
+                continue
+            if held and (held[-1][0, :2] != part[0, :2]).any():
+                whole = np.concatenate(held)
+                yield int(whole[0, 0]), int(whole[0, 1]), whole[:, 2:]
+                held = []
+            held.append(part)
+    if held:
+        whole = np.concatenate(held)
+        yield int(whole[0, 0]), int(whole[0, 1]), whole[:, 2:]
+
+
+def _audit(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """``lid, gid, pair, item, value``: sums for two groups, and best terms by their id."""
+    # The values of the best terms of each group so far; later blocks give better ones only.
+    best: dict[tuple[int, int], np.ndarray] = {}
+    for lang, block, rows in _blocks(batches):
+        heads = rows[rows[:, 0] == _TOTAL]
+        totals = np.zeros(len(heads), np.int64)
+        totals[heads[:, 1]] = heads[:, 2]
+        facts = rows[rows[:, 0] == _FACTS]
+        whole_total, terms = (int(facts[facts[:, 1] == k, 2][0]) for k in (0, 1))
+        cells = rows[rows[:, 0] >= 0]
+        size = 1 << int(cells[:, 1].max()).bit_length()
+        # The whole language is the group behind the others and has every term.
+        counts = np.zeros((len(totals) + 1, size), np.int64)
+        counts[cells[:, 0], cells[:, 1]] = cells[:, 2]
+        out = []
+        for group in range(len(totals)):
+            held = best.get((lang, group), np.zeros(0, np.int64))
+            least = int(held.min()) if len(held) == TERM_RANKS else 0
+            slots, values = best_terms(counts[group], int(totals[group]), counts[-1], whole_total, terms, least)
+            best[lang, group] = np.sort(np.concatenate([held, values]))[-TERM_RANKS:]
+            out += [(lang, group, False, block * width + slot, value) for slot, value in zip(slots.tolist(), values.tolist())]
+        counts[:, counts[-1] == 0] = _OUTSIDE
+        out += [(lang, group, True, other, value) for group, other, value in price_block(counts[:-1], totals, terms)]
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        types = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["lid", "gid", "pair", "item", "value"]
+        )
 
 
 def kept_terms(counts: DataFrame) -> DataFrame:
@@ -249,52 +277,77 @@ def audit_divergence(docs: DataFrame) -> DataFrame:
     docs = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     counts = term_counts(docs)
     kept = kept_terms(counts)
-    occurrences = counts.join(kept.select("lang", "term", "id"), ["lang", "term"])
-    occurrences = materialize(occurrences.select("lang", "source", "term", "id", "n"), "occurrences")
-    groups = materialize(
-        docs.select("lang", "source")
-        .distinct()
-        .join(occurrences.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left")
-        .fillna(0, ["total"]),
-        "groups",
+    occurrences = materialize(
+        counts.join(kept.select("lang", "term", "id"), ["lang", "term"]).select("lang", "source", "id", "n"),
+        "occurrences",
     )
-    # One row for a language: its groups, number of terms and occurrences.
+    totals = occurrences.groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    groups = docs.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").fillna(0, ["total"])
+    # One row for a language: its groups in order, their occurrences, and its number of terms.
     langs = materialize(
         groups.groupBy("lang")
-        .agg(
-            F.sort_array(F.collect_list(F.struct("source", "total"))).alias("groups"),
-            F.sum("total").alias("whole"),
-        )
-        .join(kept.groupBy("lang").agg(F.count("*").alias("terms")), "lang"),
+        .agg(F.sort_array(F.collect_list(F.struct("source", "total"))).alias("groups"))
+        .join(kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("n").alias("whole")), "lang", "left")
+        .withColumn("lid", F.monotonically_increasing_id()),
         "languages",
     )
+    members = materialize(
+        langs.select("lang", "lid", F.posexplode("groups").alias("gid", "group")).select(
+            "lang", "lid", "gid", "group.source", "group.total"
+        ),
+        "members",
+    )
     most = langs.agg(F.max(F.size("groups"))).first()[0] or 0
     width = BLOCK_TERMS
     while width > 64 and width * (most + 1) > BLOCK_CELLS:
         width //= 2
-    block, slot = F.floor(F.col("id") / width), (F.col("id") % width).cast("int")
-    cells = occurrences.unionByName(kept.withColumn("source", F.lit(None).cast("string"))).select(
-        "lang", block.alias("block"), "source", slot.alias("slot"), "n",
-        F.when(F.col("source").isNull(), F.col("term")).alias("term"),
+    block, slot = F.floor(F.col("id") / width).alias("block"), (F.col("id") % width).cast("int").alias("slot")
+    ends = langs.select("lang", "lid", F.size("groups").alias("gid"), "terms", "whole")
+    blocks = (
+        langs.where(F.col("terms") > 0)
+        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("terms") - 1) / width))))
     )
-    headers = kept.select("lang", block.alias("block")).distinct().join(langs, "lang")
+    parts = [
+        occurrences.join(members.drop("total"), ["lang", "source"]).select("lid", block, "gid", slot, "n"),
+        kept.join(ends, "lang").select("lid", block, "gid", slot, "n"),
+        blocks.select("lid", "block", F.posexplode("groups").alias("slot", "group")).select(
+            "lid", "block", F.lit(_TOTAL).alias("gid"), "slot", F.col("group.total").alias("n")
+        ),
+        blocks.select("lid", "block", F.posexplode(F.array("whole", "terms")).alias("slot", "n")).select(
+            "lid", "block", F.lit(_FACTS).alias("gid"), "slot", "n"
+        ),
+    ]
+    cells = parts[0]
+    for part in parts[1:]:
+        cells = cells.unionByName(part)
     found = materialize(
-        cells.unionByName(headers, allowMissingColumns=True)
-        .groupBy("lang", "block")
-        .applyInArrow(_audit_block, "lang string, source string, part string, item string, value bigint"),
+        cells.repartition("lid", "block")
+        .sortWithinPartitions("lid", "block")
+        .mapInArrow(lambda batches: _audit(batches, width), "lid bigint, gid int, pair boolean, item bigint, value bigint"),
         "divergence",
     )
-    others = groups.select("lang", "source").join(
-        groups.select("lang", F.col("source").alias("item")), "lang"
-    ).where("source <> item")
-    sums = found.where("part = 'pair'").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
-    pairs = others.join(sums, ["lang", "source", "item"], "left").fillna(0, ["value"])
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    pairs = pairs.withColumn("rank", F.row_number().over(order))
+    other = members.select("lid", F.col("gid").cast("bigint").alias("item"), F.col("source").alias("other"))
+    sums = found.where("pair").groupBy("lid", "gid", "item").agg(F.sum("value").alias("value"))
+    pairs = (
+        members.select("lang", "lid", "gid", "source")
+        .join(other, "lid")
+        .where(F.col("gid") != F.col("item"))
+        .join(sums, ["lid", "gid", "item"], "left")
+        .select("lang", "source", F.lit("pair").alias("part"), F.col("other").alias("item"),
+                F.coalesce("value", F.lit(0)).alias("value"))
+        .withColumn("rank", F.row_number().over(order))
+    )
+    # Ids of a group are distinct, so ranks by value alone leave out what can't be among the first.
+    by_value = Window.partitionBy("lid", "gid").orderBy(F.desc("value"))
     terms = (
-        found.where("part = 'term'")
+        found.where("not pair")
+        .withColumn("rank", F.rank().over(by_value))
+        .where(F.col("rank") <= TERM_RANKS)
+        .join(members.select("lang", "lid", "gid", "source"), ["lid", "gid"])
+        .join(kept.select("lang", F.col("id").alias("item"), "term"), ["lang", "item"])
+        .select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value")
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= TERM_RANKS)
     )
-    columns = ["lang", "source", "part", "item", "value", "rank"]
-    return pairs.withColumn("part", F.lit("pair")).select(columns).unionByName(terms.select(columns))
+    return pairs.unionByName(terms)
