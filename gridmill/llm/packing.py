@@ -8,13 +8,15 @@ round has fewer tasks and takes those bins as its items, and so on up to one tas
 from __future__ import annotations
 
 import os
+import sys
+import types
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,14 +27,19 @@ from gridmill.sources.scratch import materialize
 TASK_ITEMS = 20_000
 #: A bin is emitted when at most this share of it is empty.
 NEARLY_FULL = 0.005
-#: Words, and stems of words, whose ids a worker keeps at hand. It only saves time.
-CACHED_WORDS = 300_000
-CACHED_STEMS = 500_000
-#: Bytes of text whose new words are encoded together.
-ENCODED_AT_ONCE = 4_000_000
-#: Words of more bytes are not kept.
+#: Words that are taken whole, and stems of words, whose ids a worker keeps at hand, twice over. It
+#: only saves time.
+CACHED_WORDS = 100_000
+CACHED_STEMS = 400_000
+#: Bytes of text whose words are encoded together.
+ENCODED_AT_ONCE = 8_000_000
+#: Words of more characters are not kept.
 LONG_WORD = 64
 
+# Words of small Latin letters, and the points and commas at the end of a word.
+_LATIN = "^[a-zß-öø-ÿ]+$"
+_TAIL = "(?P<tail>[.,]*)$"
+
 # Pieces of text keep their ids as little-endian numbers of 32 bits.
 _UINT32 = next(code for code in "IL" if array(code).itemsize == 4)
 
@@ -40,82 +47,113 @@ _PIECE = "struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bi
 _BINS = f"sequence_id bigint, used bigint, closed boolean, members array<{_PIECE}>"
 
 
-def _parts(word: str) -> tuple[str, ...]:
-    """A word as pieces that the tokenizer takes apart anyway, so that more words share them:
-    letters, here only Latin ones, whose lower case is plain, and points or commas after them."""
-    stem = word.rstrip(".,")
-    if stem.isalpha() and (stem.isascii() or max(stem) <= "ÿ"):
-        tail = word[len(stem) :]
-        return (stem.lower(), tail) if tail else (stem.lower(),)
-    return (word,)
+def _kept_in_worker(name: str, make):
+    """What a worker process makes once and keeps for its later tasks. Functions of this package
+    come to a worker anew with each task, and so would variables of a module."""
+    kept = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker"))
+    if not hasattr(kept, name):
+        setattr(kept, name, make())
+    return getattr(kept, name)
 
 
-def word_ids(tokenizer_path: str):
-    """A function from a list of texts to their ids, as bytes (little-endian, 32 bits each).
+class WordIds:
+    """The ids of texts, as bytes (little-endian, 32 bits each).
 
     For tokenizers that lower the case, drop white space and never join what white space
-    separates: the ids of a text are those of its words one after the other. Words return often;
-    their ids are kept.
+    separates: the ids of a text are those of its words one after the other. Arrow lowers A to Z,
+    splits some megabytes of texts, finds their distinct words and takes points and commas off the
+    ends of those that else have Latin letters only, as the tokenizer does. Only stems that are not
+    at hand are encoded, and the ids of all words are put in place at once.
     """
-    # Spark runs a worker on each core; threads of the tokenizer would only fight for them.
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer, pre_tokenizers
-
-    tokenizer = Tokenizer.from_file(tokenizer_path)
-    model = tokenizer.model
-    to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-    known: dict[bytes, bytes] = {}
-    stems: dict[str, bytes] = {}
-    older: dict[str, bytes] = {}
-
-    def learn(words: list[list[bytes]]) -> list[bytes]:
-        new = set().union(*words).difference(known)
-        if len(known) + len(new) > CACHED_WORDS:
-            known.clear()
-            new = set().union(*words)
-        parts = [_parts(word.decode("utf-8")) for word in new]
-        wanted = set(chain.from_iterable(parts)).difference(stems)
-        if len(stems) + len(wanted) > CACHED_STEMS:
+
+    def __init__(self, tokenizer_path: str):
+        # Spark runs a worker on each core; threads of the tokenizer would only fight for them.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.model = self.tokenizer.model
+        self.to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.stems: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+
+    def _learn(self, words: list[str], plain: list[bool]) -> list[bytes]:
+        """The ids of distinct stems. Plain ones need no normalizer and no pattern: the model
+        takes them as they are."""
+        if len(self.stems) > CACHED_WORDS + CACHED_STEMS:
             # Those in use come back from the older half.
-            older.clear()
-            older.update(stems)
-            stems.clear()
-            wanted = set(chain.from_iterable(parts))
-        if older:
-            back = wanted.intersection(older)
-            stems.update(zip(back, map(older.__getitem__, back), strict=True))
-            wanted -= back
-        # Plain stems need no normalizer and no pattern: the model takes them as they are.
-        plain = [stem for stem in wanted if stem.isalpha() and stem == stem.lower() and max(stem) <= "ÿ"]
-        for stem in plain:
-            symbols = stem if stem.isascii() else to_bytes.pre_tokenize_str(stem)[0][0]
-            stems[stem] = array(_UINT32, [token.id for token in model.tokenize(symbols)]).tobytes()
-        rest = list(wanted.difference(plain))
-        found = tokenizer.encode_batch_fast(rest, add_special_tokens=False)
-        for stem, encoding in zip(rest, found, strict=True):
-            stems[stem] = array(_UINT32, encoding.ids).tobytes()
-        for word, pair in zip(new, parts, strict=True):
-            known[word] = stems[pair[0]] if len(pair) == 1 else stems[pair[0]] + stems[pair[1]]
-        for stem in wanted:
-            if len(stem) > LONG_WORD:
-                del stems[stem]
-        return [word for word in new if len(word) > LONG_WORD]
-
-    def encode(texts: list[str | None]) -> Iterator[bytes]:
+            self.older, self.stems = self.stems, {"": b""}
+        stems, older = self.stems, self.older
+        rest = []
+        for word, letters in zip(words, plain, strict=True):
+            if word in stems:
+                continue
+            if word in older:
+                stems[word] = older[word]
+            elif letters:
+                symbols = word if word.isascii() else self.to_bytes.pre_tokenize_str(word)[0][0]
+                stems[word] = array(_UINT32, [token.id for token in self.model.tokenize(symbols)]).tobytes()
+            else:
+                rest.append(word)
+        found = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+        for word, encoding in zip(rest, found, strict=True):
+            stems[word] = array(_UINT32, encoding.ids).tobytes()
+        ids = list(map(stems.__getitem__, words))
+        for word in [word for word in words if len(word) > LONG_WORD]:
+            del stems[word]
+        return ids
+
+    def _word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words one after the other, and how many each has."""
+        bare = pc.ascii_rtrim(words, ".,")
+        plain = pc.match_substring_regex(bare, _LATIN)
+        stems = pc.if_else(plain, bare, words).dictionary_encode()
+        tails = pc.if_else(plain, pc.struct_field(pc.extract_regex(words, _TAIL), "tail"), "").dictionary_encode()
+        held, sizes = [], []
+        for part in (stems, tails):
+            letters = pc.match_substring_regex(part.dictionary, _LATIN)
+            # By way of numpy, as Arrow makes a list of its strings one by one.
+            distinct, letters = (c.to_numpy(zero_copy_only=False).tolist() for c in (part.dictionary, letters))
+            ids = self._learn(distinct, letters)
+            held.append(np.frombuffer(b"".join(ids), "<u4"))
+            sizes.append(np.array([len(i) // 4 for i in ids], np.int64))
+        pieces = np.stack([stems.indices.to_numpy(), tails.indices.to_numpy() + len(sizes[0])], axis=1)
+        return _placed(np.concatenate(held), np.concatenate(sizes), pieces.reshape(-1), 2)
+
+    def _encode(self, texts: pa.Array) -> Iterator[bytes]:
+        # A copy, as not all of these functions mind where a slice begins.
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pa.concat_arrays([texts])))
+        words = split.flatten().dictionary_encode()
+        held, sizes = self._word_ids(words.dictionary)
+        out, counts = _placed(held, sizes, words.indices.to_numpy(), 1)
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        lists = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])
+        data, bounds = out.tobytes(), (4 * ends[lists]).tolist()
+        for begin, end in zip(bounds, bounds[1:]):
+            yield data[begin:end]
+
+    def __call__(self, texts: pa.Array | list) -> Iterator[bytes]:
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy())
         at = 0
         while at < len(texts):
-            words, size = [], 0
-            while at < len(texts) and size < ENCODED_AT_ONCE:
-                data = (texts[at] or "").encode("utf-8")
-                words.append(data.split())
-                at, size = at + 1, size + len(data)
-            long = learn(words)
-            for of_text in words:
-                yield b"".join(map(known.__getitem__, of_text))
-            for word in long:
-                del known[word]
+            to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + ENCODED_AT_ONCE)))
+            yield from self._encode(texts[at:to])
+            at = to
+
+
+def _placed(held: np.ndarray, sizes: np.ndarray, order: np.ndarray, together: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of ``held``, of ``sizes`` each, in a given order; and the sizes of each ``together``."""
+    starts, counts = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    places = np.repeat(starts - (np.cumsum(counts) - counts), counts)
+    places += np.arange(len(places))
+    return held[places], counts.reshape(-1, together).sum(axis=1)
+
 
-    return encode
+def word_ids(tokenizer_path: str) -> WordIds:
+    """The encoder of a worker process, with the words that it has met."""
+    name = "word_ids_" + tokenizer_path
+    return _kept_in_worker(name, lambda: WordIds(tokenizer_path))
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, limit: int) -> DataFrame:
@@ -128,7 +166,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, limit: int)
         encode = word_ids(tokenizer_path)
         for batch in batches:
             rows = []
-            ids = encode(batch.column("text").to_pylist())
+            ids = encode(batch.column("text"))
             for doc_id, body in zip(batch.column("doc_id").to_pylist(), ids, strict=True):
                 body += end
                 for piece, at in enumerate(range(0, len(body), 4 * limit)):
