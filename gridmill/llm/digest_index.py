@@ -41,7 +41,7 @@ class DigestIndex:
         had it."""
         return self.spark.table(self.name)
 
-    def add(self, rows: DataFrame) -> DataFrame:
+    def add(self, rows: DataFrame, batch: str | None = None) -> DataFrame:
         """Deduplicate a batch ``row_id, doc_id, digest`` and append its new texts.
 
         Returns each row with ``keep_id, group_size, kept``. Of equal texts in the batch the row
@@ -49,8 +49,12 @@ class DigestIndex:
         id the one with the larger ``row_id``). A text that an earlier batch brought is dropped,
         its ``keep_id`` is the row of that batch. ``group_size`` counts the rows of this batch
         and of the batch that brought the text.
+
+        ``batch`` names the batch. A job that died may have appended its texts, so add the same
+        rows by the same name again: what that name has brought counts as new, and is not appended
+        twice. Without a name each call is a batch of its own.
         """
-        batch = uuid.uuid4().hex
+        batch = batch or uuid.uuid4().hex
         groups = materialize(
             rows.groupBy("digest").agg(
                 F.max(F.struct("doc_id", "row_id")).alias("best"), F.count("*").alias("copies")
@@ -74,16 +78,17 @@ class DigestIndex:
             .sortBy("digest")
             .saveAsTable(self.name)
         )
+        # Row numbers are those of this call, also where an earlier try has brought the text.
         mine = F.col("batch") == batch
         # Written once more, so that the join below shuffles both sides and adaptive execution
         # may split the rows of one text.
         verdicts = materialize(
-            groups.select("digest", F.col("copies").alias("here"))
+            groups.select("digest", "best", F.col("copies").alias("here"))
             .join(self.table().hint("merge"), "digest")
             .select(
                 "digest",
-                "keep_id",
-                F.when(mine, F.col("keep_row")).alias("keep_row"),
+                F.when(mine, F.col("best.doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+                F.when(mine, F.col("best.row_id")).alias("keep_row"),
                 (F.col("here") + F.when(mine, 0).otherwise(F.col("copies"))).alias("group_size"),
             ),
             "digest_verdicts",
@@ -97,6 +102,11 @@ class DigestIndex:
             F.col("row_id").eqNullSafe(F.col("keep_row")).alias("kept"),
         )
 
+    def forget(self) -> None:
+        """Take the index out of the session's catalog; its files stay, and it can be opened again
+        by its path. What ``add`` has returned does not read it any more."""
+        self.spark.sql(f"drop table if exists {self.name}")
+
 
 def digest_rows(docs: DataFrame) -> DataFrame:
     """``row_id, doc_id, digest`` (SHA-256 of the UTF-8 text; null counts as empty), stored once,
@@ -118,15 +128,27 @@ def fresh_index(spark: SparkSession) -> DigestIndex:
     return DigestIndex(spark, scratch_path(spark, "digest_index"), buckets)
 
 
-def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+def _judged(rows: DataFrame, index: DigestIndex | None, batch: str | None) -> DataFrame:
+    if index is not None:
+        return index.add(rows, batch)
+    index = fresh_index(rows.sparkSession)
+    try:
+        return index.add(rows)
+    finally:
+        index.forget()
+
+
+def exact_duplicates(
+    docs: DataFrame, index: DigestIndex | None = None, batch: str | None = None
+) -> DataFrame:
     """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     ``docs`` has ``doc_id`` and ``text``; other columns are ignored. Null texts are empty texts,
-    and empty texts are equal. Of rows that repeat both id and text exactly one is kept. An empty
-    table gives an empty result. Without ``index`` the batch is judged by itself.
+    and empty texts are equal; very long texts count whole. Of rows that repeat both id and text
+    exactly one is kept. An empty table gives an empty result. Without ``index`` the batch is judged
+    by itself; ``batch`` names it in the index, see ``DigestIndex.add``.
     """
-    index = index or fresh_index(docs.sparkSession)
-    return index.add(digest_rows(docs)).select(
+    return _judged(digest_rows(docs), index, batch).select(
         "doc_id",
         "keep_id",
         "group_size",
@@ -135,14 +157,15 @@ def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None) -> DataF
     )
 
 
-def drop_exact_duplicates(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+def drop_exact_duplicates(
+    docs: DataFrame, index: DigestIndex | None = None, batch: str | None = None
+) -> DataFrame:
     """The rows of ``docs`` that ``exact_duplicates`` keeps, with all their columns.
 
     The documents are stored once with a row number, which the verdicts refer to: equal rows
     have nothing else to tell them apart.
     """
     columns = docs.columns
-    index = index or fresh_index(docs.sparkSession)
     row = free_name(columns, "_row")
     stored = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -151,5 +174,5 @@ def drop_exact_duplicates(docs: DataFrame, index: DigestIndex | None = None) ->
         "doc_id",
         F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"),
     )
-    kept = index.add(materialize(rows, "digests")).where("kept").select(F.col("row_id").alias(row))
+    kept = _judged(materialize(rows, "digests"), index, batch).where("kept").select(F.col("row_id").alias(row))
     return stored.join(kept, row, "left_semi").select(*columns)

@@ -56,6 +56,43 @@ def test_exact_empty(spark):
     assert exact.drop_exact_duplicates(documents(spark, [])).collect() == []
 
 
+def test_the_same_batch_again(spark):
+    """A job that appended and died, then runs once more with other row numbers."""
+    index = exact.DigestIndex(spark, scratch_path(spark, "index"), 4)
+    first = [(i, f"text {i % 7}") for i in range(30)]
+    exact.exact_duplicates(documents(spark, first), index, "one").collect()
+    again = exact.exact_duplicates(documents(spark, first[::-1]).repartition(5), index, "one")
+    kept = sorted(r["doc_id"] for r in again.collect() if r["kept"])
+    assert kept == list(range(23, 30)) and index.table().count() == 7
+    assert {r["group_size"] for r in again.collect()} == {4, 5}
+    other = exact.exact_duplicates(documents(spark, first + [(99, "new")]), index, "two").collect()
+    assert [r["doc_id"] for r in other if r["kept"]] == [99]
+    # A try that had appended only a part of its texts.
+    exact.exact_duplicates(documents(spark, [(200, "half a"), (201, "text 1")]), index, "three").collect()
+    whole = exact.exact_duplicates(documents(spark, [(200, "half a"), (201, "text 1"), (202, "half b")]), index, "three")
+    assert sorted(r["doc_id"] for r in whole.collect() if r["kept"]) == [200, 202]
+    assert index.table().count() == 10
+
+
+def test_two_batches_give_the_table(spark):
+    """Higher ids first: the later batch is dropped where the earlier has its text."""
+    rows = [(i, f"t{(i * i) % 23}") for i in range(120)]
+    index = exact.DigestIndex(spark, scratch_path(spark, "index"), 3)
+    kept = []
+    for part in (rows[60:], rows[:60]):
+        kept += [r["doc_id"] for r in exact.exact_duplicates(documents(spark, part), index).collect() if r["kept"]]
+    assert sorted(kept) == sorted(max(ids) for ids in by_hand(rows).values())
+
+
+def test_no_table_is_left_in_the_catalog(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    result = exact.exact_duplicates(documents(spark, [(1, "a"), (2, "a")]))
+    dropped = exact.drop_exact_duplicates(documents(spark, [(1, "a"), (2, "a")]))
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert [r["doc_id"] for r in result.collect() if r["kept"]] == [2]
+    assert [r["doc_id"] for r in dropped.collect()] == [2]
+
+
 def test_index_persists_over_batches(spark):
     path = scratch_path(spark, "index")
     first = exact.DigestIndex(spark, path, 4)
