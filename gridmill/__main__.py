@@ -8,6 +8,7 @@ from importlib import import_module
 
 from gridmill.plans.climate import (
     COLUMNS,
+    DISCOVERY,
     LAYOUTS,
     MODES,
     MONTHLY_FILES,
@@ -16,6 +17,7 @@ from gridmill.plans.climate import (
 )
 from gridmill.session import session
 from gridmill.sources.files import DECODE_BY, RANGE_BYTES
+from gridmill.sources.isolation import Limits
 
 
 def _years(text: str) -> range:
@@ -45,6 +47,14 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("--at", type=dt.datetime.fromisoformat, help="day and hour of a table of values")
     parser.add_argument("--range-bytes", type=int, default=RANGE_BYTES)
     parser.add_argument("--exclude-prefix", default="summary_data", help="CSV files to leave out")
+    parser.add_argument("--key", action="append", dest="keys", type=int, default=[],
+                        help="repeatable; field of the description behind the name, from 1")
+    parser.add_argument("--discovery", choices=DISCOVERY, default="first_repeat")
+    parser.add_argument("--check-steps", action="store_true", help="list the time steps that files lack")
+    parser.add_argument("--publish", action="store_true", help="results in a folder of the run, whole or not there")
+    parser.add_argument("--message-seconds", type=float, default=600.0, help="time for one message, 0: any")
+    parser.add_argument("--file-seconds", type=float, default=0.0, help="time for one file, 0: any")
+    parser.add_argument("--in-worker", action="store_true", help="no process of its own for the decoder")
     options = parser.parse_args(arguments)
     shared = dict(
         chosen=options.chosen,
@@ -78,6 +88,12 @@ def main(arguments: list[str] | None = None) -> None:
             monthly_files=options.monthly_files,
             at=options.at,
             range_bytes=options.range_bytes,
+            keys=options.keys,
+            discovery=options.discovery,
+            check_steps=options.check_steps,
+            publish=options.publish,
+            limits=None if options.in_worker
+            else Limits(options.message_seconds or None, options.file_seconds or None),
             **shared,
         )
     for variable in outcome.lacking:

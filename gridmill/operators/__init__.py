@@ -1,3 +1,4 @@
+from gridmill.operators.completeness import dropped_by_position, missing_steps, time_steps
 from gridmill.operators.messages import (
     assign_position,
     assign_time,
@@ -8,6 +9,7 @@ from gridmill.operators.messages import (
     label_by_position,
     legacy_first_step,
     messages_per_day,
+    number_by_range,
     number_messages,
     strides,
     value_at,
@@ -24,6 +26,7 @@ from gridmill.operators.monthly import (
     monthly_table,
     monthly_wide,
 )
+from gridmill.operators.periods import discover_periods, find_periods, with_keys
 from gridmill.operators.series import (
     missing_variables,
     select_summary,
@@ -46,6 +49,13 @@ from gridmill.operators.yearly import (
 )
 
 __all__ = [
+    "discover_periods",
+    "dropped_by_position",
+    "missing_steps",
+    "number_by_range",
+    "find_periods",
+    "time_steps",
+    "with_keys",
     "assign_position",
     "assign_time",
     "dense_months",

@@ -11,11 +11,12 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmill.functions.calendar import days_before_month_of_day, days_per_year, month_of_day
 from gridmill.operators.numbering import number_rows
+from gridmill.sources.scratch import materialize
 
 
 def number_messages(messages: DataFrame, order_by: Sequence[str]) -> DataFrame:
@@ -26,6 +27,33 @@ def number_messages(messages: DataFrame, order_by: Sequence[str]) -> DataFrame:
     return number_rows(messages, "file", order_by, "msg_no")
 
 
+#: Ranges up to which their counts go along with each task.
+SMALL_RANGES = 500_000
+
+
+def number_by_range(messages: DataFrame) -> DataFrame:
+    """``msg_no`` as the 0-based number in the file, ``offset`` for the place, of messages that were
+    decoded by range.
+
+    The decoder has numbered the messages of each range, so the counts of the ranges before give
+    the rest: a small table with one row for each range. Messages are neither sorted nor moved.
+    Pass them materialized: the counts must be those of the same rows.
+    """
+    counts = messages.groupBy("file", "range_start").agg(F.count("*").alias("rows"))
+    earlier = Window.partitionBy("file").orderBy("range_start").rowsBetween(Window.unboundedPreceding, -1)
+    before = materialize(
+        counts.select("file", "range_start", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("_before")),
+        "range_counts",
+    )
+    small = before.count() <= SMALL_RANGES
+    return (
+        messages.withColumnRenamed("msg_no", "offset")
+        .join(F.broadcast(before) if small else before, ["file", "range_start"])
+        .withColumn("msg_no", F.col("_before") + F.col("range_no"))
+        .drop("range_start", "range_no", "_before")
+    )
+
+
 def file_counts(messages: DataFrame) -> DataFrame:
     return messages.groupBy("file").agg(F.count("*").alias("num"))
 

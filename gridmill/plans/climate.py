@@ -12,18 +12,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridmill import sinks
+from gridmill.operators import completeness as full
 from gridmill.operators import messages as msg
 from gridmill.operators import monthly as mon
+from gridmill.operators import periods as per
 from gridmill.operators import series as ser
 from gridmill.operators import yearly as yr
 from gridmill.sources import files as src
+from gridmill.sources import published as pub
 from gridmill.sources import tables as tab
+from gridmill.sources.isolation import Limits
 from gridmill.sources.scratch import delete_folder, materialize, scratch_in
 
 MODES = ("time", "position")
 LAYOUTS = ("wide", "long")
 COLUMNS = ("all", "first_file")
 MONTHLY_FILES = ("folders", "year_files")
+DISCOVERY = ("first_repeat", "period")
 
 
 @dataclass(frozen=True)
@@ -33,7 +38,8 @@ class Outcome:
     names is ever made. ``yearly`` and ``series`` are None if no variable was chosen.
 
     ``bad_files``: files, cells or names that were not used, with the reason. ``replaced``: files
-    that gave way to the last of their year. ``left_out``: names that the first file lacks. The
+    that gave way to the last of their year. ``left_out``: names that the first file lacks.
+    ``incomplete``: see ``gridmill.operators.completeness``. ``folder``: where the results lie. The
     tables read scratch under the target; ``release`` deletes it after their last use.
     """
 
@@ -45,6 +51,8 @@ class Outcome:
     lacking: tuple[str, ...] = ()
     replaced: DataFrame | None = None
     left_out: DataFrame | None = None
+    incomplete: DataFrame | None = None
+    folder: str | None = None
     scratch: str | None = None
 
     def release(self) -> None:
@@ -166,9 +174,15 @@ def run(
     layout: str = "wide",
     monthly_files: str = "folders",
     at: dt.datetime | None = None,
+    keys: Sequence[int] = (),
+    discovery: str = "first_repeat",
+    check_steps: bool = False,
+    publish: bool = False,
+    limits: Limits | None = Limits(),  # noqa: B008 - never changed
 ) -> Outcome:
     """Files under ``source`` to tables under ``target``: ``monthly``, ``summary``, ``series``,
-    ``series_span``, ``bad_files``, and where they apply ``replaced_files``, ``left_out`` and ``values``.
+    ``series_span``, ``bad_files``, and where they apply ``replaced_files``, ``left_out``,
+    ``incomplete_files`` and ``values``.
 
     ``variables``: the list of variables; by default those of all files (``columns="all"``), in
     the order of their first use, or only those of the first file (``"first_file"``), which lists
@@ -180,39 +194,67 @@ def run(
     ``layout="long"`` writes ``name, value`` rows instead of a column per variable, for any number
     of variables. ``monthly_files="year_files"`` writes plain ``YYYY.csv`` files, which
     ``summarize_folder`` reads as it reads the folders. ``at``: also write the values at this day
-    and hour (time mode). ``decode_by`` and ``range_bytes``: see ``decode_files``; the other settings:
-    see ``monthly_from_messages`` and ``yearly_stats``.
+    and hour (time mode). ``decode_by``, ``range_bytes`` and ``limits``: see ``decode_files``; by
+    default each decoder runs in a process of its own and may take ten minutes for a message
+    (``limits=None``: in the worker). The other settings: see ``monthly_from_messages`` and
+    ``yearly_stats``.
+
+    ``keys``: fields of the description (from 1) that tell variables of one name apart, such as the
+    level; their values stand behind the name. ``discovery="period"`` finds the variables of
+    position mode from the period of a file's names, also where a name returns within a time step.
+    ``incomplete_files`` lists what position mode drops; with ``check_steps`` also the time steps
+    that files lack. ``publish=True`` writes into a folder of this run and makes it the one that
+    holds when all is written (see ``gridmill.sources.published``): a job that dies leaves the
+    former results whole, and the years of former runs are not part of these.
     """
-    for value, allowed in ((layout, LAYOUTS), (columns, COLUMNS), (monthly_files, MONTHLY_FILES)):
+    choices = (
+        (layout, LAYOUTS), (columns, COLUMNS), (monthly_files, MONTHLY_FILES), (discovery, DISCOVERY),
+    )
+    for value, allowed in choices:
         if value not in allowed:
             raise ValueError(f"{value!r} is none of {allowed}")
     if layout == "long" and (monthly_files == "year_files" or columns == "first_file"):
         raise ValueError("a long table has no columns to choose and no plain year files")
     scratch = f"{target.rstrip('/')}/_scratch-{uuid.uuid4().hex}"
+    base, run_name = target, None
+    if publish:
+        run_name, target = pub.new_run(base)
     with scratch_in(scratch):
         files = src.scan_files(spark, source, glob)
-        decoded = src.decode_files(files, decoder, decode_by, range_bytes=range_bytes)
+        decoded = src.decode_files(files, decoder, decode_by, range_bytes=range_bytes, limits=limits)
         # The descriptions are taken apart in the decoding stage, and only their fields are kept.
-        described = src.describe(decoded).drop("description")
+        described = src.describe(decoded)
+        if keys:
+            described = per.with_keys(described, keys)
+        described = described.drop("description")
         if mode == "time":
             described = src.flag_unreadable(described, ["name", "valid_time"])
         else:
             described = src.flag_unreadable(described, ["year"], first_message_only=True)
         messages, bad = src.split_decoded(described, files, decode_by)
         if decode_by == "range" and mode == "position":
-            messages = msg.number_messages(messages.withColumnRenamed("msg_no", "offset"), ["offset"])
+            messages = msg.number_by_range(messages)
         bad.write.mode("overwrite").json(f"{target}/bad_files")
         if at is not None:
             at_hour = msg.value_at(messages, at.date(), at.hour)
             sinks.write_table(at_hour, f"{target}/values")
 
-        facts = discovered = replaced = left_out = None
+        facts = discovered = replaced = left_out = incomplete = None
         if mode == "position" or same_year == "last":
             facts = materialize(msg.file_facts(messages), "facts")
             replaced = materialize(mon.replaced_files(facts), "replaced")
             replaced.write.mode("overwrite").json(f"{target}/replaced_files")
+        if mode == "position":
+            incomplete = full.dropped_by_position(facts)
+        if check_steps:
+            missing = full.missing_steps(messages)
+            incomplete = missing if incomplete is None else incomplete.unionByName(missing)
+        if incomplete is not None:
+            incomplete = materialize(incomplete, "incomplete")
+            incomplete.write.mode("overwrite").json(f"{target}/incomplete_files")
         if mode == "position" and variables is None:
-            discovered = materialize(msg.discover_variables(messages), "variables")
+            find = msg.discover_variables if discovery == "first_repeat" else per.discover_periods
+            discovered = materialize(find(messages), "variables")
         names = list(variables or ())
         if variables is None and layout == "wide":
             uses = first_uses(messages) if discovered is None else first_positions(discovered)
@@ -239,10 +281,13 @@ def run(
             dense = mon.dense_months(monthly, names, empty, shown)
             write = sinks.write_monthly if monthly_files == "folders" else sinks.write_year_files
             write(mon.monthly_wide(dense, names), f"{target}/monthly")
-        return _summarize(
+        outcome = _summarize(
             dense, names, target, chosen, nan_policy, naming, years, layout, bad_files=bad,
-            replaced=replaced, left_out=left_out, scratch=scratch,
+            replaced=replaced, left_out=left_out, incomplete=incomplete, folder=target, scratch=scratch,
         )
+    if run_name is not None:
+        pub.publish(spark, base, run_name)
+    return outcome
 
 
 def summarize_folder(
@@ -258,13 +303,16 @@ def summarize_folder(
     layout: str = "wide",
 ) -> Outcome:
     """The second half only: a folder of monthly tables to summary and series. The tables are
-    ``YYYY.csv`` files or those of ``year=YYYY`` folders, as ``run`` writes them (wide).
+    ``YYYY.csv`` files or those of ``year=YYYY`` folders, as ``run`` writes them (wide), published
+    ones too. A folder that holds both forms is refused: their years would mix.
 
     ``variables``: by default those of all headers. Files without a year and cells that
     are no numbers are left out and listed in ``bad_files``. No file with a
     year is an error.
     """
     scratch = f"{target.rstrip('/')}/_scratch-{uuid.uuid4().hex}"
+    source = pub.followed(spark, source)
+    sinks.refuse_mixed(spark, source)
     with scratch_in(scratch):
         cells = materialize(tab.monthly_cells(spark, source, exclude_prefix=exclude_prefix), "cells")
         bad = cells.where(F.col("error").isNotNull()).select("file", "error").distinct()

@@ -16,9 +16,24 @@ def _by_year(wide: DataFrame) -> DataFrame:
     return table.repartition("year").sortWithinPartitions("year", month_number(F.col("Month")))
 
 
+_FORMS = {"folders": "year=*", "year files": "[0-9+-]*.csv"}
+
+
+def refuse_mixed(spark: SparkSession, path: str, but: str | None = None) -> None:
+    """Raise if ``path`` holds monthly tables as folders and as plain files, or in another form than
+    ``but``: a year could be there in both, of different runs."""
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = jvm_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [form for form, pattern in _FORMS.items() if files.globStatus(jvm_path(path, pattern))]
+    if len(found) > 1 or (but is not None and found and found != [but]):
+        raise ValueError(f"{path} holds monthly tables as {' and as '.join(found)}; use a folder for each form")
+
+
 def write_monthly(wide: DataFrame, path: str) -> None:
     """``path/year=YYYY/*.csv`` with header ``Month,<variables>``. Years that are written again
-    replace their folder; other years stay, as earlier runs left them."""
+    replace their folder; other years stay, as earlier runs left them. A folder with tables in
+    the other form is refused."""
+    refuse_mixed(wide.sparkSession, path, "folders")
     (
         _by_year(wide)
         .write.mode("overwrite")
@@ -52,6 +67,7 @@ def write_year_files(wide: DataFrame, path: str) -> None:
     Nothing in the target changes before all parts are known to be one per year.
     """
     spark = wide.sparkSession
+    refuse_mixed(spark, path, "year files")
     if wide.where(F.col("year").isNull()).head(1):
         raise ValueError("a table without a year has no file name")
     staging = f"{path.rstrip('/')}/_staging_{scratch_path(spark).rsplit('-', 1)[-1]}"
@@ -70,18 +86,30 @@ def write_year_files(wide: DataFrame, path: str) -> None:
 
 
 def _move_years(spark: SparkSession, staging: str, path: str) -> None:
-
+    """Put the staged years into place. A year's former file is set aside, and goes with the staging
+    folder when all are moved; if a step fails, it comes back."""
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     files = jvm_path(staging).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     parts = [p.getPath() for p in files.globStatus(jvm_path(staging, "year=*/part-*"))]
     years = [p.getParent().getName().removeprefix("year=") for p in parts]
     if len(set(years)) < len(years):
         raise OSError(f"a year has more than one part in {staging}")
-    for year, part in zip(years, parts):
-        target = jvm_path(path, f"{year}.csv")
-        files.delete(target, True)
-        if not files.rename(part, target):
-            raise OSError(f"could not move {part} to {target}")
+    moved = []
+    try:
+        for year, part in zip(years, parts):
+            target, aside = jvm_path(path, f"{year}.csv"), jvm_path(staging, f"former-{year}")
+            former = files.exists(target)
+            if former and not files.rename(target, aside):
+                raise OSError(f"could not set {target} aside")
+            moved.append((target, aside if former else None))
+            if not files.rename(part, target):
+                raise OSError(f"could not move {part} to {target}")
+    except BaseException:
+        for target, aside in reversed(moved):
+            files.delete(target, False)
+            if aside is not None:
+                files.rename(aside, target)
+        raise
 
 
 def write_summary(yearly: DataFrame, path: str) -> None:

@@ -1,12 +1,18 @@
+from gridmill.sources.datasource import message_source, register_source
 from gridmill.sources.files import (
     decode_files,
     describe,
+    empty_files,
     file_names,
     flag_unreadable,
     scan_files,
     split_decoded,
     split_files,
 )
+from gridmill.sources.index import MessageIndex, index_files, read_messages, stale_files
+from gridmill.sources.isolation import Limits
+from gridmill.sources.ledger import Change, FileLedger, load_files
+from gridmill.sources.published import current_run, followed, new_run, publish
 from gridmill.sources.scratch import (
     delete_folder,
     materialize,
@@ -25,6 +31,21 @@ from gridmill.sources.tables import (
 )
 
 __all__ = [
+    "Change",
+    "FileLedger",
+    "Limits",
+    "MessageIndex",
+    "current_run",
+    "empty_files",
+    "followed",
+    "index_files",
+    "load_files",
+    "message_source",
+    "register_source",
+    "new_run",
+    "publish",
+    "read_messages",
+    "stale_files",
     "decode_files",
     "delete_folder",
     "describe",

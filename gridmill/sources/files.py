@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridmill.functions.descriptions import stamp_year, valid_time, variable_name
+from gridmill.sources.isolation import Failure, Limits, isolated
 from gridmill.sources.scratch import materialize
 
 # A decoder turns one file into its messages, in file order: (description, grid values).
@@ -24,9 +25,8 @@ RANGE_BYTES = 256 * 1024 * 1024
 # A row without its grid, about.
 ROW_BYTES = 256
 BATCH_BYTES = 64 * 1024 * 1024
-
-_MEANS = "file string, msg_no bigint, description string, grid_mean double, error string"
-_GRIDS = "file string, msg_no bigint, description string, values array<double>, error string"
+# Rows that a decoder's own process sends at a time.
+PIPE_BYTES = 1024 * 1024
 
 
 def scan_files(spark: SparkSession, path: str, glob: str = "*.grib") -> DataFrame:
@@ -52,6 +52,11 @@ def _mean_of(values: Any) -> float | None:
     return float(total / present.size) if present.size else None
 
 
+def reduce_grid(keep_values: bool) -> Callable[[Any], Any]:
+    """What becomes of a grid next to its decoder."""
+    return _plain_grid if keep_values else _mean_of
+
+
 def in_batches(rows: Iterable[tuple], size_of: Callable[[tuple], int], most: int) -> Iterator[list]:
     """Lists of rows of at most ``most`` bytes; a row that is longer is a list by itself."""
     held: list[tuple] = []
@@ -67,7 +72,7 @@ def in_batches(rows: Iterable[tuple], size_of: Callable[[tuple], int], most: int
         yield held
 
 
-def _openable(uri: str) -> str:
+def openable(uri: str) -> str:
     parts = urlsplit(uri)
     return unquote(parts.path) if parts.scheme == "file" else uri
 
@@ -84,6 +89,13 @@ def _same_name(file: Column) -> Column:
     return F.regexp_replace(file, "^file:/+", "file:/")
 
 
+def empty_files(files: DataFrame) -> DataFrame:
+    """``file, error`` of the files of zero bytes, which a scan leaves out."""
+    listed = file_names(files).select(_same_name(F.col("file")).alias("file"))
+    scanned = files.select(_same_name(F.col("path")).alias("file"))
+    return listed.join(scanned, "file", "left_anti").withColumn("error", F.lit("file of zero bytes"))
+
+
 def split_files(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """``path, start, end``: each file cut into byte ranges, one task each, so that one huge file
     is decoded by as many tasks as the same bytes in many files.
@@ -110,6 +122,7 @@ def decode_files(
     keep_values: bool = False,
     batch_bytes: int = BATCH_BYTES,
     range_bytes: int = RANGE_BYTES,
+    limits: Limits | None = None,
 ) -> DataFrame:
     """Expand each file to its messages, numbered from 0 in file order.
 
@@ -120,60 +133,103 @@ def decode_files(
     - ``"path"``: the path. The bytes never pass through the JVM, the decoder streams the file,
       and a file of any size needs the memory of one message.
     - ``"range"``: path, start and end of a byte range. The decoder gives ``(offset, description,
-      values)`` of the messages that begin in it; ``msg_no`` is that offset, which
-      ``number_messages`` can turn into a count. For files too long for one task.
+      values)`` of the messages that begin in it; ``msg_no`` is that offset, and ``range_start`` and
+      ``range_no`` say in which range a message is the how-manieth, from which ``number_by_range``
+      makes a count. For files too long for one task.
 
     Each grid is reduced to its mean next to the decoder, so eight bytes per message leave the
     task; ``keep_values=True`` keeps the whole grids instead. Rows leave
     in batches of about ``batch_bytes``. A file that fails, or by content or path holds no message,
-    gives one more row with ``error`` set; see ``split_decoded``.
+    gives one more row with ``error`` set; see ``split_decoded``. With ``limits`` the decoder runs in
+    a process of its own, so a file whose decoder crashes or hangs is reported like any other.
     """
+    reduced = reduce_grid(keep_values)
+    values = ("values", pa.list_(pa.float64())) if keep_values else ("grid_mean", pa.float64())
+
+    def cells(number: int, message: tuple) -> tuple:
+        description, grid = message[-2:]
+        return str(description), reduced(grid)
+
+    def size_of(row: tuple) -> int:
+        return ROW_BYTES + (row[3].nbytes if keep_values and row[3] is not None else 0)
+
+    return expand_files(
+        files, decoder, by, [("description", pa.string()), values], cells, size_of, batch_bytes,
+        range_bytes, limits,
+    )
+
+
+_SQL_TYPES = {pa.string(): "string", pa.int64(): "bigint", pa.float64(): "double"}
+
+
+def expand_files(
+    files: DataFrame,
+    decoder: Decoder,
+    by: str,
+    columns: list[tuple[str, pa.DataType]],
+    cells: Callable[[int, tuple], tuple],
+    size_of: Callable[[tuple], int],
+    batch_bytes: int,
+    range_bytes: int,
+    limits: Limits | None,
+) -> DataFrame:
+    """``file, msg_no, <columns>, error`` (by range also ``range_start, range_no``): ``cells`` makes
+    the columns of a message from its number, or its offset by range, and what the decoder gave."""
     if by not in DECODE_BY:
         raise ValueError(f"by must be one of {DECODE_BY}, not {by!r}")
-    fields = [("file", pa.string()), ("msg_no", pa.int64()), ("description", pa.string())]
-    if keep_values:
-        fields.append(("values", pa.list_(pa.float64())))
-    else:
-        fields.append(("grid_mean", pa.float64()))
-    layout = pa.schema([*fields, ("error", pa.string())])
-    reduce_grid = _plain_grid if keep_values else _mean_of
-
-    def decoded(arguments: list) -> Iterator[tuple]:
-        if by == "range":
-            yield from decoder(*arguments)
-            return
-        msg_no = -1
-        for msg_no, (description, values) in enumerate(decoder(*arguments)):
-            yield msg_no, description, values
-        if msg_no < 0:
-            raise ValueError("no messages")
-
-    def messages_of(file: str, arguments: list) -> Iterator[tuple]:
+    fields = [("file", pa.string()), ("msg_no", pa.int64()), *columns, ("error", pa.string())]
+    if by == "range":
+        fields += [("range_start", pa.int64()), ("range_no", pa.int64())]
+    layout = pa.schema(fields)
+    blank = (None,) * len(columns)
+
+    def rows_of(file: str, arguments: list, met: Callable[[], None] | None) -> Iterator[tuple]:
+        number = -1
         try:
-            for msg_no, description, values in decoded(arguments):
-                yield file, msg_no, str(description), reduce_grid(values), None
+            for number, message in enumerate(decoder(*arguments)):
+                if met is not None:
+                    met()
+                if by == "range":
+                    place = message[0]
+                    yield file, place, *cells(place, message), None, arguments[1], number
+                else:
+                    yield file, number, *cells(number, message), None
+            if number < 0 and by != "range":
+                raise ValueError("no messages")
         except Exception as failure:
-            yield file, None, None, None, f"{type(failure).__name__}: {failure}"
+            yield failed(file, f"{type(failure).__name__}: {failure}")
+
+    def failed(file: str, reason: str) -> tuple:
+        return file, None, *blank, reason, *((None, None) if by == "range" else ())
 
     def to_batch(rows: list[tuple]) -> pa.RecordBatch:
-        columns = [pa.array(column, type=field.type) for column, field in zip(zip(*rows), layout)]
-        return pa.RecordBatch.from_arrays(columns, schema=layout)
+        arrays = [pa.array(column, type=field.type) for column, field in zip(zip(*rows), layout)]
+        return pa.RecordBatch.from_arrays(arrays, schema=layout)
 
-    def all_messages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    def arguments_of(batch: pa.RecordBatch, row: int) -> tuple[str, list]:
+        file = batch.column(0)[row].as_py()
+        if by == "content":
+            return file, [memoryview(batch.column(1)[row].as_buffer())]
+        return file, [openable(file), *(column[row].as_py() for column in batch.columns[1:])]
+
+    def all_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            for cells in zip(*batch.columns):
-                file = cells[0].as_py()
-                if by == "content":
-                    arguments = [memoryview(cells[1].as_buffer())]
-                else:
-                    arguments = [_openable(file), *(cell.as_py() for cell in cells[1:])]
-                yield from messages_of(file, arguments)
+            if limits is None:
+                for row in range(batch.num_rows):
+                    yield from rows_of(*arguments_of(batch, row), None)
+                continue
 
-    def size_of(row: tuple) -> int:
-        return ROW_BYTES + (row[3].nbytes if keep_values and row[3] is not None else 0)
+            def work(row: int, met: Callable[[], None], batch: pa.RecordBatch = batch) -> Iterator[list]:
+                yield from in_batches(rows_of(*arguments_of(batch, row), met), size_of, PIPE_BYTES)
+
+            for part in isolated(work, batch.num_rows, limits):
+                if isinstance(part, Failure):
+                    yield failed(batch.column(0)[part.file].as_py(), part.reason)
+                else:
+                    yield from part
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in in_batches(all_messages(batches), size_of, batch_bytes):
+        for rows in in_batches(all_rows(batches), size_of, batch_bytes):
             yield to_batch(rows)
 
     if by == "range":
@@ -184,7 +240,10 @@ def decode_files(
         # The condition reaches the scan, which would else fail on the first long file.
         sources = files.where(F.col("length") <= _content_limit(files.sparkSession))
         sources = sources.select("path", "content")
-    return sources.mapInArrow(decode, _GRIDS if keep_values else _MEANS)
+    schema = ", ".join(
+        f"{name} {_SQL_TYPES.get(kind) or 'array<double>'}" for name, kind in fields
+    )
+    return sources.mapInArrow(decode, schema)
 
 
 def _content_limit(spark: SparkSession) -> int:

@@ -8,10 +8,12 @@ library carries a broadcast hint that would grow with the data.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,10 +23,15 @@ _folder: ContextVar[str | None] = ContextVar("scratch_folder", default=None)
 
 def scratch_root(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; where that is unset, one in the session's
-    warehouse, which executors share as well."""
+    warehouse, if executors share it as well: on a cluster it must not be a folder of one machine,
+    where each executor would write to a disk of its own and later reads would miss those files."""
     root = spark.conf.get(_SETTING, None)
     if not root:
-        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        scheme = urlsplit(warehouse).scheme or "file"
+        if scheme == "file" and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"set {_SETTING} to a folder that all executors share; {warehouse} is one of this machine")
+        root = warehouse.rstrip("/") + "/_scratch"
     return root.rstrip("/")
 
 

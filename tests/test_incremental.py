@@ -1,0 +1,251 @@
+"""The job over what has changed against the job over everything, and publication in one step."""
+
+import sys
+import datetime as dt
+import os
+
+import pytest
+from pyspark import cloudpickle
+
+from gridmill import sinks
+from gridmill.plans import run, run_incremental, summarize_folder
+from gridmill.plans import climate, incremental
+from gridmill.sources import FileLedger, current_run, followed, load_files, new_run, publish, scan_files
+from gridmill.sources import ledger as ledgers
+from helpers import rows
+
+# Workers get what is defined here by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+def write(folder, name, year, names=("a", "b"), days=365, start=0, value=lambda i: i % 17 / 7):
+    lines, day = [], dt.date(year, 1, 1)
+    for d in range(days):
+        for variable in names:
+            time = day + dt.timedelta(days=start + d)
+            lines.append(f"{len(lines)}:{variable}:level 1:from {time:%Y%m%d}0000|{value(len(lines))!r}\n")
+    (folder / name).write_text("".join(lines))
+
+
+@pytest.fixture
+def folder(tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    for year in (1999, 2000, 2001):
+        write(source, f"{year}.txt", year)
+    return source
+
+
+def decoder(log):
+    def decode(content):
+        text = bytes(content).decode()
+        with open(log, "a") as out:
+            out.write(text.split("\n")[0] + "\n")
+        for line in text.splitlines():
+            description, value = line.split("|")
+            yield description, [float(value)]
+
+    return decode
+
+
+def decoded(log):
+    """How many files were decoded since the last call."""
+    if not os.path.exists(log):
+        return 0
+    count = len(open(log).read().splitlines())
+    os.remove(log)
+    return count
+
+
+def whole(spark, folder, tmp_path, **settings):
+    outcome = run(spark, str(folder), str(tmp_path / f"whole{len(os.listdir(tmp_path))}"), decoder("/dev/null"), glob="*.txt", **settings)
+    return outcome
+
+
+def same(left, right):
+    def close(df, *columns):
+        return [tuple(round(v, 10) if isinstance(v, float) else v for v in r) for r in rows(df.select(*columns))]
+
+    assert close(left.monthly, "year", "month", "name", "value") == close(right.monthly, "year", "month", "name", "value")
+    assert close(left.series, "variable", "year", "stat", "value") == close(right.series, "variable", "year", "stat", "value")
+    assert left.variables == right.variables
+
+
+def jobs(spark, folder, tmp_path, **settings):
+    """A function that runs the job, holds it against one over everything, and tells what it did."""
+    log, target = str(tmp_path / "log"), str(tmp_path / "out")
+    inner = decoder(log)
+
+    def by_path(path):
+        with open(path, "rb") as file:
+            yield from inner(file.read())
+
+    own = by_path if settings.get("decode_by") == "path" else inner
+    others = {k: v for k, v in settings.items() if k != "decode_by"}
+
+    def job(compare=True):
+        outcome, change = run_incremental(spark, str(folder), target, own, glob="*.txt", **settings)
+        if compare:
+            same(outcome, whole(spark, folder, tmp_path, **others))
+        outcome.release()
+        return tuple(change), decoded(log)
+
+    return job
+
+
+def test_add_change_and_remove(spark, folder, tmp_path):
+    job = jobs(spark, folder, tmp_path)
+    assert job(False) == ((3, 0, 0), 3)
+    assert job(False) == ((0, 3, 0), 0)
+    write(folder, "2002.txt", 2002, names=("a", "c"))
+    write(folder, "2000.txt", 2000, value=lambda i: i / 3)
+    write(folder, "2000b.txt", 2000, days=100)
+    assert job() == ((3, 2, 0), 3)
+    (folder / "1999.txt").unlink()
+    assert job() == ((0, 4, 1), 0)
+    (folder / "2000b.txt").unlink()
+    write(folder, "1999.txt", 1999, days=400)
+    assert job() == ((1, 3, 1), 1)
+
+
+@pytest.mark.parametrize("settings", [{"mode": "position"}, {"layout": "long"}, {"decode_by": "path"}])
+def test_other_settings(spark, folder, tmp_path, settings):
+    job = jobs(spark, folder, tmp_path, **settings)
+    assert job(False) == ((3, 0, 0), 3)
+    write(folder, "2000.txt", 2000, value=lambda i: i / 3)
+    write(folder, "2000b.txt", 2000, days=366)
+    (folder / "1999.txt").unlink()
+    assert job() == ((2, 1, 1), 2)
+
+
+def test_bits_are_those_of_one_go(spark, folder, tmp_path):
+    target = str(tmp_path / "out")
+    (folder / "2001.txt").rename(tmp_path / "2001.txt")
+    first, _ = run_incremental(spark, str(folder), target, decoder("/dev/null"), glob="*.txt")
+    (tmp_path / "2001.txt").rename(folder / "2001.txt")
+    write(folder, "2001b.txt", 2001, value=lambda i: 1e-9 / (i + 1))
+    second, _ = run_incremental(spark, str(folder), target, decoder("/dev/null"), glob="*.txt")
+    at_once, _ = run_incremental(spark, str(folder), str(tmp_path / "other"), decoder("/dev/null"), glob="*.txt")
+    assert rows(second.monthly) == rows(at_once.monthly) != rows(first.monthly)
+
+
+def test_bad_files_stay_listed_until_they_change(spark, folder, tmp_path):
+    log, target = str(tmp_path / "log"), str(tmp_path / "out")
+    (folder / "bad.txt").write_text("junk\n")
+    (folder / "empty.txt").write_text("")
+
+    def job():
+        outcome, change = run_incremental(spark, str(folder), target, decoder(log), glob="*.txt")
+        found = {r["file"].rsplit("/", 1)[1]: r["error"].split(":")[0] for r in outcome.bad_files.collect()}
+        return found, tuple(change), decoded(log)
+
+    want = {"bad.txt": "ValueError", "empty.txt": "file of zero bytes"}
+    assert job() == (want, (4, 0, 0), 4)
+    assert job() == (want, (0, 4, 0), 0)
+    write(folder, "bad.txt", 1998)
+    del want["bad.txt"]
+    assert job() == (want, (1, 3, 0), 1)
+
+
+def test_a_job_that_dies_changes_nothing(spark, folder, tmp_path, monkeypatch):
+    target = str(tmp_path / "out")
+    run_incremental(spark, str(folder), target, decoder("/dev/null"), glob="*.txt")
+    before = rows(spark.read.option("header", True).csv(followed(spark, f"{target}/series")))
+    second = summarize_folder(spark, f"{target}/monthly", str(tmp_path / "second"))
+    write(folder, "2002.txt", 2002)
+
+    def dies(*_):
+        raise RuntimeError("killed between two sinks")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(climate.sinks, "write_summary", dies)
+        with pytest.raises(RuntimeError, match="killed"):
+            run_incremental(spark, str(folder), target, decoder("/dev/null"), glob="*.txt")
+    assert rows(spark.read.option("header", True).csv(followed(spark, f"{target}/series"))) == before
+    again = summarize_folder(spark, f"{target}/monthly", str(tmp_path / "third"))
+    assert rows(again.series) == rows(second.series)
+    outcome, change = run_incremental(spark, str(folder), target, decoder("/dev/null"), glob="*.txt")
+    # What the dead job had decoded is there already.
+    assert tuple(change) == (0, 4, 0) and outcome.series.where("year = 2002").count() == 6
+
+
+def test_published_run(spark, folder, tmp_path, monkeypatch):
+    target = str(tmp_path / "out")
+    settings = dict(glob="*.txt", publish=True)
+    first = run(spark, str(folder), target, decoder("/dev/null"), **settings)
+    assert current_run(spark, target) == first.folder and first.folder.startswith(target + "/runs/")
+    write(folder, "2002.txt", 2002)
+    with monkeypatch.context() as patch:
+        patch.setattr(climate.sinks, "write_series", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            run(spark, str(folder), target, decoder("/dev/null"), **settings)
+    assert current_run(spark, target) == first.folder
+    assert summarize_folder(spark, target + "/monthly", str(tmp_path / "s")).series.where("year = 2002").count() == 0
+    second = run(spark, str(folder), target, decoder("/dev/null"), **settings)
+    assert current_run(spark, target) == second.folder != first.folder
+    assert summarize_folder(spark, target + "/monthly", str(tmp_path / "s")).series.where("year = 2002").count() == 6
+    third = run(spark, str(folder), target, decoder("/dev/null"), **settings)
+    # One former run stays for its readers.
+    assert os.path.isdir(second.folder) and os.path.isdir(third.folder) and not os.path.isdir(first.folder)
+
+
+def test_pointer(spark, tmp_path):
+    target = str(tmp_path)
+    assert current_run(spark, target) is None and followed(spark, f"{target}/monthly") == f"{target}/monthly"
+    names = []
+    for _ in range(12):
+        run_name, folder = new_run(target)
+        os.makedirs(folder)
+        publish(spark, target, run_name, keep=2)
+        names.append(run_name)
+    assert current_run(spark, target) == f"{target}/runs/{names[-1]}"
+    assert sorted(os.listdir(f"{target}/runs")) == sorted(names[-3:])
+    assert followed(spark, f"{target}/a/b") == f"{target}/runs/{names[-1]}/a/b"
+    assert followed(spark, target) == f"{target}/runs/{names[-1]}"
+
+
+def test_ledger_holds_few_runs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ledgers, "MOST_RUNS", 3)
+    source, path = tmp_path / "in [1]", str(tmp_path / "ledger")
+    source.mkdir()
+    book = FileLedger(spark, path)
+    for i in range(8):
+        (source / f"{i} {{x}}*.txt").write_text("x" * (i + 1))
+        listing = load_files(spark, [str(source / name) for name in os.listdir(source)])
+        change = book.update(listing, lambda files: files.selectExpr("path as file", "length as size"))
+        assert tuple(change) == (1, i, 0)
+        assert sorted(r["size"] for r in book.rows().collect()) == list(range(1, i + 2))
+        assert len(book.runs()) <= 3
+    assert len(os.listdir(f"{path}/rows")) <= 6
+
+
+def test_mixed_forms_are_refused(spark, folder, tmp_path):
+    target = str(tmp_path / "out")
+    run(spark, str(folder), target, decoder("/dev/null"), glob="*.txt", chosen=[]).release()
+    with pytest.raises(ValueError, match="folders"):
+        run(spark, str(folder), target, decoder("/dev/null"), glob="*.txt", monthly_files="year_files")
+    (tmp_path / "out" / "monthly" / "1999.csv").write_text("Month,a\nJan,1\n")
+    with pytest.raises(ValueError, match="folders and as year files"):
+        summarize_folder(spark, f"{target}/monthly", str(tmp_path / "second"))
+
+
+def test_a_failed_move_puts_the_years_back(spark, tmp_path, monkeypatch):
+    path = tmp_path / "monthly"
+    wide = spark.createDataFrame([(y, 1, float(y)) for y in (1999, 2000)], "year int, month int, a double")
+    sinks.write_year_files(wide, str(path))
+    before = {p.name: p.read_text() for p in path.glob("*.csv")}
+    staged = tmp_path / "monthly" / "_staging_x"
+    for year in (1999, 2000, 2001):
+        (staged / f"year={year}").mkdir(parents=True)
+        (staged / f"year={year}" / "part-0.csv").write_text("new")
+    # The last year can't take its place: a folder that isn't empty is there.
+    (path / "2001.csv").mkdir()
+    (path / "2001.csv" / "held").write_text("x")
+    (staged / "former-2001").write_text("in the way")
+    with pytest.raises(Exception):
+        sinks._move_years(spark, str(staged), str(path))
+    assert {p.name: p.read_text() for p in path.glob("*.csv") if p.is_file()} == before
+
+
+def test_modules_agree(spark):
+    assert incremental.Outcome is climate.Outcome

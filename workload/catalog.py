@@ -12,7 +12,7 @@ from gridmill import functions as fn
 from gridmill import operators as op
 from gridmill import sinks
 from gridmill import sources as src
-from gridmill.plans import monthly_from_messages, run, summarize_folder
+from gridmill.plans import monthly_from_messages, run, run_incremental, summarize_folder
 from workload import views
 from workload.views import GRIDS_SQL, LINES_SQL, MEASURES, ORDERS_SQL, PRIORITIES
 
@@ -564,27 +564,31 @@ def decode_grids(spark, sf_dir):
     )
 
 
-_BAD_KINDS = " union all ".join(
-    f"select '{mode}' as mode, 'kind={kind}' as file, '{reason}' as reason from part having count(*) > 0"
-    for mode in src.files.DECODE_BY
-    for kind, reason in (("junk", "ValueError"), ("half", "ValueError"), ("empty", "file of zero bytes"))
-)
+_REASONS = {"junk": "ValueError", "half": "ValueError", "crash": "DecoderCrash", "hang": "DecoderTimeout"}
+_BAD_KINDS = f"""
+    with modes as (select unnest({list(src.files.DECODE_BY)}) as mode),
+    kinds as (select 'nation=' || n_nationkey as file,
+                     list_value({", ".join(f"'{k}'" for k in views.FILE_KINDS)})[n_nationkey % {len(views.FILE_KINDS)} + 1] as kind
+              from nation)
+    select mode, file, case kind {" ".join(f"when '{k}' then '{r}'" for k, r in _REASONS.items())} end as reason
+    from kinds, modes where kind <> 'good'
+    union all
+    select mode, 'nation=empty', 'file of zero bytes' from modes, (select 1 from nation having count(*) > 0)"""
 
 
 @register(_BAD_KINDS)
 def bad_file_report(spark, sf_dir):
-    """Each bad file by its folder, however it is decoded; the good one is not among them."""
+    """Each bad file by its folder, however it is decoded, also where the decoder's process crashes
+    or hangs; the good ones are not among them."""
     folder = views.write_bad_files(spark, sf_dir)
     files = src.scan_files(spark, folder, "*.txt")
-    decoders = {
-        "content": views.line_decoder(), "path": views.path_decoder(), "range": views.range_decoder()
-    }
     reports = []
-    for mode, decoder in decoders.items():
-        bad = src.split_decoded(src.decode_files(files, decoder, by=mode), files, mode)[1]
+    for mode, decoder in views.failing_decoders().items():
+        decoded = src.decode_files(files, decoder, by=mode, limits=src.Limits(2.0))
+        bad = src.split_decoded(decoded, files, mode)[1]
         reports.append(bad.select(
             F.lit(mode).alias("mode"),
-            F.regexp_extract("file", "/(kind=[a-z]+)/", 1).alias("file"),
+            F.regexp_extract("file", "/(nation=[a-z0-9]+)/", 1).alias("file"),
             F.regexp_extract("error", "^[^:]*", 0).alias("reason"),
         ))
     return reports[0].unionByName(reports[1]).unionByName(reports[2])
@@ -685,15 +689,160 @@ def replaced_files(spark, sf_dir):
     return op.replaced_files(op.file_facts(numbered))
 
 
-@register(f"{GL} select 'time' as mode, name, year, month, avg(grid_mean) as value, count(*) as n "
-          "from gl group by all")
+@register(f"""{POSITIONS},
+v as (select *, (msg_no - min(msg_no) over (partition by file, month)) % 3 as var_ix from e),
+gl as ({GRIDS_SQL})
+select 'time' as mode, name, year, month, avg(grid_mean) as value, count(*) as n from gl group by all
+union all
+select 'position', 'variable ' || var_ix, year, month, avg(grid_mean), count(*) from v group by all""")
 def decode_by_range(spark, sf_dir):
-    """Files in pieces of some kilobytes."""
+    """Files in pieces of some kilobytes, by time and by position, where the numbers of the messages
+    come from the counts of the pieces."""
+    def decoded(folder):
+        files = src.scan_files(spark, folder, "*.txt")
+        pieces = src.decode_files(files, views.range_decoder(), by="range", range_bytes=50_000)
+        return src.split_decoded(src.describe(pieces), files, "range")[0]
+
+    def means(messages, mode, name):
+        return messages.groupBy(F.lit(mode).alias("mode"), name.alias("name"), "year", "month").agg(
+            F.avg("grid_mean").alias("value"), F.count("grid_mean").alias("n")
+        )
+
+    by_time = op.assign_time(decoded(views.write_message_files(spark, sf_dir)))
+    numbered = src.materialize(op.number_by_range(decoded(views.write_order_files(spark, sf_dir))), "numbered")
+    placed = op.assign_position(numbered, src.materialize(op.file_facts(numbered), "facts"), 3)
+    label = F.concat(F.lit("variable "), F.col("var_ix").cast("string"))
+    return means(by_time, "time", F.col("name")).unionByName(means(placed, "position", label))
+
+
+@register(f"""{GL} select 'all' as part, name, year, month, avg(grid_mean) as value, count(*) as n from gl group by all
+union all
+select 'chosen', name, year, month, avg(grid_mean), count(*) from gl where name in ('A', 'N') and year between 1996 and 1997
+group by all""")
+def read_source(spark, sf_dir):
+    """Message files through ``spark.read.format``, in ranges; all, and some variables and years."""
+    folder = views.write_message_files(spark, sf_dir)
+    name = src.register_source(spark, "grid_lines", views.range_decoder())
+    reader = spark.read.format(name).options(glob="*.txt", range_bytes=100_000)
+    parts = []
+    for part, options in (("all", {}), ("chosen", {"names": '["A", "N"]', "years": "1996-1997"})):
+        messages = op.assign_time(reader.options(**options).load(folder))
+        parts.append(messages.groupBy(F.lit(part).alias("part"), "name", "year", "month").agg(
+            F.avg("grid_mean").alias("value"), F.count("grid_mean").alias("n")
+        ))
+    return parts[0].unionByName(parts[1])
+
+
+_HOUR = dt.datetime(1997, 3, 14, 0)
+
+
+@register(f"""{GL}
+select 'hour' as part, l_returnflag as name, cast(year(l_shipdate) as int) as year,
+       cast(month(l_shipdate) as int) as month, count(*) as n,
+       sum(({" + ".join(views.WHOLE_SQL.values())}) / 4) as total
+from lineitem where l_shipdate >= timestamp '{_HOUR}' and l_shipdate < timestamp '{_HOUR}' + interval 1 hour group by all
+union all
+select 'variable', name, year, month, count(*), sum(grid_mean) from gl where name = 'R' and year = 1996 group by all""")
+def indexed_value_at(spark, sf_dir):
+    """A day and hour of all variables, and a year of one, from the ranges that an index names."""
     files = src.scan_files(spark, views.write_message_files(spark, sf_dir), "*.txt")
-    decoded = src.decode_files(files, views.range_decoder(), by="range", range_bytes=50_000)
-    good, _ = src.split_decoded(src.describe(decoded), files, "range")
-    return op.assign_time(good).groupBy(F.lit("time").alias("mode"), "name", "year", "month").agg(
-        F.avg("grid_mean").alias("value"), F.count("grid_mean").alias("n")
+    index = src.MessageIndex(spark, src.scratch_path(spark, "index"))
+    index.refresh(files, views.line_indexer())
+    parts = []
+    for part, wanted in (
+        ("hour", index.messages(at=_HOUR)),
+        ("variable", index.messages(names=["R"]).where("year = 1996")),
+    ):
+        messages = op.assign_time(src.read_messages(wanted, views.line_message()))
+        parts.append(messages.groupBy(F.lit(part).alias("part"), "name", "year", "month").agg(
+            F.count("grid_mean").alias("n"), F.sum("grid_mean").alias("total")
+        ))
+    return parts[0].unionByName(parts[1])
+
+
+@register(_job_sql(GRIDS_SQL))
+def incremental_job(spark, sf_dir):
+    """Files of some years, one of them with other numbers, and some that don't belong there; then
+    the other years are added, that one is replaced and those are withdrawn. The second job decodes
+    only what has changed and gives the result of a job over everything."""
+    years = [r[0] for r in views.table(spark, sf_dir, "lineitem").select(
+        F.year("l_shipdate").alias("y")).distinct().orderBy("y").collect()]
+    source, target = src.scratch_path(spark, "growing"), src.scratch_path(spark, "results")
+    views.write_line_years(spark, sf_dir, source, years[:3])
+    views.write_line_years(spark, sf_dir, source, years[1:2], factor=3)
+    views.write_line_years(spark, sf_dir, source, years[4:5], factor=7, label="strange")
+    folders = f"{source}/*"
+    run_incremental(spark, folders, target, views.line_decoder(), glob="*.txt")[0].release()
+    src.delete_folder(spark, f"{source}/strange")
+    views.write_line_years(spark, sf_dir, source, [years[1], *years[3:]])
+    outcome, _ = run_incremental(spark, folders, target, views.line_decoder(), glob="*.txt")
+    return rounded(outcome.series, "value")
+
+
+_STEP = len(views.STEP_NAMES)
+
+
+@register(f"""{OM},
+n as (select *, {_STEP} * count(*) over (partition by file) as num,
+             case when year % 4 = 0 then 366 else 365 end as days from om),
+l as (select file, year, num // days as per_day, days, msg_no * {_STEP} + ix as msg_no, grid_mean * (ix + 1) as v, ix
+      from n, (select unnest(range({_STEP})) as ix)),
+d as (select *, msg_no // per_day as day_ix from l),
+e as (select *, cast(month(make_date(case when year % 4 = 0 then 2000 else 2001 end, 1, 1) + cast(day_ix as int)) as int) as month
+      from d where day_ix < days),
+p as (select *, (row_number() over (partition by file, month order by msg_no) - 1) % {_STEP} as var_ix from e)
+select year, month, list_value('t', 't #2', 'u', 'v', 'v #2')[var_ix + 1] as name, {_STEP} as stride,
+       avg(v) as value, count(*) as n
+from p group by all""")
+def discover_levels(spark, sf_dir):
+    """Two names return within a time step: the period of the names is found, not the first repeat."""
+    messages = src.materialize(views.leveled_orders(spark, sf_dir), "leveled")
+    found = src.materialize(op.discover_periods(messages), "variables")
+    facts = op.file_facts(messages).join(op.strides(found), "file")
+    placed = op.assign_position(messages.drop("name"), src.materialize(facts, "facts"))
+    return (
+        placed.join(found.select("file", "var_ix", "name"), ["file", "var_ix"])
+        .groupBy("year", "month", "name", "stride")
+        .agg(F.avg("grid_mean").alias("value"), F.count("grid_mean").alias("n"))
+    )
+
+
+@register(f"""{OM},
+num as (select file, year, count(*) as num, case when year % 4 = 0 then 366 else 365 end as days from om group by 1, 2),
+steps as (select file, valid_time, count(*) as messages from om group by 1, 2),
+pairs as (select file, valid_time as begins, lead(valid_time) over (partition by file order by valid_time) as ends from steps),
+far as (select *, date_diff('second', begins, ends) as seconds from pairs where ends is not null),
+often as (select file, seconds, count(*) as times from far group by 1, 2),
+usual as (select file, arg_max(seconds, times * 1000000000 - seconds) as usual from often group by 1),
+many as (select file, messages, count(*) as times from steps group by 1, 2),
+most as (select file, arg_max(messages, times * 1000000 + messages) as usual from many group by 1)
+select file, case when num >= days then 'after the last day' else 'fewer messages than days' end as problem,
+       cast(null as timestamp) as begins, cast(null as timestamp) as ends, cast(num - num // days * days as bigint) as number
+from num where num - num // days * days > 0
+union all
+select file, 'missing steps', begins + to_seconds(usual), ends - to_seconds(usual),
+       cast(ceil(seconds / usual) - 1 as bigint)
+from far join usual using (file) where seconds > usual
+union all
+select file, 'uneven steps', min(valid_time), max(valid_time), count(*)
+from steps join most using (file) where steps.messages <> usual group by 1""")
+def incomplete_files(spark, sf_dir):
+    """What position mode drops of a file of orders per year, and the days on which it has none."""
+    messages = src.materialize(views.numbered_orders(spark, sf_dir), "orders")
+    dropped = op.dropped_by_position(op.file_facts(messages))
+    return dropped.unionByName(op.missing_steps(messages))
+
+
+@register(f"""{OM} select year, month, name, count(*) * 3 as n, sum(cast(grid_mean as bigint)) / (count(*) * 3) as value
+from om group by 1, 2, 3""")
+def exact_monthly_mean(spark, sf_dir):
+    """Sums that ordinary addition loses: each price between a huge number and its opposite. Equal
+    to the last bit, without rounding."""
+    huge = F.array(F.lit(2.0**80), F.col("grid_mean"), F.lit(-(2.0**80)))
+    messages = views.orders_as_messages(spark, sf_dir).withColumn("grid_mean", F.explode(huge))
+    sums = fn.exact_sums(messages, ["year", "month", "name"], "grid_mean")
+    return sums.select(
+        "year", "month", "name", F.col("count").alias("n"), fn.mean_of(F.col("count"), F.col("sums")).alias("value")
     )
 
 

@@ -178,25 +178,134 @@ def write_order_files(spark: SparkSession, sf_dir: str) -> str:
     return folder
 
 
+# What is wrong with the file of a nation, by the rest of its key.
+FILE_KINDS = ["junk", "half", "crash", "hang", "good"]
+
+
 def write_bad_files(spark: SparkSession, sf_dir: str) -> str:
-    """``kind=junk``: text that does not decode; ``kind=half``: messages, then such text;
-    ``kind=empty``: zero bytes; ``kind=good``: messages. One file each."""
+    """One file for each nation, ``nation=<key>``, of a kind by its key: text that does not decode,
+    a message and then such text, a message and then a crash of the decoder's process, a message
+    and then no end, or messages. And a file of zero bytes, ``nation=empty``."""
     folder = scratch_path(spark, "bad_files")
-    junk = table(spark, sf_dir, "part").select(F.col("p_name").alias("value"))
-    good = table(spark, sf_dir, "region").select(
-        F.concat(F.col("r_regionkey").cast("string"), F.lit(":a:from 200001010000|1")).alias("value")
+    nations = table(spark, sf_dir, "nation")
+    good = F.concat(F.col("n_nationkey").cast("string"), F.lit(":a:from 200001010000|1"))
+    kind = F.get(F.array(*[F.lit(k) for k in FILE_KINDS]), (F.col("n_nationkey") % len(FILE_KINDS)).cast("int"))
+    second = F.when(kind == "good", good).when(kind.isin("crash", "hang"), kind).otherwise(F.col("n_name"))
+    lines = F.when(kind == "junk", F.array("n_name")).otherwise(F.array(good, second))
+    (
+        nations.select("n_nationkey", F.posexplode(lines).alias("turn", "value"))
+        .repartition("n_nationkey")
+        .sortWithinPartitions("n_nationkey", "turn")
+        .select("value", F.col("n_nationkey").alias("nation"))
+        .write.partitionBy("nation")
+        .text(folder)
     )
-    half = good.withColumn("turn", F.lit(0)).unionAll(junk.limit(1).withColumn("turn", F.lit(1)))
-    for kind, lines in (
-        ("junk", junk.repartition(1)),
-        ("half", half.repartition(1).sortWithinPartitions("turn").select("value")),
-        ("empty", junk.where("false").repartition(1)),
-        ("good", good.repartition(1)),
-    ):
-        lines.write.text(f"{folder}/kind={kind}")
+    nations.where("false").select("n_name").repartition(1).write.text(f"{folder}/nation=empty")
     return folder
 
 
+def _failing(line: str) -> None:
+    """What a broken codec does."""
+    import os
+    import time
+
+    if line == "crash":
+        os._exit(9)
+    while line == "hang":
+        time.sleep(1)
+
+
+def failing_decoders():
+    """Decoders by what they get, which crash or hang where the text says so."""
+
+    def decode(text):
+        for line in text.splitlines():
+            _failing(line)
+            description, numbers = line.split("|")
+            yield description, [float(number) for number in numbers.split(",")]
+
+    def by_content(content):
+        yield from decode(bytes(content).decode("utf-8"))
+
+    def by_path(path):
+        with open(path, encoding="utf-8") as lines:
+            yield from decode(lines.read())
+
+    def by_range(path, start, end):
+        with open(path, encoding="utf-8") as lines:
+            for place, message in enumerate(decode(lines.read())):
+                if not start:
+                    yield place, *message
+
+    return {"content": by_content, "path": by_path, "range": by_range}
+
+
+def write_line_years(spark: SparkSession, sf_dir: str, folder: str, years, factor: int = 1, label=None) -> None:
+    """``folder/<label or year>/*.txt`` for each of ``years``: its line items as messages, with all
+    measures times ``factor``. A folder that is there is replaced."""
+    values = [(F.expr(WHOLE_SQL[m]).cast("bigint") * factor).cast("string") for m in MEASURES]
+    description = _description(F.col("l_orderkey").cast("string"), F.col("l_returnflag"))
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.year("l_shipdate").alias("year"),
+        F.col("l_shipdate").alias("time"),
+        F.concat(description, F.lit("|"), F.concat_ws(",", *values)).alias("value"),
+    )
+    for year in years:
+        (
+            lines.where(F.col("year") == year)
+            .repartitionByRange("time", "value")
+            .sortWithinPartitions("time", "value")
+            .select("value")
+            .write.mode("overwrite")
+            .option("maxRecordsPerFile", FILE_ROWS)
+            .text(f"{folder}/{label or year}")
+        )
+
+
+def line_indexer():
+    """Where the messages of a file lie: (offset, length, description) per line."""
+
+    def index(path):
+        offset = 0
+        with open(path, "rb") as lines:
+            for line in lines:
+                yield offset, len(line), line.split(b"|")[0].decode("utf-8")
+                offset += len(line)
+
+    return index
+
+
+def line_message():
+    """The grid of one message from its bytes."""
+
+    def decode(data):
+        return [float(number) for number in bytes(data).decode("utf-8").split("|")[1].split(",")]
+
+    return decode
+
+
+# Names of the messages of a time step in files with levels; two return.
+STEP_NAMES = ["t", "t", "u", "v", "v"]
+
+
+def leveled_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order as a time step of five messages, of which two pairs share their name."""
+    width = len(STEP_NAMES)
+    names = F.array(*[F.lit(n) for n in STEP_NAMES])
+    numbered = number_messages(
+        orders_as_messages(spark, sf_dir).select("file", "year", "valid_time", "o_orderkey", "grid_mean"),
+        ["valid_time", "o_orderkey"],
+    )
+    return numbered.select(
+        "file", "year", "valid_time", F.col("msg_no").alias("step"), "grid_mean",
+        F.posexplode(names).alias("level", "name"),
+    ).select(
+        "file", "year", "valid_time", "name",
+        (F.col("step") * width + F.col("level")).alias("msg_no"),
+        (F.col("grid_mean") * (F.col("level") + 1)).alias("grid_mean"),
+    )
+
+
 def write_grid_files(spark: SparkSession, sf_dir: str, copies: int = 1) -> str:
     """One message per day, measure and block of line items, with a point per line item, packed
     as 32-bit whole numbers. Blocks bound the size of a grid. ``copies`` repeats each message,
