@@ -25,6 +25,11 @@ def _years(text: str) -> range:
     return range(int(first), int(last or first) + 1)
 
 
+def _named(name: str):
+    module, _, function = name.partition(":")
+    return getattr(import_module(module), function)
+
+
 def main(arguments: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="gridmill")
     parser.add_argument("source", help="folder of message files, or of YYYY.csv files")
@@ -55,6 +60,8 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("--message-seconds", type=float, default=600.0, help="time for one message, 0: any")
     parser.add_argument("--file-seconds", type=float, default=0.0, help="time for one file, 0: any")
     parser.add_argument("--in-worker", action="store_true", help="no process of its own for the decoder")
+    parser.add_argument("--index", help="folder of the message index; the decoder gets single messages")
+    parser.add_argument("--indexer", help="module:function, (offset, length, description) of a file's messages")
     options = parser.parse_args(arguments)
     shared = dict(
         chosen=options.chosen,
@@ -71,12 +78,11 @@ def main(arguments: list[str] | None = None) -> None:
             exclude_prefix=options.exclude_prefix, **shared
         )
     else:
-        module, _, function = options.decoder.partition(":")
         outcome = run(
             spark,
             options.source,
             options.target,
-            getattr(import_module(module), function),
+            _named(options.decoder),
             variables=options.variables,
             mode=options.mode,
             glob=options.glob,
@@ -94,6 +100,8 @@ def main(arguments: list[str] | None = None) -> None:
             publish=options.publish,
             limits=None if options.in_worker
             else Limits(options.message_seconds or None, options.file_seconds or None),
+            index=options.index,
+            indexer=options.indexer and _named(options.indexer),
             **shared,
         )
     for variable in outcome.lacking:

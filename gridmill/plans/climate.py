@@ -21,6 +21,7 @@ from gridmill.operators import yearly as yr
 from gridmill.sources import files as src
 from gridmill.sources import published as pub
 from gridmill.sources import tables as tab
+from gridmill.sources.index import Indexer, MessageDecoder, MessageIndex, read_messages
 from gridmill.sources.isolation import Limits
 from gridmill.sources.scratch import delete_folder, materialize, scratch_in
 
@@ -153,11 +154,59 @@ def first_file_variables(messages: DataFrame, mode: str = "time") -> list[str]:
     return _in_order(uses)
 
 
+def decoded_messages(
+    files: DataFrame,
+    decoder: src.Decoder,
+    mode: str = "time",
+    decode_by: str = "content",
+    range_bytes: int = src.RANGE_BYTES,
+    limits: Limits | None = None,
+    keys: Sequence[int] = (),
+) -> tuple[DataFrame, DataFrame]:
+    """Stored messages of a scan's files, with ``name, year, valid_time, grid_mean`` and a number,
+    and bad files as ``file, error``."""
+    sources = src.deal_files(files, range_bytes) if decode_by == "path" else files
+    decoded = src.decode_files(sources, decoder, decode_by, range_bytes=range_bytes, limits=limits)
+    # The descriptions are taken apart in the decoding stage, and only their fields are kept.
+    described = src.describe(decoded)
+    if keys:
+        described = per.with_keys(described, keys)
+    described = described.drop("description")
+    if mode == "time":
+        described = src.flag_unreadable(described, ["name", "valid_time"])
+    else:
+        described = src.flag_unreadable(described, ["year"], first_message_only=True)
+    messages, bad = src.split_decoded(described, files, decode_by)
+    if decode_by == "range" and mode == "position":
+        messages = msg.number_by_range(messages)
+    return messages, bad
+
+
+def indexed_messages(
+    book: MessageIndex,
+    files: DataFrame,
+    decoder: MessageDecoder,
+    names: Sequence[str] | None = None,
+    at: dt.datetime | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """The same from an index: only messages of ``names``, and of a day and hour, are fetched from
+    their files and decoded. A file with a message that can't be read is a bad file."""
+    rows = src.describe(book.messages(names, at).drop("name", "year", "valid_time"))
+    rows = src.flag_unreadable(rows.withColumn("error", F.lit(None).cast("string")), ["name", "valid_time"])
+    odd = rows.where(F.col("error").isNotNull()).select("file", "error")
+    read = materialize(read_messages(rows.where(F.col("error").isNull()), decoder), "fetched")
+    failed = read.where(F.col("error").isNotNull()).select("file", "error").unionByName(odd)
+    bad = failed.groupBy("file").agg(F.min("error").alias("error"))
+    bad = materialize(bad.unionByName(book.bad_files()).unionByName(src.empty_files(files)), "bad_files")
+    good = read.where(F.col("error").isNull()).drop("error", "offset", "length")
+    return good.join(bad.select("file"), "file", "left_anti"), bad
+
+
 def run(
     spark: SparkSession,
     source: str,
     target: str,
-    decoder: src.Decoder,
+    decoder: src.Decoder | MessageDecoder,
     variables: Sequence[str] | None = None,
     mode: str = "time",
     glob: str = "*.grib",
@@ -179,6 +228,8 @@ def run(
     check_steps: bool = False,
     publish: bool = False,
     limits: Limits | None = Limits(),  # noqa: B008 - never changed
+    index: str | None = None,
+    indexer: Indexer | None = None,
 ) -> Outcome:
     """Files under ``source`` to tables under ``target``: ``monthly``, ``summary``, ``series``,
     ``series_span``, ``bad_files``, and where they apply ``replaced_files``, ``left_out``,
@@ -206,7 +257,13 @@ def run(
     that files lack. ``publish=True`` writes into a folder of this run and makes it the one that
     holds when all is written (see ``gridmill.sources.published``): a job that dies leaves the
     former results whole, and the years of former runs are not part of these.
+
+    ``index``: a folder with the index of the messages (time mode). It is brought up to date with
+    ``indexer``, then only messages of ``variables``, and those ``at`` a day and hour, are read;
+    ``decoder`` gets the bytes of one message and returns its grid. See ``gridmill.sources.index``.
     """
+    if index is not None and (indexer is None or mode != "time" or keys):
+        raise ValueError("an index needs an indexer, and goes with time mode without keys")
     choices = (
         (layout, LAYOUTS), (columns, COLUMNS), (monthly_files, MONTHLY_FILES), (discovery, DISCOVERY),
     )
@@ -221,22 +278,16 @@ def run(
         run_name, target = pub.new_run(base)
     with scratch_in(scratch):
         files = src.scan_files(spark, source, glob)
-        decoded = src.decode_files(files, decoder, decode_by, range_bytes=range_bytes, limits=limits)
-        # The descriptions are taken apart in the decoding stage, and only their fields are kept.
-        described = src.describe(decoded)
-        if keys:
-            described = per.with_keys(described, keys)
-        described = described.drop("description")
-        if mode == "time":
-            described = src.flag_unreadable(described, ["name", "valid_time"])
+        if index is None:
+            messages, bad = decoded_messages(files, decoder, mode, decode_by, range_bytes, limits, keys)
+            at_hour = None if at is None else msg.value_at(messages, at.date(), at.hour)
         else:
-            described = src.flag_unreadable(described, ["year"], first_message_only=True)
-        messages, bad = src.split_decoded(described, files, decode_by)
-        if decode_by == "range" and mode == "position":
-            messages = msg.number_by_range(messages)
+            book = MessageIndex(spark, index)
+            book.refresh(files, indexer, "path", limits)
+            messages, bad = indexed_messages(book, files, decoder, variables)
+            at_hour = None if at is None else indexed_messages(book, files, decoder, variables, at)[0]
         bad.write.mode("overwrite").json(f"{target}/bad_files")
-        if at is not None:
-            at_hour = msg.value_at(messages, at.date(), at.hour)
+        if at_hour is not None:
             sinks.write_table(at_hour, f"{target}/values")
 
         facts = discovered = replaced = left_out = incomplete = None

@@ -21,7 +21,7 @@ from gridmill.operators import messages as msg
 from gridmill.operators import monthly as mon
 from gridmill.operators import periods as per
 from gridmill.operators import series as ser
-from gridmill.plans.climate import DISCOVERY, MODES, Outcome, _summarize
+from gridmill.plans.climate import DISCOVERY, MODES, Outcome, _summarize, decoded_messages
 from gridmill.sources import files as src
 from gridmill.sources.isolation import Limits
 from gridmill.sources.ledger import Change, FileLedger
@@ -47,18 +47,7 @@ def file_states(
     to the monthly means, with the place of a variable's first use in it, and a row with ``error`` for
     a file that did not decode. A file without a month by position has one row with its year.
     ``labels`` are the variables of position mode, by default those that each file has."""
-    decoded = src.decode_files(files, decoder, decode_by, range_bytes=range_bytes, limits=limits)
-    described = src.describe(decoded)
-    if keys:
-        described = per.with_keys(described, keys)
-    described = described.drop("description")
-    if mode == "time":
-        described = src.flag_unreadable(described, ["name", "valid_time"])
-    else:
-        described = src.flag_unreadable(described, ["year"], first_message_only=True)
-    messages, bad = src.split_decoded(described, files, decode_by)
-    if decode_by == "range" and mode == "position":
-        messages = msg.number_by_range(messages)
+    messages, bad = decoded_messages(files, decoder, mode, decode_by, range_bytes, limits, keys)
     if mode == "time":
         timed = msg.assign_time(messages)
         sums = exact_sums(timed, ["file", "year", "month", "name"], "grid_mean")

@@ -1,5 +1,6 @@
 from gridmill.sources.datasource import message_source, register_source
 from gridmill.sources.files import (
+    deal_files,
     decode_files,
     describe,
     empty_files,
@@ -36,6 +37,7 @@ __all__ = [
     "Limits",
     "MessageIndex",
     "current_run",
+    "deal_files",
     "empty_files",
     "followed",
     "index_files",

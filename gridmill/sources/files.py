@@ -52,6 +52,24 @@ def _mean_of(values: Any) -> float | None:
     return float(total / present.size) if present.size else None
 
 
+def deal_files(files: DataFrame, task_bytes: int = RANGE_BYTES, tasks: int | None = None) -> DataFrame:
+    """``path`` of each file, dealt to tasks by length: from the longest on, one to each task in turn.
+
+    Any two tasks so differ by the longest file at most, and none holds more than that and the
+    mean. Spark packs a listing until a task is full and gives the rest to whom it comes. By
+    default there is a task for each ``task_bytes``, or for each core, and never more than files.
+    """
+    # Operators import this package.
+    from gridmill.operators.numbering import number_rows
+
+    listed = files.select(F.lit("all").alias("scan"), (-F.col("length")).alias("falling"), "path")
+    numbered = number_rows(listed, "scan", ["falling", "path"], "place")
+    count, total = numbered.agg(F.count("*"), -F.sum("falling")).first()
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    tasks = tasks or max(1, min(count, max(cores, -(-(total or 0) // task_bytes))))
+    return numbered.repartitionById(tasks, (F.col("place") % tasks).cast("int")).select("path")
+
+
 def reduce_grid(keep_values: bool) -> Callable[[Any], Any]:
     """What becomes of a grid next to its decoder."""
     return _plain_grid if keep_values else _mean_of
@@ -131,7 +149,8 @@ def decode_files(
     - ``"content"``: the bytes of the file as a buffer, which is not copied; Spark reads them.
       Longer files than ``spark.sql.sources.binaryFile.maxLength`` are left to the report.
     - ``"path"``: the path. The bytes never pass through the JVM, the decoder streams the file,
-      and a file of any size needs the memory of one message.
+      and a file of any size needs the memory of one message. ``deal_files`` gives the tasks of a
+      large listing about the same to do.
     - ``"range"``: path, start and end of a byte range. The decoder gives ``(offset, description,
       values)`` of the messages that begin in it; ``msg_no`` is that offset, and ``range_start`` and
       ``range_no`` say in which range a message is the how-manieth, from which ``number_by_range``

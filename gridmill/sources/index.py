@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from gridmill.sources.files import (
     RANGE_BYTES,
     ROW_BYTES,
+    deal_files,
     describe,
     expand_files,
     in_batches,
@@ -84,7 +85,8 @@ class MessageIndex:
         """Index the files that are new or changed since, and forget those that are gone."""
 
         def derive(changed: DataFrame) -> DataFrame:
-            rows = describe(index_files(changed, indexer, by, limits=limits))
+            sources = deal_files(changed) if by == "path" else changed
+            rows = describe(index_files(sources, indexer, by, limits=limits))
             # A file that failed half-way has no message that counts.
             rows = materialize(rows, "indexed")
             failed = rows.where(F.col("error").isNotNull()).select("file").distinct()

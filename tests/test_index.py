@@ -221,14 +221,35 @@ def index_with_one(spark, tmp_path, index):
     return index.messages()
 
 
-def test_run_by_index(spark, folder, tmp_path):
-    """The monthly tables of one variable from its ranges alone."""
-    index = MessageIndex(spark, str(tmp_path / "index"))
-    index.refresh(scan_files(spark, str(folder), "*.txt"), indexer)
-    from gridmill.operators import assign_time, monthly_mean
+def test_run_by_index(spark, folder, tmp_path, monkeypatch):
+    """The job of one variable and of one hour: the same tables from their ranges alone."""
+    log = str(tmp_path / "log")
 
-    by_index = monthly_mean(assign_time(read_messages(index.messages(names=["u"]), message)))
-    outcome = run(spark, str(folder), str(tmp_path / "out"), whole_decoder, variables=["u"], glob="*.txt")
-    want = [r for r in rows(outcome.monthly.select("year", "month", "name", "value")) if r[3] is not None]
-    assert rows(by_index.select("year", "month", "name", "value")) == want and len(want) == 4
-    outcome.release()
+    def counted(data):
+        with open(log, "a") as out:
+            out.write("x")
+        return message(data)
+
+    (folder / "empty.txt").write_text("")
+    at = dt.datetime(2000, 2, 1, 6)
+    settings = dict(variables=["u"], glob="*.txt", at=at)
+    by_index = run(
+        spark, str(folder), str(tmp_path / "by index"), counted, index=str(tmp_path / "index"),
+        indexer=indexer, **settings,
+    )
+    # Of 960 messages those of the variable, and once more that of the hour.
+    assert len(open(log).read()) == 320 + 1
+    whole = run(spark, str(folder), str(tmp_path / "whole"), whole_decoder, **settings)
+    columns = ["year", "month", "name", "value"]
+    assert rows(by_index.monthly.select(columns)) == rows(whole.monthly.select(columns))
+    assert rows(by_index.series) == rows(whole.series)
+    assert [r["error"] for r in by_index.bad_files.collect()] == ["file of zero bytes"]
+    values = spark.read.option("header", True).csv(str(tmp_path / "by index" / "values"))
+    assert [(r["name"], float(r["grid_mean"])) for r in values.collect()] == [
+        (r["name"], r["grid_mean"]) for r in value_at(describe(decode_files(
+            scan_files(spark, str(folder), "b.txt"), whole_decoder)), at.date(), at.hour).where("name = 'u'").collect()
+    ]
+    with pytest.raises(ValueError, match="time mode"):
+        run(spark, str(folder), str(tmp_path / "x"), message, mode="position", index="i", indexer=indexer)
+    by_index.release()
+    whole.release()

@@ -354,3 +354,40 @@ def test_unreadable_descriptions_are_errors_of_their_file(spark, tmp_path):
     assert rows(base(bad)) == [("2.grib", "message without name or valid_time: number 1")]
     first = src.flag_unreadable(decoded, ["year"], first_message_only=True)
     assert src.split_decoded(first)[1].count() == 0
+
+
+@pytest.mark.parametrize("tasks", [None, 3, 40])
+def test_no_task_holds_more_than_the_longest_file_and_the_mean(spark, tmp_path, tasks):
+    sizes = {f"{i}.txt": size for i, size in enumerate([3_000_000] + [20_000 * (1 + i % 9) for i in range(120)])}
+    for name, size in sizes.items():
+        put(tmp_path, name, "x" * size)
+    dealt = src.deal_files(src.scan_files(spark, str(tmp_path), "*.txt"), tasks=tasks)
+    held = {}
+    for r in dealt.select("path", F.spark_partition_id().alias("task")).collect():
+        held[r["task"]] = held.get(r["task"], 0) + sizes[r["path"].rsplit("/", 1)[1]]
+    assert len(held) == dealt.rdd.getNumPartitions() == (tasks or 8)
+    assert sum(held.values()) == sum(sizes.values())
+    assert max(held.values()) <= max(sizes.values()) + sum(sizes.values()) / len(held)
+    assert max(held.values()) - min(held.values()) <= max(sizes.values())
+
+
+def test_a_thousand_tables_make_a_shallow_plan(spark):
+    tables = [spark.range(1).selectExpr("id", f"id as c{i % 3}") for i in range(300)]
+    united = src.union_years(tables)
+    assert united.columns == ["id", "c0", "c1", "c2"] and united.count() == 300
+    with pytest.raises(ValueError, match="no table"):
+        src.union_years([])
+
+
+def test_scratch_of_one_machine_is_refused_on_a_cluster(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "_SETTING", "spark.no.such.setting")
+    assert "_scratch" in src.scratch_root(spark)
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf, sparkContext = spark.conf, Context()
+
+    with pytest.raises(ValueError, match="all executors share"):
+        src.scratch_root(Session())
