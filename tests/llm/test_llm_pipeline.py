@@ -123,7 +123,7 @@ def test_pipeline_of_nothing(spark, tmp_path):
 def test_registered():
     names = entry.queries()
     assert "pipeline" in names and set(queries.QUERIES) <= set(names)
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
     assert mixing.BLOCK > 1
 
 
