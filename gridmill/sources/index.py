@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridmill.sources.files import (
+    BATCH_BYTES,
     RANGE_BYTES,
     ROW_BYTES,
     deal_files,
@@ -38,6 +39,8 @@ MessageDecoder = Callable[[bytes], Any]
 #: Bytes that are fetched at a time, and the gap between messages that is read along with them.
 FETCH_BYTES = 8 * 1024 * 1024
 GAP_BYTES = 64 * 1024
+#: Messages that one task reads, about.
+TASK_MESSAGES = 100_000
 
 
 def open_file(uri: str) -> BinaryIO:
@@ -68,7 +71,7 @@ def index_files(
 
     columns = [("offset", pa.int64()), ("length", pa.int64()), ("description", pa.string())]
     return expand_files(
-        files, indexer, by, columns, cells, lambda row: ROW_BYTES, 64 * 1024 * 1024, range_bytes, limits
+        files, indexer, by, columns, cells, lambda row: ROW_BYTES, BATCH_BYTES, range_bytes, limits
     )
 
 
@@ -130,14 +133,15 @@ def read_messages(
 ) -> DataFrame:
     """The messages of ``wanted``, rows of an index, with ``grid_mean`` (or ``values``) and ``error``.
 
-    Tasks take ranges of files of about ``task_bytes`` in all, so one file that holds most of the
-    messages is read by many of them. Messages that lie closer than ``gap_bytes`` are fetched
+    Tasks take ranges of files of about ``task_bytes`` in all, of ``TASK_MESSAGES`` messages at most, so
+    one file that holds most of the messages is read by many of them. Messages that lie closer than ``gap_bytes`` are fetched
     together, ``fetch_bytes`` at most. A message that can't be read, or a file that is gone or shorter
     than it was, gives a row with ``error``.
     """
     wanted = materialize(wanted.select("file", "msg_no", "offset", "length", "name", "year", "valid_time"), "wanted")
-    total = wanted.agg(F.sum("length")).first()[0] or 0
-    tasks = max(1, -(-total // task_bytes))
+    # A small message costs what its row costs.
+    total, count = wanted.agg(F.sum("length"), F.count("*")).first()
+    tasks = max(1, -(-(total or 0) // task_bytes), -(-count // TASK_MESSAGES))
     kind = pa.list_(pa.float64()) if keep_values else pa.float64()
     reduced = reduce_grid(keep_values)
     value = "values" if keep_values else "grid_mean"
@@ -145,13 +149,14 @@ def read_messages(
     def runs(rows: list[tuple]) -> Iterator[list[tuple]]:
         """Rows of one file that are fetched together; rows are sorted."""
         held: list[tuple] = []
+        end = 0
         for row in rows:
             if held:
-                begin, end = held[0][1], max(r[1] + r[2] for r in held)
-                far = row[1] - end > gap_bytes or row[1] + row[2] - begin > fetch_bytes
+                far = row[1] - end > gap_bytes or row[1] + row[2] - held[0][1] > fetch_bytes
                 if row[0] != held[0][0] or far:
                     yield held
                     held = []
+            end = max(end, row[1] + row[2]) if held else row[1] + row[2]
             held.append(row)
         if held:
             yield held
@@ -193,7 +198,7 @@ def read_messages(
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in in_batches(fetched(batch), size_of, 64 * 1024 * 1024):
+            for rows in in_batches(fetched(batch), size_of, BATCH_BYTES):
                 place, values, errors = zip(*rows)
                 part = batch.take(pa.array(place, pa.int64()))
                 yield pa.RecordBatch.from_arrays(

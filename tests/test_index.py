@@ -3,10 +3,12 @@
 import sys
 import datetime as dt
 import os
+import time
 
 import numpy as np
 import pytest
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 from gridmill.operators import value_at
 from gridmill.plans import run
@@ -253,3 +255,31 @@ def test_run_by_index(spark, folder, tmp_path, monkeypatch):
         run(spark, str(folder), str(tmp_path / "x"), message, mode="position", index="i", indexer=indexer)
     by_index.release()
     whole.release()
+
+
+def test_many_small_messages(spark, tmp_path):
+    """The cost of a message does not grow with those that are fetched along with it, and tasks get
+    a bounded number of messages, however short they are."""
+    count = 40_000
+    lines = "".join(f"{i}:a:from 200001010000|{i}\n" for i in range(count))
+    (tmp_path / "a.txt").write_text(lines)
+    offsets = np.cumsum([0] + [len(line) + 1 for line in lines.splitlines()]).tolist()
+    rows = [
+        (str(tmp_path / "a.txt"), i, offsets[i], offsets[i + 1] - offsets[i], "a", 2000, dt.datetime(2000, 1, 1))
+        for i in range(count)
+    ]
+    schema = "file string, msg_no bigint, offset bigint, length bigint, name string, year int, valid_time timestamp_ntz"
+    wanted = spark.createDataFrame(rows, schema).repartition(1)
+
+    def number(data):
+        return [float(bytes(data).split(b"|")[1])]
+
+    began = time.monotonic()
+    got = read_messages(wanted, number).agg(F.count("*"), F.sum("grid_mean"), F.count("error")).first()
+    assert tuple(got) == (count, count * (count - 1) / 2, 0)
+    assert time.monotonic() - began < 10
+    many = read_messages(spark.range(100 * count).selectExpr(
+        "'x' as file", "id as msg_no", "id as offset", "1l as length", "'a' as name", "2000 as year",
+        "timestamp_ntz'2000-01-01' as valid_time",
+    ), number)
+    assert many.rdd.getNumPartitions() == 40
