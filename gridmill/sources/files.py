@@ -27,6 +27,9 @@ ROW_BYTES = 256
 BATCH_BYTES = 64 * 1024 * 1024
 # Rows that a decoder's own process sends at a time.
 PIPE_BYTES = 1024 * 1024
+# Ranges up to which each has a task of its own. A task costs some hundredths of a second to start,
+# which is more than decoding a small range.
+RANGE_TASKS = 1000
 
 
 def scan_files(spark: SparkSession, path: str, glob: str = "*.grib") -> DataFrame:
@@ -116,9 +119,11 @@ def empty_files(files: DataFrame) -> DataFrame:
 
 def split_files(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """``path, start, end``: each file cut into byte ranges, one task each, so that one huge file
-    is decoded by as many tasks as the same bytes in many files.
+    is decoded by as many tasks as the same bytes in many files. More than ``RANGE_TASKS`` of them are
+    dealt to that many tasks, each with as many that follow each other, or to one for each
+    ``RANGE_BYTES`` where these are more: the number of tasks does not follow that of small ranges.
 
-    Ranges are numbered without gaps, and a range's number is its partition: hashing would give
+    Ranges are numbered without gaps, and a range's number tells its partition: hashing would give
     some tasks several ranges and others none.
     """
     # Operators import this package.
@@ -129,8 +134,15 @@ def split_files(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     end = F.least(F.col("start") + range_bytes, F.col("length"))
     ranges = ranges.select(F.lit("all").alias("scan"), "path", "start", end.alias("end"))
     numbered = number_rows(ranges, "scan", ["path", "start"], "range").drop("scan")
-    tasks = numbered.count() or 1
-    return numbered.repartitionById(tasks, F.col("range").cast("int")).drop("range")
+    count, total = numbered.agg(F.count("*"), F.sum(F.col("end") - F.col("start"))).first()
+    tasks = range_tasks(count, total or 0)
+    task = F.floor(F.col("range") * tasks / max(count, 1)).cast("int")
+    return numbered.repartitionById(tasks, task).drop("range")
+
+
+def range_tasks(ranges: int, total: int) -> int:
+    """Tasks for a number of ranges of ``total`` bytes."""
+    return max(1, min(ranges, max(RANGE_TASKS, -(-total // RANGE_BYTES))))
 
 
 def decode_files(

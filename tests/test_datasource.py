@@ -5,7 +5,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from gridmill.sources.datasource import PUSHDOWN, listed, register_source
+from gridmill.sources.datasource import PUSHDOWN, MessageReader, _stamp, listed, register_source
 from gridmill.sources import decode_files, describe
 from helpers import rows
 
@@ -123,3 +123,25 @@ def test_errors_and_nothing(spark, folder, tmp_path):
 
     with pytest.raises(Exception, match="broken codec"):
         load(spark, folder, broken).collect()
+
+
+def test_many_small_ranges_share_tasks(spark, folder):
+    """As many partitions at most as are worth their start; they hold all ranges once."""
+    reader = MessageReader(folder, "*.txt", 10, decoder())
+    parts = reader.partitions()
+    ranges = [r for part in parts for r in part.ranges]
+    sizes = dict(listed(folder, "*.txt"))
+    assert len(parts) == 1000 < len(ranges) == sum(-(-size // 10) for size in sizes.values())
+    assert sum(end - start for _, start, end in ranges) == sum(sizes.values()) and len(set(ranges)) == len(ranges)
+    found = [row for part in parts for batch in reader.read(part) for row in batch.column("offset").to_pylist()]
+    assert len(found) == 1002
+    counts = {len(part.ranges) for part in parts}
+    assert max(counts) - min(counts) <= 1
+
+
+def test_stamps_of_the_source_and_the_functions(spark):
+    texts = ["1:a:199602290000", "1:a:199702290000", "1:a:from 200013010000", "a", 
+             "1:a:200001012400", "1:a:199912312359", "1:a:x99912312359"]
+    rows_of = spark.createDataFrame([(t,) for t in texts], "description string")
+    want = {r["description"]: (r["name"], r["year"], r["valid_time"]) for r in describe(rows_of).collect()}
+    assert {t: _stamp(t) for t in texts} == want

@@ -158,6 +158,23 @@ def test_each_range_is_a_partition_of_its_own(spark, tmp_path):
     assert ranges.rdd.getNumPartitions() == len(sizes) == 500 + 124 and {r["count"] for r in sizes} == {1}
 
 
+def test_many_small_ranges_share_tasks(spark, tmp_path):
+    """Tasks do not grow with the number of small ranges; each gets as many that follow each other."""
+    put(tmp_path, "1.grib", "x" * 4000)
+    put(tmp_path, "2.grib", "x" * 1234)
+    ranges = src.split_files(src.scan_files(spark, str(tmp_path)), 2)
+    dealt = ranges.withColumn("task", F.spark_partition_id()).collect()
+    assert ranges.rdd.getNumPartitions() == 1000
+    assert sorted(r["start"] for r in dealt if r["path"].endswith("1.grib")) == list(range(0, 4000, 2))
+    assert len(dealt) == 2000 + 617 and all(r["end"] == r["start"] + 2 for r in dealt)
+    held = {}
+    for r in dealt:
+        held.setdefault(r["task"], []).append((r["path"], r["start"]))
+    assert {len(places) for places in held.values()} == {2, 3}
+    turns = [place for task in sorted(held) for place in sorted(held[task])]
+    assert turns == sorted(turns)
+
+
 def test_batches_keep_to_their_bytes():
     sizes = [3, 4, 2, 9, 40, 1, 5, 5]
     lists = list(in_batches([(n,) for n in sizes], lambda row: row[0], 10))
