@@ -29,10 +29,10 @@ TASK_ITEMS = 20_000
 NEARLY_FULL = 0.005
 #: Words that are taken whole, and stems of words, whose ids a worker keeps at hand, twice over. It
 #: only saves time.
-CACHED_WORDS = 100_000
-CACHED_STEMS = 400_000
+CACHED_WORDS = 50_000
+CACHED_STEMS = 200_000
 #: Bytes of text whose words are encoded together.
-ENCODED_AT_ONCE = 8_000_000
+ENCODED_AT_ONCE = 4_000_000
 #: Words of more characters are not kept.
 LONG_WORD = 64
 
