@@ -1,6 +1,7 @@
 import json
 import math
 import os
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -11,8 +12,10 @@ from gridmill.functions import grid_mean
 from gridmill.operators import number_messages
 from gridmill.session import session
 from gridmill.sources import scratch
+from gridmill.sources import files
 from gridmill.sources.files import in_batches
 from helpers import rows
+from workload import views
 
 NAN = math.nan
 
@@ -175,6 +178,22 @@ def test_many_small_ranges_share_tasks(spark, tmp_path):
     assert turns == sorted(turns)
 
 
+def test_decoding_holds_few_rows():
+    """A task holds some ten thousand messages, and the decoder of text some of a file's lines."""
+    assert files.BATCH_BYTES // files.ROW_BYTES <= 50_000
+    lines = b"".join(b"%d:a:level 0:from 200001010000|%d,2\n" % (i, i) for i in range(300_000))
+    tracemalloc.start()
+    try:
+        total = sum(grid[0] for _, grid in views.line_decoder()(memoryview(lines)))
+        assert tracemalloc.get_traced_memory()[1] < 8_000_000
+    finally:
+        tracemalloc.stop()
+    assert total == 300_000 * 299_999 / 2
+    # Lines across the borders of the pieces, and a last one without an end.
+    odd = ("é" * 700_000 + "\n\n" + "x" * 3_000_000 + "\nlast").encode()
+    assert list(views._lines(odd)) == odd.decode().splitlines()
+
+
 def test_batches_keep_to_their_bytes():
     sizes = [3, 4, 2, 9, 40, 1, 5, 5]
     lists = list(in_batches([(n,) for n in sizes], lambda row: row[0], 10))

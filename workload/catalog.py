@@ -649,10 +649,13 @@ select name as variable, year, stat,
        round(case stat when 'min' then min when 'max' then max else avg end, 4) as value
 from every left join y using (name, year), (values ('min'), ('max'), ('avg')) as t(stat)""")
 def full_job_position(spark, sf_dir):
-    """By position, with discovered variables: one file per year of orders."""
+    """By position, with discovered variables: one file per year of orders, which grows with the
+    data, so it is streamed and not held."""
     source = views.write_order_files(spark, sf_dir)
     target = src.scratch_path(spark, "results")
-    outcome = run(spark, source, target, views.line_decoder(), glob="*.txt", mode="position")
+    outcome = run(
+        spark, source, target, views.path_decoder(), glob="*.txt", mode="position", decode_by="path"
+    )
     return rounded(outcome.series, "value")
 
 

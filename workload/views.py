@@ -335,11 +335,26 @@ def write_grid_files(spark: SparkSession, sf_dir: str, copies: int = 1) -> str:
     return _write_lines(spark, messages)
 
 
+# Bytes of a file that are text at a time.
+TEXT_BYTES = 1024 * 1024
+
+
+def _lines(content):
+    """The lines of a file's bytes, of any length in the memory of some of them."""
+    rest = b""
+    for at in range(0, len(content), TEXT_BYTES):
+        part = rest + bytes(content[at : at + TEXT_BYTES])
+        whole = part.rfind(b"\n") + 1
+        yield from part[:whole].decode("utf-8").splitlines()
+        rest = part[whole:]
+    yield from rest.decode("utf-8").splitlines()
+
+
 def line_decoder():
     """A decoder of message files: (description, grid) per line."""
 
     def decode(content):
-        for line in bytes(content).decode("utf-8").splitlines():
+        for line in _lines(content):
             description, numbers = line.split("|")
             yield description, [float(number) for number in numbers.split(",")]
 
@@ -379,7 +394,7 @@ def packed_decoder():
     def decode(content):
         import numpy as np
 
-        for line in bytes(content).decode("utf-8").splitlines():
+        for line in _lines(content):
             description, grid = line.split("|")
             yield description, np.frombuffer(bytes.fromhex(grid), dtype=">u4")
 
